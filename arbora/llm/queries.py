@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import knn, mix, shard
 from .common import table
 
 
@@ -21,8 +22,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(table(spark, sf_dir, "embeddings"))
+
+
+def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pareto_mix": op1_pareto_mix,
+    "op2_voronoi_knn": op2_voronoi_knn,
     "op4_byte_bpe": op4_byte_bpe,
+    "op10_extendible_sharding": op10_extendible_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_pareto_mix": mix.MIX_SQL,
+    "op2_voronoi_knn": knn.KNN_SQL,
+    "op10_extendible_sharding": shard.SHARD_SQL,
+}
