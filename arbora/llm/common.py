@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    # Its shuffle files go when the table is written, so that the steps of a job don't add up on disk.
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(schema).parquet(path)
     out._arbora_path = path
     return out

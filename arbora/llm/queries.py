@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mix, shard
+from . import knn, mix, radix, shard
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_voronoi_knn": op2_voronoi_knn,
+    "op3_suffix_radix": op3_suffix_radix,
     "op4_byte_bpe": op4_byte_bpe,
     "op10_extendible_sharding": op10_extendible_sharding,
 }
