@@ -47,9 +47,10 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", tex
         up = sums.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(at)))).withColumn("q", F.expr(f"shiftrightunsigned(p, {at} - depth)"))
         buckets = up.groupBy("depth", "q").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
         fits = buckets.filter((F.col("bytes") <= limit) | (F.col("n") <= 1) | (F.col("depth") == BITS))
-        # The directory: for each prefix of `at` bits, the bucket with the smallest depth that fits.
-        entry = up.select("p", "depth", "q").join(fits, ["depth", "q"]).groupBy("p").agg(F.min(F.struct("depth", "q", "bytes", "n")).alias("b"))
-        directory = written(sums.select("p").join(entry, "p", "left").select("p", "b.*"), f"shard-dir-{at}")
+        # The directory: for each prefix of `at` bits, the bucket with the smallest depth that fits, if any does.
+        entry = up.select("p", "depth", "q").join(fits, ["depth", "q"], "left")
+        found = F.min(F.when(F.col("bytes").isNotNull(), F.struct("depth", "q", "bytes", "n")))
+        directory = written(entry.groupBy("p").agg(found.alias("b")).select("p", "b.*"), f"shard-dir-{at}")
         done.append((at, directory))
         over = directory.filter("depth is null").select("p")
         if at == BITS or over.isEmpty():
