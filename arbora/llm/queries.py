@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mix, radix, rtree, shard
+from . import avi, knn, mix, radix, rtree, shard
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_suffix_radix": op3_suffix_radix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_motion_jpeg": op8_motion_jpeg,
     "op9_count_rtree": op9_count_rtree,
     "op10_extendible_sharding": op10_extendible_sharding,
 }
