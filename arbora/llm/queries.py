@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, crf, knn, mix, radix, rtree, shard
+from . import avi, crf, knn, mix, pii, radix, rtree, shard
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_suffix_radix": op3_suffix_radix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_boosted_pii": op6_boosted_pii,
     "op7_line_crf": op7_line_crf,
     "op8_motion_jpeg": op8_motion_jpeg,
     "op9_count_rtree": op9_count_rtree,
