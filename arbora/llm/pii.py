@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts_of
 
@@ -259,7 +260,7 @@ def _spans_of(docs: DataFrame, trees: Trees, text: str, redacted: bool) -> DataF
                 cols = [pa.array(clean, pa.string()) if redacted and c == text else rows.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind)], names=[*names, "spans"])
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("spans", "array<struct<kind:string,start:int,end:int,score:double>>"))
+    return docs.select(*names).mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL("spans array<struct<kind:string,start:int,end:int,score:double>>").fields]))
 
 
 def redact(text: str, spans: list[tuple[int, int, int, float]]) -> str:
@@ -287,5 +288,6 @@ def span_digests(docs: DataFrame) -> DataFrame:
     found = find_spans(docs.select("doc_id", "text")).drop("text")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count_of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count_of(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, crf, knn, mix, pii, radix, rtree, shard
+from . import avi, crf, knn, mix, pii, quotes, radix, rtree, shard
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.quote_links(table(spark, sf_dir, "conversations"))
+
+
 def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_suffix_radix": op3_suffix_radix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_boosted_pii": op6_boosted_pii,
     "op7_line_crf": op7_line_crf,
     "op8_motion_jpeg": op8_motion_jpeg,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_pareto_mix": mix.MIX_SQL,
     "op2_voronoi_knn": knn.KNN_SQL,
+    "op5_quotation_linking": quotes.QUOTES_SQL,
     "op10_extendible_sharding": shard.SHARD_SQL,
 }

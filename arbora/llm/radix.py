@@ -10,7 +10,9 @@ gives the same groups.  Neighbouring suffixes mostly share their anchor, which m
   1. first digit, the anchor's hash: buckets with one run are done;
   2. second digit, the whole run around the anchor: all runs with the same bytes but the earliest are repeated.  The earliest
      ones go on if their bucket has different runs, since those can still share single windows;
-  3. last digit, the window: of suffixes with equal windows, all but the earliest are repeated.
+  3. third digit, the core: windows whose anchors lie up to STEP places apart share at least length - STEP bytes around them.
+     A group of windows goes on if its core is found again;
+  4. last digit, the window: of suffixes with equal windows, all but the earliest are repeated.
 
 Every pass is a grouped minimum (with partial sums before the shuffle) and an equi-join, whatever the size of a group.
 Hashes stand for bytes: 64 bits of anchor and 64 of run, or 128 of a window.
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import discard, slices, texts_of, written
 
-LENGTH, PIECE = 100, 24
+LENGTH, PIECE, STEP = 100, 24, 20
 #: Windows hashed at once; the bits of a place among them; bytes of text handled at once.
 PART, PLACE, BLOCK_BYTES = 1 << 17, 18, 8 << 20
 NO_ID = -(2**63)
@@ -85,7 +87,8 @@ def _sums(flat: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(flat: np.ndarray, offsets: np.ndarray, length: int, lean: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor: row, start in it, number of windows, anchor's hash, hash of the run's bytes."""
+    """Runs of windows with one anchor: row, start in it, number of windows and the anchor's place (in one number), anchor's
+    hash, hash of the run's bytes."""
     width = length - PIECE + 1
     for first in range(0, len(flat) - length + 1, PART):
         part = flat[first : first + PART + length - 1]
@@ -124,7 +127,7 @@ def _runs(flat: np.ndarray, offsets: np.ndarray, length: int, lean: bool) -> Ite
         total, down = _sums(part, _BYTE2)
         whole = (total[start + count - 1 + length] - total[start]) * down[start]
         whole = _mix(_mix(whole) + (at - start).astype(np.uint64) * _ODD[5] + count.astype(np.uint64) * _ODD[7])
-        yield row, start + first - offsets[row], count, h[at], whole
+        yield row, start + first - offsets[row], count << 16 | at - start, h[at], whole
 
 
 def _run_rows(docs: DataFrame, length: int, lean: bool) -> DataFrame:
@@ -157,8 +160,8 @@ def _packed(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "d long, z binary").filter("z is not null")
 
 
-def _window_rows(packed: DataFrame, length: int) -> DataFrame:
-    """From d, z and runs (s, n): the two hashes of each window, and its place."""
+def _core_rows(packed: DataFrame, length: int) -> DataFrame:
+    """From d, z and runs (s, n): groups of neighbouring windows, with the hash of their core and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -170,40 +173,95 @@ def _window_rows(packed: DataFrame, length: int) -> DataFrame:
             s_all, n_all = flat.field("s").to_numpy(), flat.field("n").to_numpy()
             base = bounds[0]
             for i, z in enumerate(batch.column("z")):
-                text = np.frombuffer(unpress(z.as_py()), np.uint8)
-                s, n = s_all[bounds[i] - base : bounds[i + 1] - base].astype(np.int64), n_all[bounds[i] - base : bounds[i + 1] - base].astype(np.int64)
-                at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                at = np.sort(at[at + length <= len(text)])
-                for first in range(0, len(text), PART):
-                    mine = at[np.searchsorted(at, first) : np.searchsorted(at, first + PART)] - first
-                    if not len(mine):
-                        continue
-                    part = text[first : first + PART + length]
-                    out = []
-                    for table in (_BYTE, _BYTE2):
-                        total, down = _sums(part, table)
-                        out.append(_mix((total[mine + length] - total[mine]) * down[mine]).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.full(len(mine), ids[i])), pa.array((mine + first).astype(np.int32))], names=["w1", "w2", "d", "s"])
-
-    return packed.mapInArrow(run, "w1 long, w2 long, d long, s int")
+                body = unpress(z.as_py())
+                text = np.frombuffer(body, np.uint8)
+                s, n = (x[bounds[i] - base : bounds[i + 1] - base].astype(np.int64) for x in (s_all, n_all))
+                n, anchor = n >> 16, s + (n & 0xFFFF)
+                fits = s + n - 1 + length <= len(text)
+                s, n, anchor = s[fits], n[fits], anchor[fits]
+                core, start, count = [], [], []
+                for k in range(-(-(length - PIECE + 1) // STEP)):
+                    # Windows that start from k * STEP to (k + 1) * STEP - 1 before the anchor.
+                    near, far = k * STEP, min((k + 1) * STEP - 1, length - PIECE)
+                    lo, hi = np.maximum(s, anchor - far), np.minimum(s + n - 1, anchor - near)
+                    have = lo <= hi
+                    at, size = anchor[have] - near, near - far + length
+                    start.append(lo[have])
+                    count.append((hi - lo + 1)[have])
+                    core.append(_spans(text, at, size) + np.array([k], np.uint64) * _ODD[5])
+                if not len(s):
+                    continue
+                core, start, count = np.concatenate(core), np.concatenate(start), np.concatenate(count)
+                pieces = [body[a : a + c - 1 + length] for a, c in zip(start.tolist(), count.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(np.full(len(core), ids[i])), pa.array(start.astype(np.int32)), pa.array(pieces, pa.binary())], names=["core", "d", "s", "bytes"])
+
+    return packed.mapInArrow(run, "core long, d long, s int, bytes binary")
+
+
+def _spans(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the `size` bytes from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    part = at // PART
+    for k in np.unique(part):
+        mine = part == k
+        first = int(k) * PART
+        total, down = _sums(text[first : first + PART + size], _BYTE)
+        a = at[mine] - first
+        out[mine] = _mix((total[a + size] - total[a]) * down[a])
+    return out
+
+
+def _window_rows(groups: DataFrame, length: int) -> DataFrame:
+    """From d, s and bytes: the two hashes of each window, and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = texts_of(batch, "bytes")
+            ids, s = batch.column("d").to_numpy(), batch.column("s").to_numpy()
+            for a in range(0, len(batch), 1024):
+                b = min(len(batch), a + 1024)
+                part, mine = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                n = np.diff(mine) - length + 1
+                row = np.repeat(np.arange(b - a), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at, hashes = mine[row] + place, []
+                for table in (_BYTE, _BYTE2):
+                    total, down = _sums(part, table)
+                    hashes.append(_mix((total[at + length] - total[at]) * down[at]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(ids[a + row]), pa.array((s[a + row] + place).astype(np.int32))], names=["w1", "w2", "d", "s"])
+
+    return groups.mapInArrow(run, "w1 long, w2 long, d long, s int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d (the id) and spans: places s and numbers n of windows that also start earlier, in no order."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).alias("text"))
+    low, high, longest = rows.agg(F.min("d"), F.max("d"), F.max(F.octet_length("text"))).first()
+    # Id and place in one number, in the order of "earlier": a long where both fit.
+    bits = int(longest or 1).bit_length()
+    if low is None or (low >= 0 and high < 1 << (63 - bits)):
+        place, d, at = f"d * {1 << bits}L + s", f"w div {1 << bits}L", f"cast(w % {1 << bits}L as int)"
+    else:
+        unit, zero = f"cast({1 << bits} as decimal(20,0))", f"cast({2**63} as decimal(20,0))"
+        place = f"cast((cast(d as decimal(20,0)) + {zero}) * {unit} + s as decimal(38,0))"
+        d, at = f"cast(floor(w / {unit}) - {zero} as bigint)", f"cast(w % {unit} as int)"
+    packed, unpacked = F.expr(place).alias("w"), (F.expr(d).alias("d"), F.expr(at).alias("s"))
     more = _run_rows(rows, length, True).groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select("b")
-    runs = written(_run_rows(rows, length, False).join(more, "b", "left_semi"), "radix-runs")
-    place = F.min(F.struct("d", "s", "n"))
-    classes = written(runs.groupBy("b", "c").agg(place.alias("first"), F.count("*").alias("k")), "radix-classes")
-    first = classes.filter("k > 1").select("b", "c", F.col("first.d").alias("d0"), F.col("first.s").alias("s0"))
-    second = runs.join(first, ["b", "c"]).filter("d != d0 or s != s0").select("d", "s", "n")
+    runs = written(_run_rows(rows, length, False).join(more, "b", "left_semi").select("b", "c", packed, "n"), "radix-runs")
+    classes = written(runs.groupBy("b", "c").agg(F.min("w").alias("w"), F.min("n").alias("n"), F.count("*").alias("k")), "radix-classes")
+    first = classes.filter("k > 1").select("b", "c", F.col("w").alias("w0"))
+    second = runs.join(first, ["b", "c"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n"))
     mixed = classes.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b")
-    open_runs = classes.join(mixed, "b", "left_semi").select("first.*").groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    windows = written(_window_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("w1", "w2", F.col("first.d").alias("d0"), F.col("first.s").alias("s0"))
-    third = windows.join(earliest, ["w1", "w2"]).filter("d != d0 or s != s0").select("d", "s", F.lit(1).alias("n"))
+    open_runs = classes.join(mixed, "b", "left_semi").select(*unpacked, "n").groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    cores = written(_core_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-cores")
+    again = cores.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
+    groups = written(cores.join(again, "core", "left_semi").select("d", "s", "bytes"), "radix-groups")
+    discard(cores)
+    windows = written(_window_rows(groups, length).select("w1", "w2", packed), "radix-windows")
+    earliest = windows.groupBy("w1", "w2").agg(F.min("w").alias("w0"), F.count("*").alias("k")).filter("k > 1").select("w1", "w2", "w0")
+    third = windows.join(earliest, ["w1", "w2"]).filter("w != w0").select(*unpacked, F.lit(1).alias("n"))
     spans = written(second.unionByName(third).groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "radix-spans")
-    for made in (runs, classes, windows):
+    for made in (runs, classes, groups, windows):
         discard(made)
     return spans
 
