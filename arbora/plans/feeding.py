@@ -88,7 +88,7 @@ def sample_validity(spark, d):
     "batch_legality",
     f"""{_J}, r as (select floor((seq - 1) / 100)::bigint as batch, seq % 100 as position, case when seq % 977 = 0 then seq - 5 else seq end as seq, path, kind, size, floor((seq - 1) / 100)::bigint * 100 as prior, floor((seq - 1) / 100)::bigint * 100 + case when floor((seq - 1) / 100)::bigint % 7 = 3 then 50 else 100 end as upto, lane from jl where folder = 'N'),
     s as (select *, lag(seq) over (partition by batch order by seq0) as before from (select *, row_number() over (partition by batch order by prior + case when position = 0 then 100 else position end) as seq0 from r))
-    select batch, count(*) as rows, concat_ws(',', case when bool_or(seq <= prior or seq > upto) then 'sequence outside the batch' end, case when bool_or(coalesce(before >= seq, false)) then 'sequence not increasing' end, case when bool_or(lane <> 0) then 'wrong lane' end) as reasons
+    select batch, count(*) as rows, concat_ws(',', case when bool_or(coalesce(before >= seq, false)) then 'sequence not increasing' end, case when bool_or(seq <= prior or seq > upto) then 'sequence outside the batch' end, case when bool_or(lane <> 0) then 'wrong lane' end) as reasons
     from s group by 1 having bool_or(seq <= prior or seq > upto) or bool_or(coalesce(before >= seq, false)) or bool_or(lane <> 0)""",
 )
 def batch_legality(spark, d):
