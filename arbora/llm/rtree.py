@@ -15,7 +15,8 @@ found tell which pairs are settled.  Keys whose sets are still in several compon
 size: the members outside of the key's largest component search every chunk.
 
 Only components are wanted, so a pair that is already connected need not be verified; no link between different components is
-ever left out.  Equal sets are one node.
+ever left out.  Pairs that the trees leave pass the same bound on FINE groups before their texts are fetched.  Equal sets are
+one node.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle are one
 shingle as a whole; rows that share an id are one document in the components but keep a row each; an empty table gives no
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import discard, slices, texts_of, written
 from .graph import components
 
-GROUPS, LEAF, CHUNK = 64, 16, 1024
+GROUPS, FINE, LEAF, CHUNK, HEADS = 64, 512, 16, 1024, 8
 BLOCK_BYTES = 4 << 20
 
 _random = np.random.Generator(np.random.PCG64(77))
@@ -117,11 +118,12 @@ class Layout:
         """The overlap that links two sets with `total` shingles together."""
         return -(-self.percent * total // (100 + self.percent))
 
-    def keys(self, u: np.ndarray) -> np.ndarray:
-        """The keys of a sorted set of hashes."""
-        n, out = len(u), []
+    def keys(self, u: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """The keys of a sorted set of hashes (the low six bits are the class), and by class those of the first HEADS blocks,
+        0 for an empty one."""
+        n, out, heads = len(u), [], {}
         if self.largest(n) == n and self.largest(n - 1) < n:
-            return np.zeros(0, np.int64)  # it can only be linked with its equals
+            return np.zeros(0, np.int64), heads  # it can only be linked with its equals
         top = int(np.searchsorted(self.edges, n, "right")) - 1
         low = int(np.searchsorted(self.edges, -(-self.percent * n // 100), "right")) - 1
         for c in range(low, top + 1):
@@ -134,8 +136,14 @@ class Layout:
                 empty = np.ones(m, bool)
                 empty[have.astype(np.int64)] = False
                 key = np.append(key, np.flatnonzero(empty).astype(np.uint64) * _ODD[7])
-            out.append(_mix(key + np.array([c], np.uint64) * _ODD[8]))
-        return np.concatenate(out).view(np.int64)
+            key = _mix(key + np.array([c], np.uint64) * _ODD[8])
+            key = (key << np.uint64(6) | np.uint64(c)).view(np.int64)
+            out.append(key)
+            first = np.zeros(HEADS, np.int64)
+            early = np.flatnonzero(have < HEADS)
+            first[have[early].astype(np.int64)] = key[early]
+            heads[c] = first.tolist()
+        return np.concatenate(out), heads
 
 
 class RTree:
@@ -178,9 +186,20 @@ class RTree:
         return self.order[live[ok]]
 
 
-def _points(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    flat, _ = texts_of(batch, name)
-    return np.frombuffer(flat.tobytes(), np.int32).reshape(-1, GROUPS).astype(np.int64)
+def _pack_point(u: np.ndarray, groups: int = GROUPS) -> bytes:
+    """A set's group counts: a unit, and a byte for each group, rounded up to units (so that bounds stay bounds)."""
+    counts = np.bincount((u >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+    unit = max(1, -(-int(counts.max()) // 255)) if len(u) else 1
+    return unit.to_bytes(4, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
+
+
+def _unpack_points(flat: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    rows = flat.reshape(-1, groups + 4)
+    return rows[:, 4:].astype(np.int64) * np.frombuffer(np.ascontiguousarray(rows[:, :4]).tobytes(), "<u4").astype(np.int64)[:, None]
+
+
+def _points(batch: pa.RecordBatch, name: str, groups: int) -> np.ndarray:
+    return _unpack_points(texts_of(batch, name)[0], groups)
 
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -189,20 +208,22 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.nda
         yield a, shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
 
 
-def _nodes(rows: DataFrame, size: int) -> DataFrame:
-    """id, number of shingles, two hashes of the set, and the point."""
+def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
+    """id, number of shingles, two hashes of the set, the point, and the first keys of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in _blocks(batch, size):
                 h1 = np.array([_mix(u).sum(dtype=np.uint64) for u in sets], np.uint64)
                 h2 = np.array([_mix(u ^ _ODD[10]).sum(dtype=np.uint64) for u in sets], np.uint64)
-                points = [np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for u in sets]
+                points = [_pack_point(u) for u in sets]
+                heads = [list(layout.keys(u)[1].items()) if len(u) else [] for u in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, len(sets)), pa.array([len(u) for u in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary())], names=["id", "n", "h1", "h2", "point"]
+                    [batch.column("id").slice(a, len(sets)), pa.array([len(u) for u in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary()), pa.array(heads, pa.map_(pa.int32(), pa.list_(pa.int64())))],
+                    names=["id", "n", "h1", "h2", "point", "heads"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, point binary")
+    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
 
 
 def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
@@ -211,7 +232,7 @@ def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _blocks(batch, size):
-                keys = [layout.keys(u) for u in sets if len(u)]
+                keys = [layout.keys(u)[0] for u in sets if len(u)]
                 own = [_mix(u).sum(dtype=np.uint64) for u in sets if len(u)]
                 if keys:
                     h1 = np.repeat(np.array(own, np.uint64).view(np.int64), [len(k) for k in keys])
@@ -265,14 +286,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) ->
     return both.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
 
 
-def _near(pairs: DataFrame, layout: Layout) -> DataFrame:
+def _fine(texts: DataFrame, size: int) -> DataFrame:
+    """id, n, and a point of FINE groups for each packed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            n, points = [], []
+            for z in batch.column("z"):
+                flat = np.frombuffer(unpack(z.as_py()), np.uint8)
+                u = shingle_sets(flat, np.array([0, len(flat)]), size)[0]
+                n.append(len(u))
+                points.append(_pack_point(u, FINE))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(points, pa.binary())], names=["id", "n", "point"])
+
+    return texts.mapInArrow(run, "id long, n long, point binary")
+
+
+def _near(pairs: DataFrame, layout: Layout, groups: int = GROUPS) -> DataFrame:
     """Of pairs with points pu, pv and sizes nu, nv those whose bound on the overlap is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.minimum(_points(batch, "pu"), _points(batch, "pv")).sum(1)
-            total = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(bound >= layout.needed(total)))
+            for a in range(0, len(batch), 2048):
+                part = batch.slice(a, 2048)
+                bound = np.minimum(_points(part, "pu", groups), _points(part, "pv", groups)).sum(1)
+                total = part.column("nu").to_numpy() + part.column("nv").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(bound >= layout.needed(total)))
 
     return pairs.mapInArrow(run, "u long, v long")
 
@@ -281,13 +323,16 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
     """dealt: key, part, id, n, point, component, asks - sorted by key and part.  The pairs that each part's R-tree leaves for
     the rows that ask."""
 
-    def group(ids, n, points, component, asks) -> tuple[list, list]:
+    def group(key, ids, n, points, heads, component, asks) -> tuple[list, list]:
         data = ~asks
         tree, own = RTree(points[data], n[data]), np.flatnonzero(data)
         us, vs = [], []
         for i in np.flatnonzero(asks):
             hit = own[tree.search(points[i], int(n[i]), layout)]
             hit = hit[component[hit] != component[i]]
+            # Two sets that meet under one of their first keys are taken there, and only under the first such key.
+            equal = (heads[hit] == heads[i]) & (heads[i] != 0)
+            hit = hit[~equal.any(1) | (heads[i][equal.argmax(1)] == key)]
             us.append(np.minimum(ids[i], ids[hit]))
             vs.append(np.maximum(ids[i], ids[hit]))
         return us, vs
@@ -302,10 +347,11 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
             ends = np.append(start[1:], len(t))
             last = len(start) if all_ else len(start) - 1
             cols = [t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "asks")]
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64)
+            points = _unpack_points(np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8))
+            heads = t.column("heads").combine_chunks().flatten().to_numpy().reshape(-1, HEADS)
             us, vs = [], []
             for a, b in zip(start[:last], ends[:last]):
-                x, y = group(cols[0][a:b], cols[1][a:b], points[a:b], cols[2][a:b], cols[3][a:b].astype(bool))
+                x, y = group(key[a], cols[0][a:b], cols[1][a:b], points[a:b], heads[a:b], cols[2][a:b], cols[3][a:b].astype(bool))
                 us += x
                 vs += y
             rest = t.slice(int(start[-1])) if not all_ and len(start) else t.slice(len(t))
@@ -331,19 +377,24 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     """doc_id, n_shingles and component_id (the smallest id that links lead to) of every row of docs."""
     layout = Layout(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    nodes = written(_nodes(rows, size), "ngram-nodes")
+    nodes = written(_nodes(rows, size, layout), "ngram-nodes")
     alike = ["n", "h1", "h2"]
-    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(F.min("id").alias("id"), F.first("point").alias("point")), "ngram-sets")
+    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(F.min("id").alias("id"), F.first("point").alias("point"), F.first("heads").alias("heads")), "ngram-sets")
     keys = _keys(rows, size, layout)
-    shared = written(keys.groupBy("key").agg(F.min("h1").alias("lead"), F.max("h1").alias("most")).filter("lead != most").select("key", "lead"), "ngram-shared")
-    members = written(keys.join(shared, "key").groupBy("key", "lead", "h1").agg(F.lit(1).alias("one")).drop("one"), "ngram-members")
+    shared = written(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key"), "ngram-shared")
+    members = written(keys.join(shared, "key", "left_semi").distinct(), "ngram-members")
+    # The star's middle is the member that shares most of its keys: an original has more in common than its edited copies.
+    support = members.groupBy("h1").agg(F.count("*").alias("k")).withColumn("lead", F.col("k") * F.lit(2**40) + F.pmod("h1", F.lit(2**40)))
+    graded = members.join(support.select("h1", "lead"), "h1")
+    leads = graded.groupBy("key").agg(F.max("lead").alias("lead"))
+    middle = graded.join(leads, ["key", "lead"]).groupBy("key").agg(F.min("h1").alias("lead"))
 
     def ends(pairs: DataFrame, left: str, right: str) -> DataFrame:
         side = lambda h, s: sets.select(F.col("h1").alias(h), F.col("id").alias(s), F.col("n").alias("n" + s), F.col("point").alias("p" + s))
         both = pairs.join(side(left, "u"), left).join(side(right, "v"), right)
         return both.filter(f"u != v and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}").select("u", "v", "nu", "nv", "pu", "pv")
 
-    star = members.filter("h1 != lead").select("lead", "h1").distinct()
+    star = members.join(middle, "key").filter("h1 != lead").select("lead", "h1").distinct()
     star = written(_near(ends(star, "lead", "h1"), layout).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ngram-star")
 
     def texts_for(pairs: DataFrame) -> DataFrame:
@@ -355,21 +406,25 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     found = written(components(links), "ngram-components")
 
     # What is left: keys with three sets or more that still lie in several components.
-    placed = sets.join(found, sets["id"] == found["node"], "left").select("h1", "id", "n", "point", F.coalesce("component", "id").alias("component"))
+    placed = sets.join(found, sets["id"] == found["node"], "left").select("h1", "id", "n", "point", "heads", F.coalesce("component", "id").alias("component"))
     at = members.join(placed.select("h1", "id", "component"), "h1")
-    state = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-    state = state.filter("a != b and members > 2").groupBy("sum", "members").agg(F.min("key").alias("key"))  # keys with the same members are one
+    state = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a != b and members > 2")
     most = at.join(state.select("key", "members"), "key").groupBy("key", "component", "members").agg(F.count("*").alias("k")).groupBy("key", "members").agg(F.max(F.struct("k", "component")).alias("m"))
-    left = written(at.join(most.select("key", "members", F.col("m.component").alias("main")), "key").select("key", "members", "main", "id", "component"), "ngram-left")
+    head = F.element_at("heads", F.pmod("key", F.lit(64)).cast("int"))
+    left = at.join(most.select("key", "members", F.col("m.component").alias("main")), "key").join(placed.select("id", "heads"), "id").select("key", "members", "main", "id", "component", head.alias("heads"))
+    left = written(left, "ngram-left")
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
     data = left.withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "asks": F.lit(False)})
     asks = left.filter("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.lit(True))
-    dealt = data.unionByName(asks).select("key", "part", "id", "component", "asks").join(placed.select("id", "n", "point"), "id")
-    dealt = dealt.select("key", "part", "id", "n", "point", "component", "asks").repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = data.unionByName(asks).select("key", "part", "id", "component", "heads", "asks").join(placed.select("id", "n", "point"), "id")
+    dealt = dealt.select("key", "part", "id", "n", "point", "heads", "component", "asks").repartition("key", "part").sortWithinPartitions("key", "part")
     more = written(_searched(dealt, layout).distinct().join(star, ["u", "v"], "left_anti"), "ngram-more")
     if not more.isEmpty():
         more_texts = texts_for(more)
-        links = links.unionByName(_verified(more, more_texts, size, layout))
+        fine = written(_fine(more_texts, size), "ngram-fine")
+        end = lambda s: fine.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.col("point").alias("p" + s))
+        near = written(_near(more.join(end("u"), "u").join(end("v"), "v"), layout, FINE), "ngram-near")
+        links = links.unionByName(_verified(near, more_texts, size, layout))
         found = written(components(links), "ngram-components")
         discard(more_texts)
     ids = sets.join(found, sets["id"] == found["node"], "left").select(*alike, F.coalesce("component", "id").alias("component"))
