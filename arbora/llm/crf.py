@@ -27,7 +27,7 @@ from .common import slices, texts_of
 #: Labelled documents that the model is fitted on, at most; passes over them.
 TRAIN_DOCS, EPOCHS = 3000, 150
 THRESHOLD = 0.3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _KINDS = {
     "upper": bytes(range(65, 91)),
@@ -211,11 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
 def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
     """docs with the score, the number of lines that aren't blank and of those that are likelier bad."""
-    names = [c for c in docs.columns if c not in (column, "n_lines", "n_bad_lines")]
+    names = [c for c in docs.columns if c not in (column, "n_lines", "n_bad_lines", "__text")]
+    body = text if text in names else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = texts_of(batch, "__text")
+            flat, offsets = texts_of(batch, body)
             for a, b in slices(offsets, BLOCK_BYTES):
                 mine, doc, good = scores(model, flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lines, bad = np.bincount(doc, minlength=b - a), np.bincount(doc, weights=good < 0.5, minlength=b - a).astype(np.int64)
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", text: str = "tex
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(mine), pa.array(lines), pa.array(bad)], names=[*names, column, "n_lines", "n_bad_lines"])
 
     schema = docs.select(*names).schema.add(column, "double").add("n_lines", "long").add("n_bad_lines", "long")
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, *([] if body == text else [F.col(text).alias(body)])).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
