@@ -68,13 +68,16 @@ def line_features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts = np.flatnonzero(first)
     blank = count(word) == 0
     line_of = np.searchsorted(begin, starts, "right") - 1
-    ends = np.flatnonzero(word & np.append(space[1:] | False, True) | (word & np.isin(np.arange(len(flat)), begin[1:] - 1)))
-    long_ = ends - starts + 1 if len(ends) == len(starts) else np.full(len(starts), 5)
+    stops = np.append(space[1:], True)
+    stops[begin[1:] - 1] = True
+    long_ = np.flatnonzero(word & stops) - starts + 1
     words = np.maximum(np.bincount(line_of, minlength=len(begin)).astype(np.float64), 1)
     short = np.bincount(line_of, weights=long_ <= 3, minlength=len(begin))
     huge = np.bincount(line_of, weights=long_ > 24, minlength=len(begin))
     # Words that are the one before again.
-    spell = np.add.reduceat((flat.astype(np.int64) * 2654435761 % 4294967291 + (np.arange(len(flat)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(flat)]])))) * flat * 40503) * word, starts) if len(starts) else np.zeros(0, np.int64)
+    letter = flat.astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(flat)]])))
+    spell = np.add.reduceat(letter * (letter + 7919) * (place + 31) * word, starts) if len(starts) else np.zeros(0, np.int64)
     twice = np.append(False, (spell[1:] == spell[:-1]) & (line_of[1:] == line_of[:-1])) if len(starts) else np.zeros(0, bool)
     stutter = np.bincount(line_of, weights=twice, minlength=len(begin))
     ink = np.maximum(size - count(space), 1)

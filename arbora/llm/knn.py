@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import written
 
 #: Pivots, drawn by hash; rows of a group that go to one chunk; queries that meet a chunk at once.
-PIVOTS, CHUNK, BLOCK = 128, 4096, 512
+PIVOTS, CHUNK, BLOCK = 128, 16_384, 256
 SCALE = 256
 
 
