@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bounds of signatures and plans.
 MAX_BLOCKS = 8192
 MIN_FLOOR = 16 * 1024
 ELIGIBLE = 1 << 20

@@ -86,6 +86,7 @@ def preview(kind: Column, size: Column, hash_: Column, body: Column) -> Column:
     """The text to show of a version (body: binary), or why there is none."""
     text = F.try_validate_utf8(body)
     said = lambda why: F.lit("Preview unavailable: " + why)
+    # The sentences and sizes are fixed values.
     return (
         F.when(kind != "File", F.concat(F.lit("("), F.lower(kind), F.lit(")")))
         .when(size > 64 * 1024, said("preview omitted: file exceeds 64 KiB; compare it externally"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
+#: A batch's times and size, and the quantum of watch limits.
 GAP_US, MAX_US = 100_000, 1_000_000
 MAX_PATHS = 4096
 QUANTUM = 65_536

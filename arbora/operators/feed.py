@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: From which size a file travels in bulk, and the rows of a page.
 BULK_BYTES = 1 << 20
 PAGE = 128
 
@@ -120,6 +121,7 @@ def delivery_label(d: dict[str, Column]) -> Column:
     )
     behind = (F.size(d["acknowledged"]) == 0) | F.exists(d["acknowledged"], lambda n: F.coalesce(n < d["local_head"], F.lit(True)))
     busy = (d["phase"] != "watching") | (d["queued_paths"] > 0) | d["folder_error"].isNotNull() | d["watch_error"].isNotNull() | (d["unwatched"] > 0) | d["cooling"]
+    # The labels are fixed values, and the first that holds counts.
     return (
         F.when(~d["approved"], "approval needed")
         .when(d["mode"] == "receive-only", "sending disabled · receive-only")

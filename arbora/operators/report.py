@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What makes an event an issue, how many events stay, and how long a detail may be.
 ISSUES = ("error", "conflict", "fail", "pending", "reject", "overflow", "approval", "warning")
 RECEIVED, EVENTS, DETAIL = 16, 64, 500
 
