@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbora.llm import bpe, crf, mix, pii, rtree
 from arbora.llm.common import table, written
 from arbora.llm.queries import tokenizer_file
+from arbora.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,13 +47,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "source", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("mixture", mixture),
-    ("tokens", tokens),
-]
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after the package is where Python workers find it."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [(f.__name__, _shipped(f)) for f in (quality, near_duplicates, personal_data, mixture, tokens)]
 
 #: The stages are models and iterations; tests hold them against brute force instead.
 ORACLE_SQL = None
