@@ -30,7 +30,7 @@ from .common import slices, texts_of
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose words are replayed together, and words that a task remembers at most.
 BLOCK_BYTES = 4 << 20
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 #: Texts of these characters alone split alike under the general pattern and under the plainer, faster one.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")

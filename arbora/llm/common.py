@@ -52,8 +52,8 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000: with texts of some KB (and files made of them) a task holds tens of MB."""
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000: with texts of some KB (and files made of them) a task holds some MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

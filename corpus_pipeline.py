@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, crf, mix, pii, rtree
-from arbora.llm.common import table, written
+from arbora.llm.common import bounded_batches, table, written
 from arbora.llm.queries import tokenizer_file
 from arbora.session import ship
 
@@ -52,6 +52,7 @@ def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Call
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        bounded_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
