@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import released, slices, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose words are replayed together, and words that a task remembers at most.
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = _GENERAL, te
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -252,7 +252,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     out.append(_gather(flat, start[mine], count[mine]).tobytes())
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def bpe_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str = _GENERAL) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +81,20 @@ def texts_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray
     return flat[offsets[0] : offsets[-1]] if len(offsets) else flat[:0], offsets - offsets[0]
 
 
+def released(run):
+    """run, and then what it no longer needs goes back to the system: Python workers live on for the next stage."""
+
+    def lean(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return lean
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of rows with about `most` bytes each; a longer text is a range of its own."""
     out, at, n = [], 0, len(offsets) - 1

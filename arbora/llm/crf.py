@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import released, slices, texts_of
 
 #: Labelled documents that the model is fitted on, at most; passes over them.
 TRAIN_DOCS, EPOCHS = 3000, 150
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", text: str = "tex
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(mine), pa.array(lines), pa.array(bad)], names=[*names, column, "n_lines", "n_bad_lines"])
 
     schema = docs.select(*names).schema.add(column, "double").add("n_lines", "long").add("n_bad_lines", "long")
-    return docs.select(*names, *([] if body == text else [F.col(text).alias(body)])).mapInArrow(run, schema)
+    return docs.select(*names, *([] if body == text else [F.col(text).alias(body)])).mapInArrow(released(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

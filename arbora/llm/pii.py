@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import released, slices, texts_of
 
 #: In the order in which spans are listed: those of the base, then what the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -260,7 +260,7 @@ def _spans_of(docs: DataFrame, trees: Trees, text: str, redacted: bool) -> DataF
                 cols = [pa.array(clean, pa.string()) if redacted and c == text else rows.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind)], names=[*names, "spans"])
 
-    return docs.select(*names).mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL("spans array<struct<kind:string,start:int,end:int,score:double>>").fields]))
+    return docs.select(*names).mapInArrow(released(run), T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL("spans array<struct<kind:string,start:int,end:int,score:double>>").fields]))
 
 
 def redact(text: str, spans: list[tuple[int, int, int, float]]) -> str:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, texts_of, written
+from .common import discard, released, slices, texts_of, written
 from .graph import components
 
 GROUPS, FINE, LEAF, CHUNK, HEADS = 64, 512, 16, 1024, 8
@@ -223,7 +223,7 @@ def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
                     names=["id", "n", "h1", "h2", "point", "heads"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
+    return rows.mapInArrow(released(run), "id long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
 
 
 def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
@@ -238,7 +238,7 @@ def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
                     h1 = np.repeat(np.array(own, np.uint64).view(np.int64), [len(k) for k in keys])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1)], names=["key", "h1"])
 
-    return rows.mapInArrow(run, "key long, h1 long")
+    return rows.mapInArrow(released(run), "key long, h1 long")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 z = [press(flat[offsets[j] : offsets[j + 1]]) for j in range(i, i + len(part))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(z, pa.binary())], names=["id", "z"])
 
-    return rows.mapInArrow(run, "id long, z binary")
+    return rows.mapInArrow(released(run), "id long, z binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) -> DataFrame:
@@ -283,7 +283,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) ->
 
     with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
     both = with_v.join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
-    return both.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "zu", "zv").mapInArrow(released(run), "u long, v long")
 
 
 def _fine(texts: DataFrame, size: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _fine(texts: DataFrame, size: int) -> DataFrame:
                 points.append(_pack_point(u, FINE))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(points, pa.binary())], names=["id", "n", "point"])
 
-    return texts.mapInArrow(run, "id long, n long, point binary")
+    return texts.mapInArrow(released(run), "id long, n long, point binary")
 
 
 def _near(pairs: DataFrame, layout: Layout, groups: int = GROUPS) -> DataFrame:
@@ -316,7 +316,7 @@ def _near(pairs: DataFrame, layout: Layout, groups: int = GROUPS) -> DataFrame:
                 total = part.column("nu").to_numpy() + part.column("nv").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(bound >= layout.needed(total)))
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(released(run), "u long, v long")
 
 
 def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
@@ -370,7 +370,7 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(released(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
