@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links connect; of rows that repeat an id, one."""
-    found = rtree.near_duplicates(docs)
+    """The document with the smallest id of each group that links connect (five words, similarity 0.8 or more); of rows that
+    repeat an id, one."""
+    found = rtree.near_duplicates(docs, size=5, percent=80)
     kept = docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
     repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id"]) if repeats else kept
