@@ -16,10 +16,11 @@ size: the members outside of the key's largest component search every chunk.
 
 Only components are wanted, so a pair that is already connected need not be verified; no link between different components is
 ever left out.  Pairs that the trees leave pass the same bound on FINE groups before their texts are fetched.  Equal sets are
-one node.
+one node, named by the least 64-bit hash of their texts; ids come in only when the components are known.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle are one
-shingle as a whole; rows that share an id are one document in the components but keep a row each; an empty table gives no
+shingle as a whole; rows that share an id are one document in the components (each of its texts links) but keep a row each;
+rows without an id link like others and take the smallest id of their component, null if it has none; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -209,7 +210,7 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.nda
 
 
 def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """id, number of shingles, two hashes of the set, the point, and the first keys of each class."""
+    """id, hash of the text, number of shingles, two hashes of the set, the point, and the first keys of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +220,11 @@ def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
                 points = [_pack_point(u) for u in sets]
                 heads = [list(layout.keys(u)[1].items()) if len(u) else [] for u in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, len(sets)), pa.array([len(u) for u in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary()), pa.array(heads, pa.map_(pa.int32(), pa.list_(pa.int64())))],
-                    names=["id", "n", "h1", "h2", "point", "heads"],
+                    [batch.column("id").slice(a, len(sets)), batch.column("hash").slice(a, len(sets)), pa.array([len(u) for u in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary()), pa.array(heads, pa.map_(pa.int32(), pa.list_(pa.int64())))],
+                    names=["id", "hash", "n", "h1", "h2", "point", "heads"],
                 )
 
-    return rows.mapInArrow(released(run), "id long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
+    return rows.mapInArrow(released(run), "id long, hash long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
 
 
 def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
@@ -251,13 +252,13 @@ def _packed(rows: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 z = [press(flat[offsets[j] : offsets[j + 1]]) for j in range(i, i + len(part))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(z, pa.binary())], names=["id", "z"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(z, pa.binary())], names=["row", "id", "z"])
 
-    return rows.mapInArrow(released(run), "id long, z binary")
+    return rows.mapInArrow(released(run), "row long, id long, z binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """The pairs (u, v) of ids that are linked."""
+    """The pairs (u, v) of nodes that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -373,13 +374,21 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
     return dealt.mapInArrow(released(run), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links lead to) of every row of docs."""
+def text_hash(text: str) -> F.Column:
+    """What groups() calls a row's hash."""
+    return F.xxhash64(F.col(text))
+
+
+def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, hash of the text, n (shingles), component (of linked texts, whatever their ids; null without shingles) and least (the
+    component's smallest id) of every row of docs."""
     layout = Layout(percent)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
     nodes = written(_nodes(rows, size, layout), "ngram-nodes")
     alike = ["n", "h1", "h2"]
-    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(F.min("id").alias("id"), F.first("point").alias("point"), F.first("heads").alias("heads")), "ngram-sets")
+    # A set's id is its node; `row` with it names rows that have its text (equal ones), `least` is the smallest id.
+    one = F.min(F.struct("hash", "id"))
+    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(one["hash"].alias("id"), one["id"].alias("row"), F.min("id").alias("least"), F.first("point").alias("point"), F.first("heads").alias("heads")), "ngram-sets")
     keys = _keys(rows, size, layout)
     shared = written(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key"), "ngram-shared")
     members = written(keys.join(shared, "key", "left_semi").distinct(), "ngram-members")
@@ -398,8 +407,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     star = written(_near(ends(star, "lead", "h1"), layout).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ngram-star")
 
     def texts_for(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-        return written(_packed(rows).join(need, "id", "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
+        need = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(sets.select("id", "row"), "id")
+        packed = _packed(rows)
+        return written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
 
     texts = texts_for(star)
     links = written(_verified(star, texts, size, layout), "ngram-links")
@@ -427,8 +437,26 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
         links = links.unionByName(_verified(near, more_texts, size, layout))
         found = written(components(links), "ngram-components")
         discard(more_texts)
-    ids = sets.join(found, sets["id"] == found["node"], "left").select(*alike, F.coalesce("component", "id").alias("component"))
-    out = written(nodes.select("id", *alike).join(ids, alike, "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "ngram-result")
+    ids = sets.join(found, sets["id"] == found["node"], "left").select(*alike, "least", F.coalesce("component", "id").alias("component"))
+    least = ids.groupBy("component").agg(F.min("least").alias("least"))
+    ids = ids.drop("least").join(least, "component")
+    out = written(nodes.select("id", "hash", *alike).join(ids, alike, "left").select("id", "hash", "n", "component", "least"), "ngram-groups")
     for made in (nodes, sets, shared, members, texts, star, left):
         discard(made)
     return out
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links lead to) of every row of docs."""
+    found = groups(docs, size, percent, doc_id, text)
+    # An id whose texts lie in several components makes them one.
+    named = found.filter("id is not null and component is not null")
+    split = written(named.groupBy("id").agg(F.min("component").alias("v"), F.max("component").alias("w")).filter("v != w").select("id", "v"), "ngram-split")
+    least = F.col("least")
+    if not split.isEmpty():
+        joined = components(named.join(split, "id").select(F.col("component").alias("u"), "v").filter("u != v"))
+        whole = named.select(F.col("component").alias("node"), "least").distinct().join(joined.withColumnRenamed("component", "all"), "node")
+        whole = whole.join(whole.groupBy("all").agg(F.min("least").alias("__least")), "all").select("node", "__least")
+        found = found.join(whole, found["component"] == whole["node"], "left")
+        least = F.coalesce("__least", "least")
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(least, "id").alias("component_id"))

@@ -23,12 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links connect (five words, similarity 0.8 or more); of rows that
-    repeat an id, one."""
-    found = rtree.near_duplicates(docs, size=5, percent=80)
-    kept = docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """Of each group of texts that links connect (five words, similarity 0.8 or more) the row with the smallest id; a row without
+    an id only where no row has one, and of rows that share id and text the least by the other columns.  Other rows that share
+    an id, and texts without words, stay."""
+    found = rtree.groups(docs, size=5, percent=80)
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("r"))
+    kept = first.select("r.id", "r.hash", F.lit(True).alias("__one")).unionByName(found.filter("component is null").select("id", "hash", F.lit(False).alias("__one")).distinct())
+    rows = docs.withColumn("__hash", rtree.text_hash("text"))
+    rows = rows.join(kept, (rows["__hash"] == kept["hash"]) & rows["doc_id"].eqNullSafe(kept["id"])).select(*docs.columns, "__hash", "__one")
+    if found.filter("component is not null").groupBy("id", "hash").count().filter("count > 1").isEmpty():
+        return rows.select(*docs.columns)
+    one = rows.filter("__one").groupBy("doc_id", "__hash").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return one.unionByName(rows.filter("not __one").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as p
+from arbora.llm import rtree
 
 from . import brute
 
@@ -39,3 +40,34 @@ def test_five_words(spark, monkeypatch):
     want = [r for r in rows if five[r[0]][1] == r[0]]
     assert len(want) < sum(four[r[0]][1] == r[0] for r in rows)
     assert stage(spark, rows) == sorted(want, key=repr)
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    """A row goes only for a copy or near copy that stays."""
+    rnd = random.Random(6)
+    a, b, c, d = ([f"{x}{i}" for i in range(200)] for x in "abcd")
+    near = lambda words: " ".join(changed(rnd, words, rnd.randrange(100), 2))
+    rows = [
+        *[(7, " ".join(a), "en"), (7, " ".join(b), "en"), (7, " ".join(b), "de")],
+        *[(9, near(a), "en"), (None, near(b), "en"), (None, " ".join(c), "en"), (None, " ".join(c), "en")],
+        *[(None, " ".join(d), "en"), (12, near(d), "en"), (None, "quite another text without an id", "en")],
+        *[(20, "", "en"), (None, None, "en"), (20, " ", "en")],
+    ]
+    want = [rows[0], rows[2], rows[5], rows[8], *rows[9:]]
+    assert stage(spark, rows) == sorted(want, key=repr)
+
+    found = rtree.near_duplicates(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=repr)
+    want = [(7, 197, 7)] * 3 + [(9, 197, 7), (None, 197, 7)] + [(None, 197, None)] * 2 + [(None, 197, 12), (12, 197, 12), (None, 3, None), (20, 0, 20), (20, 0, 20), (None, 0, None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_each_text_of_an_id_links(spark):
+    """Two texts share id 50: what either is near to is in its component, smaller ids too."""
+    rnd, rows = random.Random(7), []
+    for x in "ab":
+        words = [f"{x}{i}" for i in range(300)]
+        rows += [(50, " ".join(words)), ({"a": 3, "b": 4}[x], " ".join(changed(rnd, words, 40, 2)))]
+    for _ in range(2):
+        got = {(r["doc_id"], r["component_id"]) for r in rtree.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert got == {(50, 3), (3, 3), (4, 3)}
