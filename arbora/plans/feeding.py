@@ -199,8 +199,9 @@ bb as (select doc_id, k * {BLOCK} as o, (encode(body))[k * {BLOCK} + 1 : k * {BL
 f as (select doc_id, x, min(o) as basis_offset from ab group by 1, 2), plan as (select bb.doc_id, bb.o as "offset", octet_length(bb.x) as len, sha256(bb.x) as hash, f.basis_offset from bb left join f on f.doc_id = bb.doc_id and f.x = bb.x)"""
 
 
-def _bodies(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 2 = 0")
+def _bodies(spark, d, every=False):
+    docs = table(spark, d, "documents")
+    docs = docs if every else docs.filter("doc_id % 2 = 0")
     b = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Q"), F.col("text"))).when(F.col("doc_id") % 4 == 0, F.concat(F.expr("left(text, 700)"), F.lit("zz"), F.expr("substring(text, 703)"))).otherwise(F.col("text"))
     return docs.select("doc_id", F.col("text").alias("body")), docs.select("doc_id", b.alias("body"))
 
@@ -281,7 +282,7 @@ def cdc_invariants(spark, d):
 
 @query("cdc_reuse")
 def cdc_reuse(spark, d):
-    a, b = _bodies(spark, d)
+    a, b = _bodies(spark, d, every=True)
     return chunks.reuse(chunks.plan(chunks.signature(b, "body", ("doc_id",), 64), chunks.signature(a, "body", ("doc_id",), 64), ["doc_id"]), ["doc_id"])
 
 
