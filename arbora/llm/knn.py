@@ -11,7 +11,8 @@ until they hold k rows.  A query is then sent only to the groups whose bound q.p
 group only rows with q.p + |q| |v - p| >= that score are scored.  Each group is dealt out in chunks, so that a group that holds
 a third of all rows is many tasks; every chunk gives its own k best and a ranking merges them.
 
-Equal vectors are folded first: of rows with the same components only the k + 1 smallest ids can be among anyone's k best.
+Equal vectors are folded first: of rows with the same components only the k + 1 smallest ids, with k rows each at most, can be among
+anyone's k best.
 
 Components are integers (floor(256 x)), so bounds are compared with a margin and the scores are exact.
 
@@ -50,8 +51,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = PIVOTS)
     """query_id, rank, vec_id, score: the k largest inner products of each query (vec_id, q) with the rows of data
     (vec_id, q) of another id; ties to the smaller vec_id."""
     spark = data.sparkSession
-    alike = Window.partitionBy("q").orderBy("vec_id")
-    data = data.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "q")
+    same, alike = Window.partitionBy("q", "vec_id").orderBy("vec_id"), Window.partitionBy("q").orderBy("vec_id")
+    data = data.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k).select("vec_id", "q")
+    data = data.withColumn("n", F.dense_rank().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "q")
     centre = np.array([r["q"] for r in data.orderBy(F.xxhash64("q"), "vec_id").limit(pivots).select("q").collect()], np.float64)
     schema = T.StructType.fromDDL("query_id long, rank int, vec_id long, score long")
     if not len(centre):
@@ -73,7 +75,10 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = PIVOTS)
     groups = np.array(sorted(summary))
     radius, count = np.array([summary[g][0] for g in groups]), np.array([summary[g][1] for g in groups])
     chunks = np.maximum(1, -(-count // CHUNK))
-    bounds = spark.sparkContext.broadcast((groups, centre[groups], radius, count, chunks))
+    # For the floor an id counts once, in one of its groups: among k + 1 ids only one can be the query's.
+    home = {r["g"]: r["n"] for r in grouped.groupBy("vec_id").agg(F.min("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    ids_in = np.array([home.get(g, 0) for g in groups.tolist()], np.int64)
+    bounds = spark.sparkContext.broadcast((groups, centre[groups], radius, ids_in, chunks))
 
     def route(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query's floor on its k-th best score and the chunks that can hold anything above it."""
