@@ -4,16 +4,20 @@ Every line that isn't blank gets features of its own and of its neighbours; a ch
 together with the transitions between neighbours.  A document's score is the mean of its lines' forward-backward marginals
 for good, weighted by length, put on the scale of probabilities by a logistic curve.
 
-The model is fitted on a bounded sample of labelled documents (TRAIN_DOCS at most, drawn by hash of the id), each of whose
-lines carries the document's label; scoring covers every line of every text.
+The model is fitted on a bounded sample of labelled documents (TRAIN_DOCS documents and TRAIN_BYTES bytes of text at most, taken
+by hash of the id), by one task on an executor; the driver only gets the model.  A document's label says nothing about a single
+line of it, so line labels are learnt: in a bad document those lines that a model of single lines takes for good are good (its
+worst line stays bad), in ROUNDS turns of fitting and labelling.  The chain is then fitted on those line labels.  Scoring covers
+every line of every text.
 
 Cases: null, empty and blank texts score 0; labels that are null are left out, of several for one id the largest counts; with
-no labels or labels of one kind every text with lines scores that kind's share (0.5 without labels); rows that repeat score
-alike; an empty table gives no rows; columns named like those added are replaced.
+no labels or labels of one kind every text with lines scores that kind's share (0.5 without labels); of several texts for one
+id the least is learnt from; rows that repeat score alike; an empty table gives no rows; columns named like those added are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices, texts_of
+from .common import discard, released, slices, texts_of, written
 
-#: Labelled documents that the model is fitted on, at most; passes over them.
-TRAIN_DOCS, EPOCHS = 3000, 150
+#: Labelled documents that the model is fitted on, and their bytes, at most.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 16 << 20
+#: Turns of labelling lines; passes over the lines in each, and for the chain.
+ROUNDS, LINE_EPOCHS, EPOCHS = 3, 40, 80
 THRESHOLD = 0.3
 BLOCK_BYTES = 1 << 20
 
@@ -139,33 +145,62 @@ def _marginals(doc: np.ndarray, edge: np.ndarray, turn: np.ndarray) -> tuple[np.
     return good[:, 1], pair, norm
 
 
-def fit(texts: list[str], quality: list[int]) -> Model:
-    """A model from texts with their labels (0 or 1)."""
-    y = np.array(quality, np.int64)
+class _Climb:
+    """Gradient ascent with momentum and a step for each weight."""
+
+    def __init__(self, n: int, rate: float = 0.1):
+        self.m1, self.m2, self.rate, self.step = np.zeros(n), np.zeros(n), rate, 0
+
+    def move(self, grad: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.m1, self.m2 = 0.9 * self.m1 + 0.1 * grad, 0.99 * self.m2 + 0.01 * grad * grad
+        return self.rate * (self.m1 / (1 - 0.9**self.step)) / (np.sqrt(self.m2 / (1 - 0.99**self.step)) + 1e-8)
+
+
+def _line_labels(x: np.ndarray, doc: np.ndarray, y: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Each line's label: that of its document, but in a bad document lines that look good by themselves are good, except the
+    worst."""
+    own = np.append(np.arange(_OWN), x.shape[1] - 1)
+    x, target = x[:, own], y[doc].astype(np.float64)
+    bad = y[doc] == 0
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    w = np.zeros(x.shape[1])
+    for _ in range(ROUNDS):
+        climb = _Climb(len(w))
+        for _ in range(LINE_EPOCHS):
+            p = 1 / (1 + np.exp(-(x @ w.astype(np.float32)).astype(np.float64)))
+            w = w + climb.move((((target - p) * per).astype(np.float32) @ x).astype(np.float64) / len(x) - 1e-3 * np.append(w[:-1], 0))
+        edge = x @ w.astype(np.float32)
+        worst = np.repeat(np.minimum.reduceat(edge, head), np.diff(np.append(head, len(edge))))
+        target = np.where(bad, (edge > 0) & (edge > worst), 1).astype(np.float64)
+    return target
+
+
+def fit_lines(doc: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
+    """A model from the lines of documents with labels y; doc, size and x (float32) as line_features() tells them."""
     dims = 3 * _OWN + 2
-    if len(set(quality)) < 2:
+    if len(np.unique(y)) < 2:
         return Model(np.zeros(dims), np.zeros((2, 2)), np.stack([np.zeros(dims), np.ones(dims)]), (1.0, 0.0), float(y.mean()) if len(y) else 0.5)
-    raw = [(t or "").encode() for t in texts]
-    doc, size, x = line_features(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
-    scale = np.stack([x.mean(0), np.maximum(x.std(0), 1e-3)])
-    x = np.concatenate([np.clip((x - scale[0]) / scale[1], -6, 6), np.ones((len(x), 1))], 1)
-    target = y[doc].astype(np.float64)
-    new = np.append(True, doc[1:] != doc[:-1])
+    scale = np.stack([x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)]) if len(x) else np.stack([np.zeros(dims), np.ones(dims)])
+    x = _scaled(x, scale)
+    new = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
     inner = np.flatnonzero(~new)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[doc[inner - 1]], y[doc[inner]]), 1)
     # A document counts the same however many lines it has, as nearly as a chain allows.
-    per = 1 / np.bincount(doc, minlength=len(y))[doc]
-    per /= per.mean()
-    w, turn = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for step in range(1, EPOCHS + 1):
-        good, pair, _ = _marginals(doc, x @ w, turn)
-        grad = np.concatenate([((target - good) * per) @ x / len(x) - 1e-3 * np.append(w[:-1], 0), ((seen - pair) / len(x) - 1e-3 * turn).ravel()])
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
-        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w, turn = w + move[: len(w)], turn + move[len(w) :].reshape(2, 2)
-    good, _, _ = _marginals(doc, x @ w, turn)
+    per = 1 / np.bincount(doc, minlength=len(y))[doc] if len(doc) else np.zeros(0)
+    per = per / per.mean() if len(per) else per
+    w, turn = np.zeros(dims + 1), np.zeros((2, 2))
+    if len(x):
+        target = _line_labels(x, doc, y, per)
+        state = target.astype(np.int64)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (state[inner - 1], state[inner]), 1)
+        climb = _Climb(len(w) + 4)
+        for _ in range(EPOCHS):
+            good, pair, _ = _marginals(doc, (x @ w.astype(np.float32)).astype(np.float64), turn)
+            grad = (((target - good) * per).astype(np.float32) @ x).astype(np.float64) / len(x) - 1e-3 * np.append(w[:-1], 0)
+            move = climb.move(np.concatenate([grad, ((seen - pair) / len(x) - 1e-3 * turn).ravel()]))
+            w, turn = w + move[: len(w)], turn + move[len(w) :].reshape(2, 2)
+    good, _, _ = _marginals(doc, (x @ w.astype(np.float32)).astype(np.float64), turn)
     mean = _weighted(doc, size, good, len(y))
     have = np.bincount(doc, minlength=len(y)) > 0
     z, t = np.log((mean[have] + 1e-3) / (1 - mean[have] + 1e-3)), y[have]
@@ -180,6 +215,30 @@ def fit(texts: list[str], quality: list[int]) -> Model:
     return Model(w, turn, scale, (float(max(a, 0.05)), float(b)), None)
 
 
+def _scaled(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features by their mean and deviation, and a last one that is always 1."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.subtract(x, scale[0].astype(np.float32), out=out[:, :-1])
+    out[:, :-1] /= scale[1].astype(np.float32)
+    np.clip(out[:, :-1], -6, 6, out=out[:, :-1])
+    return out
+
+
+def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features() of many texts, BLOCK_BYTES at a time."""
+    offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3 * _OWN + 2), np.float32))]
+    for a, b in slices(offsets, BLOCK_BYTES):
+        doc, size, x = line_features(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
+        parts.append((doc + a, size, x.astype(np.float32)))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def fit(texts: list[str], quality: list[int]) -> Model:
+    """A model from texts with their labels (0 or 1)."""
+    return fit_lines(*_lines([(t or "").encode() for t in texts]), np.array(quality, np.int64))
+
+
 def _weighted(doc: np.ndarray, size: np.ndarray, good: np.ndarray, n: int) -> np.ndarray:
     total = np.bincount(doc, weights=size, minlength=n)
     return np.bincount(doc, weights=size * good, minlength=n) / np.maximum(total, 1)
@@ -192,8 +251,7 @@ def scores(model: Model, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     have = np.bincount(doc, minlength=n) > 0
     if model.share is not None:
         return np.where(have, model.share, 0.0), doc, np.full(len(doc), model.share)
-    x = np.clip((x - model.scale[0]) / model.scale[1], -6, 6)
-    good, _, _ = _marginals(doc, x @ model.weights[:-1] + model.weights[-1], model.turn)
+    good, _, _ = _marginals(doc, (_scaled(x, model.scale) @ model.weights.astype(np.float32)).astype(np.float64), model.turn)
     mean = _weighted(doc, size, good, n)
     z = model.curve[0] * np.log((mean + 1e-3) / (1 - mean + 1e-3)) + model.curve[1]
     return np.where(have, 1 / (1 + np.exp(-z)), 0.0), doc, good
@@ -203,13 +261,30 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """A model from the labelled documents that aren't held out, `most` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from the labelled documents that aren't held out, `most` of them and `most_bytes` of text at most."""
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    some = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [min(1, max(0, r["quality"])) for r in rows])
+    some = known.withColumn("turn", F.md5(F.col("doc_id").cast("string"))).orderBy("turn", "doc_id").limit(most)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "turn").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    sample = written(sample, "crf-sample")
+    # Numbers of `most` documents at most; a text that doesn't fit any more is left out.
+    held, chosen = 0, []
+    for r in sample.select("doc_id", F.octet_length("text").alias("n")).orderBy("turn", "doc_id").collect():
+        if held + r["n"] <= most_bytes:
+            held += r["n"]
+            chosen.append(r["doc_id"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), batch.column("text").to_pylist())
+        rows.sort()
+        model = fit([r[2] for r in rows], [min(1, max(0, r[1])) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(model))], pa.binary())], names=["model"])
+
+    fitted = sample.filter(F.col("doc_id").isin(chosen)).select("doc_id", "quality", "text").coalesce(1).mapInArrow(released(learn), "model binary").collect()
+    discard(sample)
+    return Model(*pickle.loads(bytes(fitted[0]["model"]))) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:

@@ -11,7 +11,8 @@ from .common import discard, written
 def components(edges: DataFrame) -> DataFrame:
     """From edges (u, v): node and component, the smallest node it reaches, of every node with an edge to another one.
 
-    Each round is two grouped minima and equi-joins; the number of rounds grows with the logarithm of the longest path."""
+    Edges without a node at one end make none, an edge of a node with itself neither; repeated edges count once; no edges, no
+    rows.  Each round is two grouped minima and equi-joins; the number of rounds grows with the logarithm of the longest path."""
     now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:

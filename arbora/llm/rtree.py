@@ -1,22 +1,23 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document's set of distinct word shingles is hashed into GROUPS groups; its group counts are a point.  For two documents the
-overlap is at most the sum of the coordinate minima of their points, and for a document and a box the sum of the minima with
-the box's upper corner: an R-tree over the points (packed by sort-tile-recursion) finds all documents that can reach the
-overlap needed, and surviving pairs are verified on the sets themselves.
-
-One tree over a corpus would not prune (counts of long documents look alike), so points are first dealt to small trees by the
-same counting argument in many more groups: sets that are similar enough differ in at most d shingles; cut into more than d
+A document's set of distinct word shingles is hashed into groups; its group counts are a point.  For two documents the overlap
+is at most the sum of the coordinate minima of their points, and for a document and a box the sum of the minima with the box's
+upper corner: an R-tree over the points (packed by sort-tile-recursion) finds all documents that can reach the overlap needed,
+and surviving pairs are verified on the sets themselves.  Points have about half as many groups as a set has shingles (a power
+of two): with fewer, counts of long documents look alike and bound nothing.  Boxes are kept on COARSE groups.
+
+One tree over a corpus would still not prune (boxes around unlike documents reach everything), so documents are first dealt to
+small trees by the same counting argument: sets that are similar enough differ in at most d shingles; cut into more than d
 blocks of the hash range they agree in a whole block.  Each block that isn't empty is a key, so similar sets meet under one;
-blocks outnumber d by a margin, and a set that has more empty blocks than that margin adds its empty ones as keys.
-
-Under a key, every set is first verified against the key's smallest (a star: as many pairs as rows).  Components of the links
-found tell which pairs are settled.  Keys whose sets are still in several components build their R-trees, in chunks of bounded
-size: the members outside of the key's largest component search every chunk.
+blocks outnumber d by a margin, and a set that has more empty blocks than that margin adds its empty ones as keys.  A key's
+lead is the member that shares most keys (an original has more in common than its edited copies); all members of a lead's keys
+(of one class of sizes) make one neighbourhood, with one tree, in parts of bounded size.
 
-Only components are wanted, so a pair that is already connected need not be verified; no link between different components is
-ever left out.  Pairs that the trees leave pass the same bound on FINE groups before their texts are fetched.  Equal sets are
-one node, named by the least 64-bit hash of their texts; ids come in only when the components are known.
+Trees are searched twice.  First by the lead: as many searches as neighbourhoods.  Components of the links found tell which
+pairs are settled.  Then, in neighbourhoods that still hold several components, by the members outside of the largest one;
+only pairs between different components are taken.  Only components are wanted, so a pair that is already connected need not
+be verified; no link between different components is ever left out.  Equal sets are one node, named by the least 64-bit hash
+of their texts; ids come in only when the components are known.
 
 Cases: null, empty and blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle are one
 shingle as a whole; rows that share an id are one document in the components (each of its texts links) but keep a row each;
@@ -37,8 +38,11 @@ from pyspark.sql import functions as F
 from .common import discard, released, slices, texts_of, written
 from .graph import components
 
-GROUPS, FINE, LEAF, CHUNK, HEADS = 64, 512, 16, 1024, 8
+#: Groups of the boxes, and of the points at most; entries of a node; points of a tree, and pairs with one lead in one task.
+COARSE, FINEST, LEAF, CHUNK, SALT = 64, 4096, 16, 1024, 1000
 BLOCK_BYTES = 1 << 20
+#: Keys in one row.
+KEYS_ROW = 4096
 
 _random = np.random.Generator(np.random.PCG64(77))
 _BYTE = _random.integers(0, 2**64, 256, np.uint64)
@@ -119,43 +123,46 @@ class Layout:
         """The overlap that links two sets with `total` shingles together."""
         return -(-self.percent * total // (100 + self.percent))
 
-    def keys(self, u: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """The keys of a sorted set of hashes (the low six bits are the class), and by class those of the first HEADS blocks,
-        0 for an empty one."""
-        n, out, heads = len(u), [], {}
-        if self.largest(n) == n and self.largest(n - 1) < n:
-            return np.zeros(0, np.int64), heads  # it can only be linked with its equals
+    def keys(self, u: np.ndarray) -> np.ndarray:
+        """The keys of a sorted set of hashes; the low six bits are the class."""
+        n, out = len(u), []
+        if n == 0 or (self.largest(n) == n and self.largest(n - 1) < n):
+            return np.zeros(0, np.int64)  # it can only be linked with its equals
         top = int(np.searchsorted(self.edges, n, "right")) - 1
         low = int(np.searchsorted(self.edges, -(-self.percent * n // 100), "right")) - 1
+        mixed = _mix(u)
         for c in range(low, top + 1):
             m = self.blocks[c]
             block = ((u >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             have = block[start]
-            key = np.add.reduceat(_mix(u), start) + have * _ODD[7]
+            key = np.add.reduceat(mixed, start) + have * _ODD[7]
             if m - len(start) > m - min(self.differ[c], self.most_apart(n)) - 1:
                 empty = np.ones(m, bool)
                 empty[have.astype(np.int64)] = False
                 key = np.append(key, np.flatnonzero(empty).astype(np.uint64) * _ODD[7])
             key = _mix(key + np.array([c], np.uint64) * _ODD[8])
-            key = (key << np.uint64(6) | np.uint64(c)).view(np.int64)
-            out.append(key)
-            first = np.zeros(HEADS, np.int64)
-            early = np.flatnonzero(have < HEADS)
-            first[have[early].astype(np.int64)] = key[early]
-            heads[c] = first.tolist()
-        return np.concatenate(out), heads
+            out.append((key << np.uint64(6) | np.uint64(c)).view(np.int64))
+        return np.concatenate(out)
+
+
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points of fewer groups: neighbouring ones are counted together."""
+    while points.shape[1] > groups:
+        points = points[:, 0::2] + points[:, 1::2]
+    return points
 
 
 class RTree:
-    """Points packed by sort-tile-recursion; nodes have an upper corner and a least size."""
+    """Points packed by sort-tile-recursion; nodes have an upper corner (on COARSE groups) and a least size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = self._tiles(points, np.arange(len(points)), sizes)
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        coarse = fold(points, COARSE)
+        self.order = self._tiles(coarse, np.arange(len(points)), sizes)
+        self.points, self.coarse, self.sizes = points[self.order], coarse[self.order], sizes[self.order]
         self.levels = []
-        corner, least = self.points, self.sizes
-        while len(corner) > 1:
+        corner, least = self.coarse, self.sizes
+        while len(corner) > LEAF:
             cut = np.arange(0, len(corner), LEAF)
             corner, least = np.maximum.reduceat(corner, cut), np.minimum.reduceat(least, cut)
             self.levels.append((corner, least))
@@ -164,43 +171,55 @@ class RTree:
     def _tiles(points: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """By size first; then, inside slabs, by the coordinates that vary most."""
         at = at[np.argsort(sizes[at], kind="stable")]
+        if len(at) <= LEAF:
+            return at
         slab = max(LEAF, int(math.sqrt(len(at) / LEAF) + 1) * LEAF)
         out = []
         for a in range(0, len(at), slab):
             part = at[a : a + slab]
             axis = int(points[part].var(0).argmax())
             out.append(part[np.argsort(points[part, axis], kind="stable")])
-        return np.concatenate(out) if out else at
+        return np.concatenate(out)
 
     def search(self, q: np.ndarray, size: int, layout: Layout) -> np.ndarray:
         """Indices of the points whose overlap with q can be enough."""
-        live = np.arange(len(self.levels[-1][0])) if self.levels else np.zeros(0, np.int64)
+        rough = fold(q[None], COARSE)[0]
+        live = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[depth]
-            ok = np.minimum(corner[live], q).sum(1) >= layout.needed(size + least[live])
+            ok = np.minimum(corner[live], rough).sum(1) >= layout.needed(size + least[live])
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             live = (live[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
             live = live[live < below]
-        if not self.levels:
-            live = np.arange(len(self.points))
-        ok = np.minimum(self.points[live], q).sum(1) >= layout.needed(size + self.sizes[live])
+        need = layout.needed(size + self.sizes[live])
+        ok = np.minimum(self.coarse[live], rough).sum(1) >= need
+        live, need = live[ok], need[ok]
+        ok = np.minimum(self.points[live], q).sum(1) >= need
         return self.order[live[ok]]
 
 
-def _pack_point(u: np.ndarray, groups: int = GROUPS) -> bytes:
-    """A set's group counts: a unit, and a byte for each group, rounded up to units (so that bounds stay bounds)."""
-    counts = np.bincount((u >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
-    unit = max(1, -(-int(counts.max()) // 255)) if len(u) else 1
-    return unit.to_bytes(4, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
-
-
-def _unpack_points(flat: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    rows = flat.reshape(-1, groups + 4)
-    return rows[:, 4:].astype(np.int64) * np.frombuffer(np.ascontiguousarray(rows[:, :4]).tobytes(), "<u4").astype(np.int64)[:, None]
-
-
-def _points(batch: pa.RecordBatch, name: str, groups: int) -> np.ndarray:
-    return _unpack_points(texts_of(batch, name)[0], groups)
+def pack_point(u: np.ndarray) -> bytes:
+    """A set's group counts: log2 of the number of groups, a unit, and four bits for each group, rounded up to units (so that
+    bounds stay bounds)."""
+    bits = min(FINEST.bit_length(), max(COARSE.bit_length(), len(u).bit_length() - 1)) - 1
+    counts = np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    unit = max(1, -(-int(counts.max()) // 15))
+    counts = (-(-counts // unit)).astype(np.uint8)
+    return bytes([bits]) + unit.to_bytes(4, "little") + (counts[0::2] << 4 | counts[1::2]).tobytes()
+
+
+def unpack_points(packed: list[bytes]) -> np.ndarray:
+    """Points as rows, all with the number of groups of the coarsest."""
+    bits = np.array([p[0] for p in packed])
+    out = np.empty((len(packed), 1 << int(bits.min())), np.int32)
+    for b in np.unique(bits):
+        mine = np.flatnonzero(bits == b)
+        raw = np.frombuffer(b"".join(packed[i] for i in mine), np.uint8).reshape(len(mine), -1)
+        unit = np.ascontiguousarray(raw[:, 1:5]).view("<u4").astype(np.int32)
+        counts = np.empty((len(mine), 1 << int(b)), np.int32)
+        counts[:, 0::2], counts[:, 1::2] = raw[:, 5:] >> 4, raw[:, 5:] & 15
+        out[mine] = fold(counts * unit, out.shape[1])
+    return out
 
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -210,36 +229,31 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.nda
 
 
 def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """id, hash of the text, number of shingles, two hashes of the set, the point, and the first keys of each class."""
+    """id, hash of the text, number of shingles, two hashes of the set, its point and its keys; further rows without a point for
+    sets with more than KEYS_ROW keys.  A set that a task meets again comes without keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
+            ids, hashes = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
             for a, sets in _blocks(batch, size):
-                h1 = np.array([_mix(u).sum(dtype=np.uint64) for u in sets], np.uint64)
-                h2 = np.array([_mix(u ^ _ODD[10]).sum(dtype=np.uint64) for u in sets], np.uint64)
-                points = [_pack_point(u) for u in sets]
-                heads = [list(layout.keys(u)[1].items()) if len(u) else [] for u in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, len(sets)), batch.column("hash").slice(a, len(sets)), pa.array([len(u) for u in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary()), pa.array(heads, pa.map_(pa.int32(), pa.list_(pa.int64())))],
-                    names=["id", "hash", "n", "h1", "h2", "point", "heads"],
-                )
-
-    return rows.mapInArrow(released(run), "id long, hash long, n long, h1 long, h2 long, point binary, heads map<int,array<long>>")
-
-
-def _keys(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """key and h1 for each key of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in _blocks(batch, size):
-                keys = [layout.keys(u)[0] for u in sets if len(u)]
-                own = [_mix(u).sum(dtype=np.uint64) for u in sets if len(u)]
-                if keys:
-                    h1 = np.repeat(np.array(own, np.uint64).view(np.int64), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1)], names=["key", "h1"])
-
-    return rows.mapInArrow(released(run), "key long, h1 long")
+                out = []
+                for i, u in enumerate(sets):
+                    if not len(u):
+                        out.append((ids[a + i], hashes[a + i], 0, 0, 0, b"", None))
+                        continue
+                    h1 = int(_mix(u).sum(dtype=np.uint64).view(np.int64))
+                    h2 = int(_mix(u ^ _ODD[10]).sum(dtype=np.uint64).view(np.int64))
+                    keys = layout.keys(u) if h1 not in met else np.zeros(0, np.int64)
+                    if len(met) < 1 << 18:
+                        met.add(h1)
+                    out.append((ids[a + i], hashes[a + i], len(u), h1, h2, pack_point(u), keys[:KEYS_ROW]))
+                    out += [(None, None, -1, h1, h2, None, keys[k : k + KEYS_ROW]) for k in range(KEYS_ROW, len(keys), KEYS_ROW)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    names = ["id", "hash", "n", "h1", "h2", "point", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return rows.mapInArrow(released(run), "id long, hash long, n long, h1 long, h2 long, point binary, keys array<long>")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -258,7 +272,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """The pairs (u, v) of nodes that are linked."""
+    """The pairs (u, v) of nodes that are linked; a u with very many pairs is dealt to several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -282,83 +296,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) ->
                 good.append(100 * common >= layout.percent * (len(mine) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
 
-    with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
-    both = with_v.join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
+    salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    # u's text once for each of its salts; then its pairs come to it, dealt by v.
+    left = texts.select(F.col("id").alias("u"), F.col("z").alias("zu")).join(salts, "u").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(salts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
+    both = with_v.select("u", "salt", "v", "zv").join(left.select("u", "salt", "zu"), ["u", "salt"])
     return both.select("u", "v", "zu", "zv").mapInArrow(released(run), "u long, v long")
 
 
-def _fine(texts: DataFrame, size: int) -> DataFrame:
-    """id, n, and a point of FINE groups for each packed text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            n, points = [], []
-            for z in batch.column("z"):
-                flat = np.frombuffer(unpack(z.as_py()), np.uint8)
-                u = shingle_sets(flat, np.array([0, len(flat)]), size)[0]
-                n.append(len(u))
-                points.append(_pack_point(u, FINE))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(points, pa.binary())], names=["id", "n", "point"])
-
-    return texts.mapInArrow(released(run), "id long, n long, point binary")
-
-
-def _near(pairs: DataFrame, layout: Layout, groups: int = GROUPS) -> DataFrame:
-    """Of pairs with points pu, pv and sizes nu, nv those whose bound on the overlap is enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 2048):
-                part = batch.slice(a, 2048)
-                bound = np.minimum(_points(part, "pu", groups), _points(part, "pv", groups)).sum(1)
-                total = part.column("nu").to_numpy() + part.column("nv").to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(bound >= layout.needed(total)))
-
-    return pairs.mapInArrow(released(run), "u long, v long")
-
-
 def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
-    """dealt: key, part, id, n, point, component, asks - sorted by key and part.  The pairs that each part's R-tree leaves for
-    the rows that ask."""
-
-    def group(key, ids, n, points, heads, component, asks) -> tuple[list, list]:
-        data = ~asks
-        tree, own = RTree(points[data], n[data]), np.flatnonzero(data)
-        us, vs = [], []
+    """dealt: lead, class, part, block, id, n, point, component, data, asks.  The pairs (u, v) of different components that each
+    part's R-tree leaves for the rows that ask."""
+
+    def group(ids, n, packed, component, data, asks) -> Iterator[np.ndarray]:
+        points = unpack_points(packed)
+        own = np.flatnonzero(data)
+        if not len(own):
+            return
+        tree = RTree(points[own], n[own])
         for i in np.flatnonzero(asks):
             hit = own[tree.search(points[i], int(n[i]), layout)]
             hit = hit[component[hit] != component[i]]
-            # Two sets that meet under one of their first keys are taken there, and only under the first such key.
-            equal = (heads[hit] == heads[i]) & (heads[i] != 0)
-            hit = hit[~equal.any(1) | (heads[i][equal.argmax(1)] == key)]
-            us.append(np.minimum(ids[i], ids[hit]))
-            vs.append(np.maximum(ids[i], ids[hit]))
-        return us, vs
+            if len(hit):
+                yield np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def solve(t: pa.Table, all_: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
             t = t.combine_chunks()
-            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))) if len(t) else np.zeros(0, int)
-            ends = np.append(start[1:], len(t))
+            by = np.stack([t.column(c).to_numpy() for c in ("lead", "class", "part", "block")])
+            start = np.flatnonzero(np.append(True, (by[:, 1:] != by[:, :-1]).any(0))) if len(t) else np.zeros(0, int)
             last = len(start) if all_ else len(start) - 1
-            cols = [t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "asks")]
-            points = _unpack_points(np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8))
-            heads = t.column("heads").combine_chunks().flatten().to_numpy().reshape(-1, HEADS)
-            us, vs = [], []
-            for a, b in zip(start[:last], ends[:last]):
-                x, y = group(key[a], cols[0][a:b], cols[1][a:b], points[a:b], heads[a:b], cols[2][a:b], cols[3][a:b].astype(bool))
-                us += x
-                vs += y
-            rest = t.slice(int(start[-1])) if not all_ and len(start) else t.slice(len(t))
-            if not us:
+            if last <= 0:
+                return None, t
+            ends = np.append(start[1:], len(t))
+            cols = [t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "data", "asks")]
+            packed = t.slice(0, int(ends[last - 1])).column("point").to_pylist()
+            found = []
+            for a, b in zip(start[:last].tolist(), ends[:last].tolist()):
+                found += group(cols[0][a:b], cols[1][a:b], packed[a:b], cols[2][a:b], cols[3][a:b].astype(bool), cols[4][a:b].astype(bool))
+            rest = t.slice(int(ends[last - 1]))
+            if not found:
                 return None, rest
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"]), rest
+            pair = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"]), rest
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -371,7 +353,8 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(released(run), "u long, v long")
+    by = ["lead", "class", "part", "block"]
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(released(run), "u long, v long")
 
 
 def text_hash(text: str) -> F.Column:
@@ -384,65 +367,64 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     component's smallest id) of every row of docs."""
     layout = Layout(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
-    nodes = written(_nodes(rows, size, layout), "ngram-nodes")
-    alike = ["n", "h1", "h2"]
+    all_nodes = written(_nodes(rows, size, layout), "ngram-nodes")
+    nodes, alike = all_nodes.filter("n >= 0").drop("keys"), ["n", "h1", "h2"]
     # A set's id is its node; `row` with it names rows that have its text (equal ones), `least` is the smallest id.
     one = F.min(F.struct("hash", "id"))
-    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(one["hash"].alias("id"), one["id"].alias("row"), F.min("id").alias("least"), F.first("point").alias("point"), F.first("heads").alias("heads")), "ngram-sets")
-    keys = _keys(rows, size, layout)
+    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(one["hash"].alias("id"), one["id"].alias("row"), F.min("id").alias("least"), F.first("point").alias("point")), "ngram-sets")
+    keys = all_nodes.select(F.explode("keys").alias("key"), "h1")
     shared = written(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key"), "ngram-shared")
     members = written(keys.join(shared, "key", "left_semi").distinct(), "ngram-members")
-    # The star's middle is the member that shares most of its keys: an original has more in common than its edited copies.
+    discard(shared)
+    # A key's lead is the member that shares most keys.
     support = members.groupBy("h1").agg(F.count("*").alias("k")).withColumn("lead", F.col("k") * F.lit(2**40) + F.pmod("h1", F.lit(2**40)))
     graded = members.join(support.select("h1", "lead"), "h1")
     leads = graded.groupBy("key").agg(F.max("lead").alias("lead"))
     middle = graded.join(leads, ["key", "lead"]).groupBy("key").agg(F.min("h1").alias("lead"))
+    around = written(members.join(middle, "key").select("lead", F.pmod("key", F.lit(64)).cast("int").alias("class"), "h1").distinct(), "ngram-around")
+    discard(members)
+    told = sets.select("h1", "id", "n", "point")
+    count = around.groupBy("lead", "class").agg(F.count("*").alias("members"))
+    parts = F.ceil(F.col("members") / CHUNK).cast("int")
 
-    def ends(pairs: DataFrame, left: str, right: str) -> DataFrame:
-        side = lambda h, s: sets.select(F.col("h1").alias(h), F.col("id").alias(s), F.col("n").alias("n" + s), F.col("point").alias("p" + s))
-        both = pairs.join(side(left, "u"), left).join(side(right, "v"), right)
-        return both.filter(f"u != v and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}").select("u", "v", "nu", "nv", "pu", "pv")
-
-    star = members.join(middle, "key").filter("h1 != lead").select("lead", "h1").distinct()
-    star = written(_near(ends(star, "lead", "h1"), layout).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ngram-star")
-
-    def texts_for(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(sets.select("id", "row"), "id")
-        packed = _packed(rows)
-        return written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
-
-    texts = texts_for(star)
+    # The leads' searches.
+    everyone = around.join(count, ["lead", "class"]).join(told, "h1").withColumn("component", F.col("id"))
+    spread = {"block": F.lit(0), "data": F.col("h1") != F.col("lead"), "asks": F.col("h1") == F.col("lead")}
+    everyone = everyone.withColumns(spread).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))))
+    columns = ["lead", "class", "part", "block", "id", "n", "point", "component", "data", "asks"]
+    star = written(_searched(everyone.select(*columns), layout).distinct(), "ngram-star")
+    # Texts of all sets that lie in a neighbourhood.
+    need = around.select("h1").distinct().join(sets.select("h1", "id", "row"), "h1").select("id", "row")
+    packed = _packed(rows)
+    texts = written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
     links = written(_verified(star, texts, size, layout), "ngram-links")
     found = written(components(links), "ngram-components")
 
-    # What is left: keys with three sets or more that still lie in several components.
-    placed = sets.join(found, sets["id"] == found["node"], "left").select("h1", "id", "n", "point", "heads", F.coalesce("component", "id").alias("component"))
-    at = members.join(placed.select("h1", "id", "component"), "h1")
-    state = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).filter("a != b and members > 2")
-    most = at.join(state.select("key", "members"), "key").groupBy("key", "component", "members").agg(F.count("*").alias("k")).groupBy("key", "members").agg(F.max(F.struct("k", "component")).alias("m"))
-    head = F.element_at("heads", F.pmod("key", F.lit(64)).cast("int"))
-    left = at.join(most.select("key", "members", F.col("m.component").alias("main")), "key").join(placed.select("id", "heads"), "id").select("key", "members", "main", "id", "component", head.alias("heads"))
-    left = written(left, "ngram-left")
-    parts = F.ceil(F.col("members") / CHUNK).cast("int")
-    data = left.withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "asks": F.lit(False)})
-    asks = left.filter("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.lit(True))
-    dealt = data.unionByName(asks).select("key", "part", "id", "component", "heads", "asks").join(placed.select("id", "n", "point"), "id")
-    dealt = dealt.select("key", "part", "id", "n", "point", "heads", "component", "asks").repartition("key", "part").sortWithinPartitions("key", "part")
-    more = written(_searched(dealt, layout).distinct().join(star, ["u", "v"], "left_anti"), "ngram-more")
-    if not more.isEmpty():
-        more_texts = texts_for(more)
-        fine = written(_fine(more_texts, size), "ngram-fine")
-        end = lambda s: fine.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.col("point").alias("p" + s))
-        near = written(_near(more.join(end("u"), "u").join(end("v"), "v"), layout, FINE), "ngram-near")
-        links = links.unionByName(_verified(near, more_texts, size, layout))
-        found = written(components(links), "ngram-components")
-        discard(more_texts)
+    # What is left: neighbourhoods with three sets or more that still lie in several components.
+    placed = told.join(found, told["id"] == found["node"], "left").select("h1", "id", "n", "point", F.coalesce("component", "id").alias("component"))
+    at = around.join(placed.select("h1", "id", "component"), "h1")
+    most = at.groupBy("lead", "class", "component").agg(F.count("*").alias("k"))
+    state = most.groupBy("lead", "class").agg(F.sum("k").alias("members"), F.count("*").alias("several"), F.max(F.struct("k", "component")).alias("m"))
+    state = state.filter("members > 2 and several > 1").select("lead", "class", "members", F.col("m.component").alias("main"), (F.col("members") - F.col("m.k")).alias("asking"))
+    left = written(at.join(state, ["lead", "class"]).select("lead", "class", "members", "asking", "main", "h1", "id", "component"), "ngram-left")
+    # Its lead has asked already; data and asking rows are both dealt in parts of bounded size.
+    blocks = F.ceil(F.col("asking") / CHUNK).cast("int")
+    left = left.filter("h1 != lead").withColumn("asks", F.col("component") != F.col("main"))
+    part, block = F.pmod(F.xxhash64("id"), parts).cast("int"), F.pmod(F.xxhash64(F.lit(1), "id"), blocks).cast("int")
+    data = left.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    data = data.withColumn("asks", F.col("asks") & (F.col("block") == block)).withColumn("data", F.lit(True))
+    asks = left.filter("asks").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).filter(F.col("part") != part).withColumn("data", F.lit(False))
+    both = data.select("lead", "class", "part", "block", "id", "component", "data", "asks").unionByName(asks.select("lead", "class", "part", "block", "id", "component", "data", "asks"))
+    more = written(_searched(both.join(placed.select("id", "n", "point"), "id").select(*columns), layout).distinct(), "ngram-more")
+    more_links = written(_verified(more, texts, size, layout), "ngram-more-links")
+    if not more_links.isEmpty():
+        discard(found)
+        found = written(components(links.unionByName(more_links)), "ngram-components")
     ids = sets.join(found, sets["id"] == found["node"], "left").select(*alike, "least", F.coalesce("component", "id").alias("component"))
     least = ids.groupBy("component").agg(F.min("least").alias("least"))
     ids = ids.drop("least").join(least, "component")
     out = written(nodes.select("id", "hash", *alike).join(ids, alike, "left").select("id", "hash", "n", "component", "least"), "ngram-groups")
-    for made in (nodes, sets, shared, members, texts, star, left):
-        discard(made)
+    discard(all_nodes, sets, around, star, texts, links, found, left, more, more_links)
     return out
 
 

@@ -85,16 +85,22 @@ def test_near_duplicates(spark):
 
 
 def test_tree_bound():
-    """A search loses no point whose overlap can be enough."""
+    """A search loses no point whose overlap can be enough, and packed points bound overlaps from above."""
     rnd = np.random.Generator(np.random.PCG64(2))
     layout = rtree.Layout()
-    points = rnd.poisson(3, (300, rtree.GROUPS))
-    points[50:80] = points[0] + rnd.integers(0, 2, (30, rtree.GROUPS))
+    points = rnd.poisson(3, (300, 128))
+    points[50:80] = points[0] + rnd.integers(0, 2, (30, 128))
     sizes = points.sum(1)
     tree = rtree.RTree(points, sizes)
     for i in range(0, 300, 17):
         want = {j for j in range(300) if np.minimum(points[i], points[j]).sum() >= layout.needed(sizes[i] + sizes[j])}
         assert set(tree.search(points[i], int(sizes[i]), layout).tolist()) == want
+    sets = [np.unique(rnd.integers(0, 2**64, n, np.uint64)) for n in (1, 30, 500, 900, 70_000, 70_100)]
+    sets += [np.unique(np.append(s[: len(s) * 2 // 3], rnd.integers(0, 2**64, len(s) // 3 + 1, np.uint64))) for s in sets]
+    for a in sets:
+        for b in sets:
+            x = rtree.unpack_points([rtree.pack_point(a), rtree.pack_point(b)])
+            assert np.minimum(x[0], x[1]).sum() >= len(np.intersect1d(a, b))
 
 
 def test_personal_data(spark):
