@@ -3,8 +3,9 @@
 A document's set of distinct word shingles is hashed into groups; its group counts are a point.  For two documents the overlap
 is at most the sum of the coordinate minima of their points, and for a document and a box the sum of the minima with the box's
 upper corner: an R-tree over the points (packed by sort-tile-recursion) finds all documents that can reach the overlap needed,
-and surviving pairs are verified on the sets themselves.  Points have about half as many groups as a set has shingles (a power
-of two): with fewer, counts of long documents look alike and bound nothing.  Boxes are kept on COARSE groups.
+and surviving pairs are verified on the sets themselves.  Points have FINEST groups and are kept sparse, as the sorted groups of
+all shingles.  A tree counts its points in as many groups as its sets have shingles (with fewer, counts of long documents look
+alike and bound nothing) and its boxes in COARSE ones; what it finds passes the bound on all groups before it is a pair.
 
 One tree over a corpus would still not prune (boxes around unlike documents reach everything), so documents are first dealt to
 small trees by the same counting argument: sets that are similar enough differ in at most d shingles; cut into more than d
@@ -38,8 +39,11 @@ from pyspark.sql import functions as F
 from .common import discard, released, slices, texts_of, written
 from .graph import components
 
-#: Groups of the boxes, and of the points at most; entries of a node; points of a tree, and pairs with one lead in one task.
-COARSE, FINEST, LEAF, CHUNK, SALT = 64, 4096, 16, 1024, 1000
+#: Groups of the boxes, of a tree's points at most, and of the points themselves (as powers of two).
+COARSE_BITS, TREE_BITS, FINEST_BITS = 6, 12, 16
+COARSE = 1 << COARSE_BITS
+#: Entries of a node; points of a tree; pairs with one text in one task.
+LEAF, CHUNK, SALT = 16, 1024, 1000
 BLOCK_BYTES = 1 << 20
 #: Keys in one row.
 KEYS_ROW = 4096
@@ -199,27 +203,29 @@ class RTree:
 
 
 def pack_point(u: np.ndarray) -> bytes:
-    """A set's group counts: log2 of the number of groups, a unit, and four bits for each group, rounded up to units (so that
-    bounds stay bounds)."""
-    bits = min(FINEST.bit_length(), max(COARSE.bit_length(), len(u).bit_length() - 1)) - 1
-    counts = np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    unit = max(1, -(-int(counts.max()) // 15))
-    counts = (-(-counts // unit)).astype(np.uint8)
-    return bytes([bits]) + unit.to_bytes(4, "little") + (counts[0::2] << 4 | counts[1::2]).tobytes()
-
-
-def unpack_points(packed: list[bytes]) -> np.ndarray:
-    """Points as rows, all with the number of groups of the coarsest."""
-    bits = np.array([p[0] for p in packed])
-    out = np.empty((len(packed), 1 << int(bits.min())), np.int32)
-    for b in np.unique(bits):
-        mine = np.flatnonzero(bits == b)
-        raw = np.frombuffer(b"".join(packed[i] for i in mine), np.uint8).reshape(len(mine), -1)
-        unit = np.ascontiguousarray(raw[:, 1:5]).view("<u4").astype(np.int32)
-        counts = np.empty((len(mine), 1 << int(b)), np.int32)
-        counts[:, 0::2], counts[:, 1::2] = raw[:, 5:] >> 4, raw[:, 5:] & 15
-        out[mine] = fold(counts * unit, out.shape[1])
-    return out
+    """A set's point: the groups of its shingles, in order, each as often as it is hit."""
+    return (u >> np.uint64(64 - FINEST_BITS)).astype("<u2").tobytes()
+
+
+def unpack_points(packed: list[bytes], bits: int) -> np.ndarray:
+    """Points as rows of counts in 2**bits groups."""
+    sizes = [len(p) // 2 for p in packed]
+    row = np.repeat(np.arange(len(packed)), sizes) << bits
+    at = np.frombuffer(b"".join(packed), "<u2").astype(np.int64) >> (FINEST_BITS - bits)
+    return np.bincount(row + at, minlength=len(packed) << bits).astype(np.int32).reshape(len(packed), 1 << bits)
+
+
+def spelled(packed: bytes) -> np.ndarray:
+    """A point's hits as distinct sorted numbers (group, how often before), so that common ones make the sum of minima."""
+    at = np.frombuffer(packed, "<u2").astype(np.int64)
+    return at << 32 | np.arange(len(at)) - np.searchsorted(at, at)
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted arrays of distinct numbers share."""
+    if not len(a):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
 def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -229,8 +235,8 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.nda
 
 
 def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """id, hash of the text, number of shingles, two hashes of the set, its point and its keys; further rows without a point for
-    sets with more than KEYS_ROW keys.  A set that a task meets again comes without keys."""
+    """id, hash of the text, number of shingles, two hashes of the set, and its keys; further rows (n = -1) for sets with more than
+    KEYS_ROW keys.  A set that a task meets again comes without keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -240,20 +246,20 @@ def _nodes(rows: DataFrame, size: int, layout: Layout) -> DataFrame:
                 out = []
                 for i, u in enumerate(sets):
                     if not len(u):
-                        out.append((ids[a + i], hashes[a + i], 0, 0, 0, b"", None))
+                        out.append((ids[a + i], hashes[a + i], 0, 0, 0, None))
                         continue
                     h1 = int(_mix(u).sum(dtype=np.uint64).view(np.int64))
                     h2 = int(_mix(u ^ _ODD[10]).sum(dtype=np.uint64).view(np.int64))
                     keys = layout.keys(u) if h1 not in met else np.zeros(0, np.int64)
                     if len(met) < 1 << 18:
                         met.add(h1)
-                    out.append((ids[a + i], hashes[a + i], len(u), h1, h2, pack_point(u), keys[:KEYS_ROW]))
-                    out += [(None, None, -1, h1, h2, None, keys[k : k + KEYS_ROW]) for k in range(KEYS_ROW, len(keys), KEYS_ROW)]
+                    out.append((ids[a + i], hashes[a + i], len(u), h1, h2, keys[:KEYS_ROW]))
+                    out += [(None, None, -1, h1, h2, keys[k : k + KEYS_ROW]) for k in range(KEYS_ROW, len(keys), KEYS_ROW)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    names = ["id", "hash", "n", "h1", "h2", "point", "keys"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    return rows.mapInArrow(released(run), "id long, hash long, n long, h1 long, h2 long, point binary, keys array<long>")
+    names = ["id", "hash", "n", "h1", "h2", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return rows.mapInArrow(released(run), "id long, hash long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -271,6 +277,26 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run), "row long, id long, z binary")
 
 
+def _points(texts: DataFrame, size: int) -> DataFrame:
+    """id, n and point of each packed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part, n, points = batch.slice(i, 256), [], []
+                for z in part.column("z"):
+                    flat = np.frombuffer(unpack(z.as_py()), np.uint8)
+                    u = shingle_sets(flat, np.array([0, len(flat)]), size)[0]
+                    n.append(len(u))
+                    points.append(pack_point(u))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(points, pa.binary())], names=["id", "n", "point"])
+
+    return texts.mapInArrow(released(run), "id long, n long, point binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) -> DataFrame:
     """The pairs (u, v) of nodes that are linked; a u with very many pairs is dealt to several tasks."""
 
@@ -291,8 +317,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, layout: Layout) ->
                 if u[i] != last:
                     last, mine = u[i], set_of(zu[i].as_py())
                 other = set_of(zv[i].as_py())
-                at = np.searchsorted(mine, other)
-                common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+                common = common_count(mine, other)
                 good.append(100 * common >= layout.percent * (len(mine) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
 
@@ -309,14 +334,19 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
     part's R-tree leaves for the rows that ask."""
 
     def group(ids, n, packed, component, data, asks) -> Iterator[np.ndarray]:
-        points = unpack_points(packed)
         own = np.flatnonzero(data)
         if not len(own):
             return
-        tree = RTree(points[own], n[own])
+        points = unpack_points(packed, min(TREE_BITS, max(COARSE_BITS, int(n.max()).bit_length())))
+        tree, spelt = RTree(points[own], n[own]), {}
         for i in np.flatnonzero(asks):
             hit = own[tree.search(points[i], int(n[i]), layout)]
             hit = hit[component[hit] != component[i]]
+            mine = spelled(packed[i])
+            for j in hit.tolist():
+                if j not in spelt:
+                    spelt[j] = spelled(packed[j])
+            hit = hit[np.array([common_count(mine, spelt[j]) >= layout.needed(n[i] + n[j]) for j in hit.tolist()], bool)]
             if len(hit):
                 yield np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])])
 
@@ -368,10 +398,10 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     layout = Layout(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
     all_nodes = written(_nodes(rows, size, layout), "ngram-nodes")
-    nodes, alike = all_nodes.filter("n >= 0").drop("keys"), ["n", "h1", "h2"]
+    nodes, alike = written(all_nodes.filter("n >= 0").drop("keys"), "ngram-slim"), ["n", "h1", "h2"]
     # A set's id is its node; `row` with it names rows that have its text (equal ones), `least` is the smallest id.
     one = F.min(F.struct("hash", "id"))
-    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(one["hash"].alias("id"), one["id"].alias("row"), F.min("id").alias("least"), F.first("point").alias("point")), "ngram-sets")
+    sets = written(nodes.filter("n > 0").groupBy(*alike).agg(one["hash"].alias("id"), one["id"].alias("row"), F.min("id").alias("least")), "ngram-sets")
     keys = all_nodes.select(F.explode("keys").alias("key"), "h1")
     shared = written(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key"), "ngram-shared")
     members = written(keys.join(shared, "key", "left_semi").distinct(), "ngram-members")
@@ -382,8 +412,13 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     leads = graded.groupBy("key").agg(F.max("lead").alias("lead"))
     middle = graded.join(leads, ["key", "lead"]).groupBy("key").agg(F.min("h1").alias("lead"))
     around = written(members.join(middle, "key").select("lead", F.pmod("key", F.lit(64)).cast("int").alias("class"), "h1").distinct(), "ngram-around")
-    discard(members)
-    told = sets.select("h1", "id", "n", "point")
+    discard(members, all_nodes)
+    # Texts and points of all sets that lie in a neighbourhood.
+    need = around.select("h1").distinct().join(sets.select("h1", "id", "row"), "h1").select("id", "row")
+    packed = _packed(rows)
+    texts = written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
+    points = written(_points(texts, size), "ngram-points")
+    told = sets.select("h1", "id").join(points, "id")
     count = around.groupBy("lead", "class").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
 
@@ -393,10 +428,6 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     everyone = everyone.withColumns(spread).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))))
     columns = ["lead", "class", "part", "block", "id", "n", "point", "component", "data", "asks"]
     star = written(_searched(everyone.select(*columns), layout).distinct(), "ngram-star")
-    # Texts of all sets that lie in a neighbourhood.
-    need = around.select("h1").distinct().join(sets.select("h1", "id", "row"), "h1").select("id", "row")
-    packed = _packed(rows)
-    texts = written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
     links = written(_verified(star, texts, size, layout), "ngram-links")
     found = written(components(links), "ngram-components")
 
@@ -424,7 +455,7 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     least = ids.groupBy("component").agg(F.min("least").alias("least"))
     ids = ids.drop("least").join(least, "component")
     out = written(nodes.select("id", "hash", *alike).join(ids, alike, "left").select("id", "hash", "n", "component", "least"), "ngram-groups")
-    discard(all_nodes, sets, around, star, texts, links, found, left, more, more_links)
+    discard(nodes, sets, around, star, texts, points, links, found, left, more, more_links)
     return out
 
 

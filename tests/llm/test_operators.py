@@ -97,10 +97,12 @@ def test_tree_bound():
         assert set(tree.search(points[i], int(sizes[i]), layout).tolist()) == want
     sets = [np.unique(rnd.integers(0, 2**64, n, np.uint64)) for n in (1, 30, 500, 900, 70_000, 70_100)]
     sets += [np.unique(np.append(s[: len(s) * 2 // 3], rnd.integers(0, 2**64, len(s) // 3 + 1, np.uint64))) for s in sets]
-    for a in sets:
-        for b in sets:
-            x = rtree.unpack_points([rtree.pack_point(a), rtree.pack_point(b)])
-            assert np.minimum(x[0], x[1]).sum() >= len(np.intersect1d(a, b))
+    packed = [rtree.pack_point(a) for a in sets]
+    coarse = rtree.unpack_points(packed, 8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common, bound = len(np.intersect1d(a, b)), rtree.common_count(rtree.spelled(packed[i]), rtree.spelled(packed[j]))
+            assert np.minimum(coarse[i], coarse[j]).sum() >= bound >= common
 
 
 def test_personal_data(spark):
