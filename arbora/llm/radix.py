@@ -3,23 +3,26 @@
 Suffixes are ordered only through their first `length` bytes (their window), most significant digit first; a bucket of one is
 done and leaves.  Suffixes that are still together after the last pass have equal windows: they are exactly the repeated ones.
 
-The digits of a window are read from its anchor: the piece of PIECE bytes with the least hash in the window, leftmost first.
-Anchors depend on a window's own bytes alone, so equal windows have equal anchors at equal places, and any order of digits
-gives the same groups.  Neighbouring suffixes mostly share their anchor, which makes a run of them one row:
-
-  1. first digit, the anchor's hash: buckets with one run are done;
-  2. second digit, the whole run around the anchor: all runs with the same bytes but the earliest are repeated.  The earliest
-     ones go on if their bucket has different runs, since those can still share single windows;
-  3. third digit, the core: windows whose anchors lie up to STEP places apart share at least length - STEP bytes around them.
-     A group of windows goes on if its core is found again;
-  4. last digit, the window: of suffixes with equal windows, all but the earliest are repeated.
-
-Every pass is a grouped minimum (with partial sums before the shuffle) and an equi-join, whatever the size of a group.
-Hashes stand for bytes: 64 bits of anchor and 64 of run, or 128 of a window.
-
-Cases: null texts are empty; texts under `length` bytes keep everything; a null id is the smallest; rows that share an id
-count as one place (neither is earlier than the other), and each is cut by what is found for the id; an empty table gives no
-rows; columns named like those added are replaced.
+The digits of a window are read from its anchor on: the piece of PIECE bytes with the least hash in the window, leftmost first;
+then the bytes right of it, then those left of it, from the anchor outwards.  Anchors depend on a window's own bytes alone, so
+equal windows have equal anchors at equal places, and any order of digits gives the same groups.  Neighbouring suffixes mostly
+share their anchor, which makes a run of them one row, and only one suffix in some forty is sorted:
+
+  1. the first digit, the anchor's piece, deals runs to buckets (by its hash): buckets with one run are done;
+  2. runs with the same bytes are one (by 64 more bits of hash); all but the earliest are repeated.  The earliest ones go on if
+     their bucket has different runs, since those can still share single windows;
+  3. inside a bucket the runs' bytes are sorted by digits of eight bytes, first to the right and then to the left of the anchor,
+     each pass only over runs that are still together.  Common prefixes of neighbours in that order tell for each place of the
+     anchor which windows are equal, byte by byte: all but the earliest are repeated.
+
+A bucket of more than BUCKET runs (a line that a third of all documents hold) goes on by further digits before that: its runs
+are cut into pieces whose windows share STEPS[0] places of the anchor, and dealt by the bytes that all windows of a piece share
+(all but STEPS[0] - 1); what is still too large by STEPS[1], and at last by whole windows, where equal ones are one group.
+Grouped minima have partial sums before the shuffle, joins on hot keys are split, and no task holds more than a few buckets.
+
+Cases: null texts are empty; texts under `length` bytes keep everything; a null id is the smallest; rows that share id and text
+count as one place (neither is earlier than the other) and are cut alike; rows that share an id alone are documents of their
+own, in order of their texts' hashes; an empty table gives no rows; columns named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ from pyspark.sql import types as T
 
 from .common import discard, slices, texts_of, written
 
-LENGTH, PIECE, STEP = 100, 24, 20
+LENGTH, PIECE = 100, 24
+#: Runs of one bucket that are sorted together; places of the anchor that pieces of larger buckets share; runs sorted at once.
+BUCKET, STEPS, BLOCK_ROWS = 4096, (20, 5, 1), 16_384
+#: Hot buckets up to this many are broadcast (8 bytes each); more are joined.
+BROADCAST_BUCKETS = 100_000
 #: Windows hashed at once; the bits of a place among them; bytes of text handled at once.
 PART, PLACE, BLOCK_BYTES = 1 << 17, 18, 8 << 20
 NO_ID = -(2**63)
@@ -160,82 +167,176 @@ def _packed(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "d long, z binary").filter("z is not null")
 
 
-def _core_rows(packed: DataFrame, length: int) -> DataFrame:
-    """From d, z and runs (s, n): groups of neighbouring windows, with the hash of their core and their bytes."""
+def _piece_rows(packed: DataFrame, length: int) -> DataFrame:
+    """From d, z and runs (b, s, n): key (the bucket), d, s, n (windows), at (the anchor's place in the piece) and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            runs, ids = batch.column("runs"), batch.column("d").to_pylist()
-            bounds, flat = runs.offsets.to_numpy(), runs.flatten()
-            s_all, n_all = flat.field("s").to_numpy(), flat.field("n").to_numpy()
-            base = bounds[0]
             for i, z in enumerate(batch.column("z")):
                 body = unpress(z.as_py())
-                text = np.frombuffer(body, np.uint8)
-                s, n = (x[bounds[i] - base : bounds[i + 1] - base].astype(np.int64) for x in (s_all, n_all))
-                n, anchor = n >> 16, s + (n & 0xFFFF)
-                fits = s + n - 1 + length <= len(text)
-                s, n, anchor = s[fits], n[fits], anchor[fits]
-                core, start, count = [], [], []
-                for k in range(-(-(length - PIECE + 1) // STEP)):
-                    # Windows that start from k * STEP to (k + 1) * STEP - 1 before the anchor.
-                    near, far = k * STEP, min((k + 1) * STEP - 1, length - PIECE)
-                    lo, hi = np.maximum(s, anchor - far), np.minimum(s + n - 1, anchor - near)
-                    have = lo <= hi
-                    at, size = anchor[have] - near, near - far + length
-                    start.append(lo[have])
-                    count.append((hi - lo + 1)[have])
-                    core.append(_spans(text, at, size) + np.array([k], np.uint64) * _ODD[5])
-                if not len(s):
-                    continue
-                core, start, count = np.concatenate(core), np.concatenate(start), np.concatenate(count)
-                pieces = [body[a : a + c - 1 + length] for a, c in zip(start.tolist(), count.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(np.full(len(core), ids[i])), pa.array(start.astype(np.int32)), pa.array(pieces, pa.binary())], names=["core", "d", "s", "bytes"])
-
-    return packed.mapInArrow(run, "core long, d long, s int, bytes binary")
-
-
-def _spans(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The hashes of the `size` bytes from each place on."""
-    out = np.zeros(len(at), np.uint64)
-    part = at // PART
-    for k in np.unique(part):
-        mine = part == k
-        first = int(k) * PART
-        total, down = _sums(text[first : first + PART + size], _BYTE)
-        a = at[mine] - first
-        out[mine] = _mix((total[a + size] - total[a]) * down[a])
-    return out
+                runs = batch.column("runs").slice(i, 1).flatten()
+                key, s, n = (runs.field(c).to_numpy() for c in ("b", "s", "n"))
+                n, at = n >> 16, n & 0xFFFF
+                pieces = [body[a : a + c - 1 + length] for a, c in zip(s.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(s), batch.column("d")[i].as_py(), np.int64)), pa.array(s), pa.array(n), pa.array(at), pa.array(pieces, pa.binary())], names=_PIECE)
+
+    return packed.mapInArrow(run, _PIECE_DDL)
+
 
+_PIECE, _PIECE_DDL = ["key", "d", "s", "n", "at", "bytes"], "key long, d long, s int, n int, at int, bytes binary"
 
-def _window_rows(groups: DataFrame, length: int) -> DataFrame:
-    """From d, s and bytes: the two hashes of each window, and its place."""
+
+def _cut_rows(pieces: DataFrame, length: int, step: int) -> DataFrame:
+    """Pieces cut so that the windows of each have their anchor at `step` neighbouring places, dealt by what those share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = texts_of(batch, "bytes")
-            ids, s = batch.column("d").to_numpy(), batch.column("s").to_numpy()
-            for a in range(0, len(batch), 1024):
-                b = min(len(batch), a + 1024)
-                part, mine = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                n = np.diff(mine) - length + 1
-                row = np.repeat(np.arange(b - a), n)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at, hashes = mine[row] + place, []
-                for table in (_BYTE, _BYTE2):
-                    total, down = _sums(part, table)
-                    hashes.append(_mix((total[at + length] - total[at]) * down[at]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(ids[a + row]), pa.array((s[a + row] + place).astype(np.int32))], names=["w1", "w2", "d", "s"])
-
-    return groups.mapInArrow(run, "w1 long, w2 long, d long, s int")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d (the id) and spans: places s and numbers n of windows that also start earlier, in no order."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).alias("text"))
+            out = []
+            for key, d, s, n, at, body in zip(*(batch.column(c).to_pylist() for c in _PIECE)):
+                for near in range((at - n + 1) // step * step, at + 1, step):
+                    far = min(near + step - 1, length - PIECE)
+                    lo, hi = max(0, at - far), min(n - 1, at - near)
+                    if lo <= hi:
+                        shared = hashlib.blake2b(b"%d %d " % (key, near) + body[at - near if at >= near else 0 : at - far + length], digest_size=8)
+                        out.append((int.from_bytes(shared.digest(), "little", signed=True), d, s + lo, hi - lo + 1, at - lo, body[lo : hi + length]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=_PIECE)
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pieces.mapInArrow(run, _PIECE_DDL)
+
+
+def _digits(flat: np.ndarray, first: np.ndarray, size: np.ndarray, step: int, width: int) -> np.ndarray:
+    """The `size` bytes from `first` on (step 1) or back (step -1), filled up with zeros, as numbers of eight bytes."""
+    place = np.arange(-(-width // 8) * 8)
+    inside = place < size[:, None]
+    at = np.where(inside, first[:, None] + step * place, 0)
+    return np.where(inside, flat[at], 0).astype(np.uint8).view(">u8").astype(np.uint64)
+
+
+def _radix_sorted(digits: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (in order of their buckets) sorted inside buckets, most significant digit first: each row's place in that order, and
+    for each place how many bytes it shares with the one before (-1: another bucket)."""
+    m = len(bucket)
+    order, shared = np.arange(m), np.full(m, 8 * digits.shape[1])
+    edge = np.append(True, bucket[1:] != bucket[:-1])
+    shared[edge] = -1
+    for k in range(digits.shape[1]):
+        alone = edge & np.append(edge[1:], True)
+        live = np.flatnonzero(~alone)  # a bucket of one is done
+        if not len(live):
+            break
+        group = np.cumsum(edge)[live]
+        value = digits[order[live], k]
+        by = np.lexsort((value, group))
+        order[live], value = order[live[by]], value[by]
+        new = np.flatnonzero((group[1:] == group[:-1]) & (value[1:] != value[:-1])) + 1
+        apart = value[new] ^ value[new - 1]
+        same = sum((apart < np.uint64(1 << (64 - 8 * b))).astype(np.int64) for b in range(1, 8))
+        edge[live[new]], shared[live[new]] = True, 8 * k + same
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    return place, shared
+
+
+def repeated_windows(bucket: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces in order of their buckets: the windows that an earlier place has too, as rows of (piece, first window, number)."""
+    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    size = n - 1 + length
+    anchor = np.cumsum(size) - size + at
+    right, shared_right = _radix_sorted(_digits(flat, anchor, size - at, 1, length), bucket)
+    left, shared_left = _radix_sorted(_digits(flat, anchor - 1, at, -1, length - PIECE), bucket)
+    earlier = np.empty(len(d), np.int64)
+    earlier[np.lexsort((s + at, d))] = np.arange(len(d))
+    hits = []
+    for o in range(int((at - n + 1).min()), int(at.max()) + 1):  # windows that begin o bytes before their anchor
+        have = np.flatnonzero((at >= o) & (at - o < n))
+        if len(have) > 1:
+            same = np.cumsum(shared_right < length - o)[right[have]] * (len(d) + 1) + np.cumsum(shared_left < o)[left[have]]
+            by = np.lexsort((earlier[have], same))
+            again = np.flatnonzero(same[by][1:] == same[by][:-1]) + 1
+            found = have[by[again]]
+            hits.append(found << 8 | (at[found] - o))
+    if not hits:
+        return (np.zeros(0, np.int64),) * 3
+    hit = np.sort(np.concatenate(hits))
+    start = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
+    return hit[start] >> 8, hit[start] & 255, np.diff(np.append(start, len(hit)))
+
+
+def _sorted_pieces(pieces: DataFrame, length: int) -> DataFrame:
+    """Each bucket in one task: its repeated windows as d, s and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def solve(t: pa.Table) -> pa.RecordBatch:
+            key, d, s, n, at = (t.column(c).to_numpy().astype(np.int64) for c in _PIECE[:-1])
+            row, first, many = repeated_windows(key, d, s, n, at, t.column("bytes").to_pylist(), length)
+            return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array((s[row] + first).astype(np.int32)), pa.array(many.astype(np.int32))], names=["d", "s", "n"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) >= BLOCK_ROWS:
+                key = held.column("key").to_numpy()
+                whole = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on
+                if whole:
+                    yield solve(held.slice(0, whole).combine_chunks())
+                    held = held.slice(whole)
+        if held is not None and len(held):
+            yield solve(held.combine_chunks())
+
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "d long, s int, n int")
+
+
+def _bucket_windows(pieces: DataFrame, length: int, bucket: int) -> list[DataFrame]:
+    """Tables of d, s and n: the repeated windows of all pieces.  Deletes `pieces`."""
+    out = []
+    for step in (*STEPS, None):
+        hot = written(pieces.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > bucket).select("key"), "radix-hot")
+        many = hot.count()
+        if many == 0 or step is None:
+            break
+        these = F.broadcast(hot) if many <= BROADCAST_BUCKETS else hot
+        out.append(written(_sorted_pieces(pieces.join(these, "key", "left_anti").select(*_PIECE), length), "radix-sorted"))
+        finer = written(_cut_rows(pieces.join(these, "key", "left_semi").select(*_PIECE), length, step), "radix-pieces")
+        discard(pieces, hot)
+        pieces = finer
+    if many == 0:
+        out.append(written(_sorted_pieces(pieces, length), "radix-sorted"))
+    else:  # pieces of one window: those under one key are equal
+        first = pieces.groupBy("key").agg(F.min(F.struct("d", "s")).alias("f"))
+        out.append(written(pieces.join(first, "key").filter((F.col("d") != F.col("f.d")) | (F.col("s") != F.col("f.s"))).select("d", "s", F.lit(1).alias("n")), "radix-sorted"))
+    discard(pieces, hot)
+    return out
+
+
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and d: the id, or where rows of one id have different texts a number in order of id and text's hash."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"))
+    hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    pairs = hashed.select("d", "h")
+    if pairs.groupBy("d").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x != y").isEmpty():
+        return rows
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))  # the number inside a partition
+    ranked = written(pairs.distinct().repartitionByRange("d", "h").sortWithinPartitions("d", "h").select("d", "h", F.spark_partition_id().alias("p"), within.alias("k")), "radix-ids")
+    at, parts = 0, []
+    for r in ranked.groupBy("p").count().orderBy("p").collect():  # as many rows as partitions
+        parts.append((r["p"], at))
+        at += r["count"]
+    begin = F.broadcast(docs.sparkSession.createDataFrame(parts, "p int, begin long"))
+    number = ranked.join(begin, "p").select("d", "h", (F.col("begin") + F.col("k")).alias("number"))
+    out = written(hashed.join(number, ["d", "h"]).select("doc_id", "text", F.col("number").alias("d")), "radix-rows")
+    discard(ranked)
+    return out
+
+
+def _spans(rows: DataFrame, length: int, bucket: int) -> DataFrame:
+    """d and spans: places s and numbers n of windows that also start earlier, in no order."""
+    rows = rows.select("d", "text")
     low, high, longest = rows.agg(F.min("d"), F.max("d"), F.max(F.octet_length("text"))).first()
     # Id and place in one number, in the order of "earlier": a long where both fit.
     bits = int(longest or 1).bit_length()
@@ -250,26 +351,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     runs = written(_run_rows(rows, length, False).join(more, "b", "left_semi").select("b", "c", packed, "n"), "radix-runs")
     classes = written(runs.groupBy("b", "c").agg(F.min("w").alias("w"), F.min("n").alias("n"), F.count("*").alias("k")), "radix-classes")
     first = classes.filter("k > 1").select("b", "c", F.col("w").alias("w0"))
-    second = runs.join(first, ["b", "c"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n"))
-    mixed = classes.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b")
-    open_runs = classes.join(mixed, "b", "left_semi").select(*unpacked, "n").groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    cores = written(_core_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-cores")
-    again = cores.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
-    groups = written(cores.join(again, "core", "left_semi").select("d", "s", "bytes"), "radix-groups")
-    discard(cores)
-    windows = written(_window_rows(groups, length).select("w1", "w2", packed), "radix-windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("w").alias("w0"), F.count("*").alias("k")).filter("k > 1").select("w1", "w2", "w0")
-    third = windows.join(earliest, ["w1", "w2"]).filter("w != w0").select(*unpacked, F.lit(1).alias("n"))
-    spans = written(second.unionByName(third).groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "radix-spans")
-    for made in (runs, classes, groups, windows):
-        discard(made)
+    second = written(runs.join(first, ["b", "c"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n")), "radix-equal")
+    discard(runs)
+    # A table of its own, so that the join with a hot bucket's classes can be split.
+    mixed = written(classes.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b"), "radix-mixed")
+    open_runs = classes.join(mixed, "b", "left_semi").select("b", *unpacked, "n").groupBy("d").agg(F.collect_list(F.struct("b", "s", "n")).alias("runs"))
+    pieces = written(_piece_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-pieces")
+    discard(classes, mixed)
+    found = [second, *_bucket_windows(pieces, length, bucket)]
+    union = found[0]
+    for other in found[1:]:
+        union = union.unionByName(other)
+    spans = written(union.groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "radix-spans")
+    discard(*found)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, removed (spans as start and end, bytes) and kept (binary: the remaining bytes)."""
-    spans = repeated_spans(docs, length, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"))
+    rows = _numbered(docs, doc_id, text)
+    spans = _spans(rows, length, bucket)
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -315,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
                     held, size, done = [], 0, i + 1
 
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    id_field = T.StructField("doc_id", docs.schema[doc_id].dataType)
+    id_field = T.StructField("doc_id", rows.schema["doc_id"].dataType)
     small = T.StructType([id_field, T.StructField("d", T.LongType()), T.StructField("z", T.BinaryType())])
     joined = rows.mapInArrow(press, small).join(spans, "d", "left").select("doc_id", "z", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,n:int>>)")).alias("spans"))
     schema = T.StructType([id_field, *T.StructType.fromDDL("n_bytes long, removed array<struct<start:long,end:long>>, kept binary").fields])

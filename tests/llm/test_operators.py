@@ -52,8 +52,23 @@ def test_radix(spark):
     base = "".join(chr(rnd.randint(97, 122)) for _ in range(1500))
     rows = [(i, " ".join(rnd.choice(["foo", "bar", "née", "x"]) for _ in range(rnd.randint(0, 150)))) for i in range(25)]
     rows += [(100, base), (101, base), (102, base[500:599]), (103, base[500:600]), (104, base[:700] + "XX" + base[700:]), (105, "a" * 700), (106, "a" * 150), (107, None), (108, ""), (109, base[10:300] + base[50:500])]
-    got = {r[0]: tuple(r[1:]) for r in radix.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute.repeats(rows)
+    letters = lambda: "".join(chr(rnd.randint(97, 99)) for _ in range(60))
+    rows += [(200 + i, letters() + base[700 : 820 + i % 7] + letters()) for i in range(60)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute.repeats(rows)
+    assert {r[0]: tuple(r[1:]) for r in radix.repeat_digests(docs).collect()} == want
+    # Buckets that are too large go on by further digits.
+    for bucket in (8, 2):
+        got = radix.remove_repeats(docs, bucket=bucket).selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept)", "size(removed)", "sha2(kept, 256)").collect()
+        assert {r[0]: tuple(r[1:]) for r in got} == want
+
+
+def test_radix_of_shared_ids(spark):
+    """Rows of one id with different texts are documents of their own; equal rows are one place."""
+    rnd = random.Random(2)
+    x, y = ("".join(chr(rnd.randint(97, 122)) for _ in range(300)) for _ in range(2))
+    rows = [(1, x), (2, x), (2, y), (3, y), (3, y), (None, "q" * 99), (None, x), (None, x)]
+    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in radix.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 0), (-1, 0), (-1, 0), (1, 300), (2, 0), (2, 300), (3, 300), (3, 300)]
 
 
 def test_radix_of_distant_ids(spark):
