@@ -1,28 +1,35 @@
 """Exact top-k search: Voronoi kNN join under the inner product.
 
-Data vectors are grouped by pivots (the nearest in Euclidean distance).  A group's summary has its pivot p, its radius
-r = max |v - p|, its largest norm and its rows.  For a query q in group g with pivot c and |q - c| = s:
+Data and queries are both grouped by pivots (the nearest in Euclidean distance; as many as the root of the rows, between
+PIVOTS[0] and PIVOTS[1]).  Summaries describe the groups: a data group by its pivot p, its largest norm N and its k + 1 smallest
+distances |v - p| (of distinct ids) and its radius; a query group by its pivot c, its radius u = max |q - c| and its largest norm Q.  For a query
+q of the group:
 
-    q.v <= q.p + |q| |v - p|          (Cauchy-Schwarz)
-    q.v >= q.p - |q| |v - p|
+    q.v >= c.p - u |p| - Q |v - p|        q.v <= c.p + u |p| + Q |v - p|        q.v <= Q N
 
-The smallest score that a query's k best can have follows from the summaries alone: groups in descending order of q.p - |q| r,
-until they hold k rows.  A query is then sent only to the groups whose bound q.p + |q| r reaches that score, and inside a
-group only rows with q.p + |q| |v - p| >= that score are scored.  Each group is dealt out in chunks, so that a group that holds
-a third of all rows is many tasks; every chunk gives its own k best and a ranking merges them.
+The k + 1 largest of the lower bounds (one of the rows may be the query itself) give the least score that any query of the group
+needs.  A data row is sent only to the query groups whose upper bound for it reaches that floor: only necessary rows are
+replicated.  The same bounds with the query's own products instead of its group's give each query its own floor, and decide to
+which data groups it goes.
 
-Equal vectors are folded first: of rows with the same components only the k + 1 smallest ids, with k rows each at most, can be among
-anyone's k best.
+Data groups are dealt in parts of PART rows and query groups are packed into blocks of BLOCK queries (larger ones are cut), so a
+task holds at most about one part and one block, however large a group is.  Each task keeps the k best at or over the floor for
+each of its queries, and a ranking merges them.
 
-Components are integers (floor(256 x)), so bounds are compared with a margin and the scores are exact.
+Equal vectors are folded first: of rows with the same components only the k + 1 smallest ids, with k rows each at most, can be
+among anyone's k best.
 
-Cases: vectors that are null, of another length than the most common one, or hold null or non-finite components take no part;
-fewer candidates than k give all; an empty table gives no rows; rows that share an id are rows of their own as candidates;
-other columns are ignored.
+Components are integers (floor(256 x), at most a long); bounds are compared with a margin.  Scores are exact: by doubles while
+they stay below 2**53, by longs below 2**62, beyond by Python's integers; a score beyond a long counts as the nearest long.
+
+Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors
+count as filled up with zeros (an empty one is all zeros); fewer candidates than k give all; an empty table gives no rows; rows
+that share an id are rows of their own as candidates; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,119 +38,210 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, written
 
-#: Pivots, drawn by hash; rows of a group that go to one chunk; queries that meet a chunk at once.
-PIVOTS, CHUNK, BLOCK = 128, 16_384, 256
+#: Pivots, least and most; data rows and queries of one task (about); rows scored at once.
+PIVOTS, PART, BLOCK, ROWS = (16, 1024), 16_384, 2048, 256
 SCALE = 256
+LONG = (-(2**63), 2**63 - 1)
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and q: floor(256 x) of each component; without rows that take no part."""
+    """vec_id and q: floor(256 x) of each component, all as long as the longest; without rows that take no part."""
     bad = F.exists(F.col(embedding), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.filter(F.col(embedding).isNotNull() & (F.size(embedding) > 0)).filter(~bad)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("q"))
-    length = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("q") == (length["n"] if length else 0)).filter(F.col("vec_id").isNotNull())
+    rows = vectors.filter(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).filter(~bad)
+    # Doubles beyond a long become the nearest long.
+    whole = lambda x: F.greatest(F.lit(-(2.0**63)), F.least(F.lit(9223372036854774784.0), F.floor(x.cast("double") * SCALE).cast("double"))).cast("long")
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(embedding), whole).alias("q"))
+    lengths = rows.agg(F.min(F.size("q")), F.max(F.size("q"))).first()
+    if lengths[0] == lengths[1]:
+        return rows
+    return rows.select("vec_id", F.concat("q", F.array_repeat(F.lit(0).cast("long"), F.lit(lengths[1]) - F.size("q"))).alias("q"))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0), np.int64)
+
+
+def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, as longs."""
+    top = max(1.0, float(np.abs(x.astype(np.float64)).max(initial=0))) * max(1.0, float(np.abs(y.astype(np.float64)).max(initial=0))) * max(1, x.shape[1])
+    if top < 2**53:
+        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    if top < 2**62:
+        return x @ y.T
+    return np.clip(x.astype(object) @ y.astype(object).T, *LONG).astype(np.int64)
+
+
+def _grouped(rows: DataFrame, centre, name: str) -> DataFrame:
+    """vec_id, q, g (its pivot), apart (from it) and norm."""
+
+    def group(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = centre.value
+        c2 = (c * c).sum(1)
+        for page in pages:
+            if len(page):
+                x = _matrix(page["q"]).astype(np.float64)
+                x2 = (x * x).sum(1)
+                g = (c2 - 2 * x @ c.T).argmin(1)
+                apart = np.sqrt(((x - c[g]) ** 2).sum(1))
+                yield page.assign(g=g.astype(np.int32), apart=apart, norm=np.sqrt(x2))
+
+    return written(rows.mapInPandas(group, "vec_id long, q array<long>, g int, apart double, norm double"), name)
+
 
+class _Bounds:
+    """What the summaries tell, without looking at a row."""
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+    def __init__(self, k: int, pivots: np.ndarray, data: pd.DataFrame, asked: pd.DataFrame, near: dict[int, list[float]]):
+        self.k, self.groups, self.of_queries = k, data["g"].to_numpy(), asked["g"].to_numpy()
+        self.pivots, self.radius, self.most = pivots[self.groups], data["r"].to_numpy(), data["norm"].to_numpy()
+        self.length = np.sqrt((self.pivots**2).sum(1))
+        # The smallest distances of each group's rows, by group; a row of distances for each of the k + 1.
+        self.near = np.full((k + 1, len(self.groups)), np.inf)
+        for j, g in enumerate(self.groups.tolist()):
+            for i, x in enumerate(near.get(g, [])):
+                self.near[i, j] = x
+        self.spread, self.norm = asked["r"].to_numpy(), asked["norm"].to_numpy()
+        self.dots = pivots[self.of_queries] @ self.pivots.T if len(asked) else np.zeros((0, len(self.groups)))
+
+    def floor(self, low: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """From lower bounds at distance 0 (queries x groups) and norms: the (k + 1)-th largest lower bound, less a margin."""
+        out = np.full(len(low), -np.inf)
+        for i in range(len(low)):
+            with np.errstate(invalid="ignore"):
+                all_ = np.where(np.isinf(self.near), -np.inf, low[i] - norm[i] * self.near).ravel()
+            if len(all_) > self.k:
+                out[i] = np.partition(all_, len(all_) - self.k - 1)[len(all_) - self.k - 1]
+        return out - self.margin(norm)
+
+    def margin(self, norm: np.ndarray) -> np.ndarray:
+        return 1e-9 * (1 + norm * (self.most.max(initial=0) + self.length.max(initial=0)))
+
+    def of_groups(self) -> np.ndarray:
+        """Query groups x data groups: the least distance from its pivot at which a row can be needed (above the radius: none)."""
+        slack = self.spread[:, None] * self.length
+        floor = self.floor(self.dots - slack, self.norm)
+        least = (floor[:, None] - self.dots - slack) / np.maximum(self.norm, 1e-9)[:, None]
+        never = self.norm[:, None] * self.most < floor[:, None]
+        return np.where(never, np.inf, least) - 1e-9 * (1 + self.radius)
+
+    def of_queries_in(self, x: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries their floors, and queries x data groups: whether a row there can reach it."""
+        dot = x @ self.pivots.T
+        floor = self.floor(dot, norm)
+        reach = np.minimum(dot + norm[:, None] * self.radius, norm[:, None] * self.most)
+        return floor, reach + self.margin(norm)[:, None] >= floor[:, None]
+
+
+def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int | None = None, stats: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query (vec_id, q) with the rows of data
-    (vec_id, q) of another id; ties to the smaller vec_id."""
+    (vec_id, q) of another id; ties to the smaller vec_id.  Into `stats`: how many pairs there are, and are left after routing."""
     spark = data.sparkSession
     same, alike = Window.partitionBy("q", "vec_id").orderBy("vec_id"), Window.partitionBy("q").orderBy("vec_id")
     data = data.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k).select("vec_id", "q")
-    data = data.withColumn("n", F.dense_rank().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "q")
-    centre = np.array([r["q"] for r in data.orderBy(F.xxhash64("q"), "vec_id").limit(pivots).select("q").collect()], np.float64)
+    data = written(data.withColumn("n", F.dense_rank().over(alike)).filter(F.col("n") <= k + 1).select("vec_id", "q"), "knn-data")
     schema = T.StructType.fromDDL("query_id long, rank int, vec_id long, score long")
-    if not len(centre):
+    rows = data.count()
+    if not rows:
         return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast(centre)  # pivots x length doubles
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(rows)))
+    # At most PIVOTS[1] vectors.
+    found = data.select("vec_id", "q").orderBy(F.xxhash64("q"), "vec_id").limit(pivots).select("q").collect()
+    centre = spark.sparkContext.broadcast(np.unique(np.array([r["q"] for r in found], np.float64).reshape(len(found), -1), axis=0))
+    grouped, asking = _grouped(data, centre, "knn-groups"), _grouped(queries, centre, "knn-queries")
+    about = lambda t: t.groupBy("g").agg(F.max("apart").alias("r"), F.max("norm").alias("norm"), F.count("*").alias("n")).orderBy("g").toPandas()
+    of_data, of_asked = about(grouped), about(asking)  # a row for each pivot
+    # For the floor an id counts once, in one place: among k + 1 ids only one can be the query's.
+    homes = grouped.groupBy("vec_id").agg(F.min(F.struct("g", "apart")).alias("h")).select("vec_id", "h.g", "h.apart")
+    near: dict[int, list[float]] = {}
+    for r in homes.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("apart", "vec_id"))).filter(F.col("i") <= k + 1).select("g", "apart").collect():
+        near.setdefault(r["g"], []).append(r["apart"])
+    bounds = _Bounds(k, centre.value, of_data, of_asked, near)
+    shared = spark.sparkContext.broadcast(bounds)
+    parts = np.maximum(1, -(-of_data["n"].to_numpy() // PART))
+    # Query groups in order are packed into blocks of about BLOCK queries; a larger group has blocks of its own.
+    first, cuts, at = [], [], 0
+    held = 0
+    for n in of_asked["n"].tolist():
+        if held and held + n > BLOCK:
+            at, held = at + 1, 0
+        first.append(at)
+        cuts.append(max(1, -(-n // BLOCK)))
+        held += n
+        if cuts[-1] > 1:
+            at, held = at + cuts[-1], 0
+    blocks = {g: (a, c) for g, a, c in zip(of_asked["g"].tolist(), first, cuts)}
+    dealt_to = spark.sparkContext.broadcast((parts, blocks))
+    # Data groups x blocks: the least distance at which any query group of the block can need a row.
+    least = bounds.of_groups()
+    need = np.full((len(bounds.groups), max([a + c for a, c in blocks.values()], default=0)), np.inf)
+    for i, (a, c) in enumerate(blocks.values()):
+        need[:, a : a + c] = np.minimum(need[:, a : a + c], least[i][:, None])
+    needed = spark.sparkContext.broadcast(need)
 
-    def group(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = sent.value
-        c2 = (c * c).sum(1)
+    def route_data(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row to the blocks of queries that can need it."""
+        number = np.full(len(centre.value), -1)
+        number[shared.value.groups] = np.arange(len(shared.value.groups))
         for page in pages:
             if len(page):
-                x = np.stack(page["q"].to_numpy()).astype(np.float64)
-                apart = (x * x).sum(1)[:, None] - 2 * x @ c.T + c2
-                g = apart.argmin(1)
-                yield page.assign(g=g.astype(np.int32), apart=np.sqrt(np.maximum(apart[np.arange(len(x)), g], 0)))
-
-    grouped = written(data.mapInPandas(group, "vec_id long, q array<long>, g int, apart double"), "knn-groups")
-    summary = {r["g"]: (r["r"], r["n"]) for r in grouped.groupBy("g").agg(F.max("apart").alias("r"), F.count("*").alias("n")).collect()}
-    groups = np.array(sorted(summary))
-    radius, count = np.array([summary[g][0] for g in groups]), np.array([summary[g][1] for g in groups])
-    chunks = np.maximum(1, -(-count // CHUNK))
-    # For the floor an id counts once, in one of its groups: among k + 1 ids only one can be the query's.
-    home = {r["g"]: r["n"] for r in grouped.groupBy("vec_id").agg(F.min("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    ids_in = np.array([home.get(g, 0) for g in groups.tolist()], np.int64)
-    bounds = spark.sparkContext.broadcast((groups, centre[groups], radius, ids_in, chunks))
-
-    def route(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A query's floor on its k-th best score and the chunks that can hold anything above it."""
-        ids, c, r, n, parts = bounds.value
+                j = number[page["g"].to_numpy()]
+                part = page["part"].to_numpy() % dealt_to.value[0][j]
+                row, block = np.nonzero(needed.value[j] <= page["apart"].to_numpy()[:, None])
+                yield pd.DataFrame({"g": page["g"].to_numpy()[row], "part": part[row].astype(np.int32), "block": block.astype(np.int32), "vec_id": page["vec_id"].to_numpy()[row], "q": page["q"].to_numpy()[row], "apart": page["apart"].to_numpy()[row]})
+
+    def route_queries(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query, with its floor, to the parts of the groups that can hold anything above it."""
         for page in pages:
-            if not len(page):
-                continue
-            x = np.stack(page["q"].to_numpy()).astype(np.float64)
-            dot, norm = x @ c.T, np.sqrt((x * x).sum(1))[:, None]
-            low = dot - norm * r
-            order = np.argsort(-low, axis=1, kind="stable")
-            held = np.cumsum(n[order], axis=1) >= k + 1  # one may be the query itself
-            at = np.where(held.any(1), held.argmax(1), len(ids) - 1)
-            rows = np.arange(len(x))
-            floor = np.where(held.any(1), low[rows, order[rows, at]], -np.inf) - 1e-6 * (1 + norm[:, 0] ** 2)
-            take, where = np.nonzero(dot + norm * r >= floor[:, None])
-            times = parts[where]
-            take, where = np.repeat(take, times), np.repeat(where, times)
-            part = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"g": ids[where].astype(np.int32), "part": part.astype(np.int32), "query_id": page["vec_id"].to_numpy()[take], "x": page["q"].to_numpy()[take], "floor": floor[take]})
-
-    asked = queries.mapInPandas(route, "g int, part int, query_id long, x array<long>, floor double")
-    of = dict(zip(groups.tolist(), chunks.tolist()))
-    parts = F.create_map(*[F.lit(v) for item in of.items() for v in item])[F.col("g")]
-    dealt = grouped.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+            if len(page):
+                x, norm = _matrix(page["q"]).astype(np.float64), page["norm"].to_numpy()
+                floor, reach = shared.value.of_queries_in(x, norm)
+                row, j = np.nonzero(reach)
+                times = dealt_to.value[0][j]
+                row, j = np.repeat(row, times), np.repeat(j, times)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                block = np.array([dealt_to.value[1][g][0] + h % dealt_to.value[1][g][1] for g, h in zip(page["g"].tolist(), page["part"].tolist())], np.int32)
+                yield pd.DataFrame({"g": shared.value.groups[j].astype(np.int32), "part": part.astype(np.int32), "block": block[row], "query_id": page["vec_id"].to_numpy()[row], "x": page["q"].to_numpy()[row], "floor": floor[row], "norm": norm[row]})
+
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1)).cast("int").alias("part")
+    sent = grouped.select("vec_id", "q", "g", "apart", spread).mapInPandas(route_data, "g int, part int, block int, vec_id long, q array<long>, apart double")
+    asked = asking.select("vec_id", "q", "g", "norm", spread).mapInPandas(route_queries, "g int, part int, block int, query_id long, x array<long>, floor double, norm double")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
         if len(left) and len(right):
-            y, ids, apart = np.stack(right["q"].to_numpy()).astype(np.float64), right["vec_id"].to_numpy(), right["apart"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            y, ids, apart = y[order], ids[order], apart[order]
-            pivot = centre_of(key[0])
-            for a in range(0, len(left), BLOCK):
-                page = left.iloc[a : a + BLOCK]
-                x = np.stack(page["x"].to_numpy()).astype(np.float64)
-                far = (page["floor"].to_numpy() - x @ pivot) / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)
-                near = apart >= far.min() - 1e-6
+            right = right.sort_values("vec_id", kind="stable")
+            y, ids, apart = _matrix(right["q"]), right["vec_id"].to_numpy(), right["apart"].to_numpy()
+            pivot = centre.value[key[0]]
+            for a in range(0, len(left), ROWS):
+                page = left.iloc[a : a + ROWS]
+                x, floor, norm = _matrix(page["x"]), page["floor"].to_numpy(), np.maximum(page["norm"].to_numpy(), 1e-9)
+                far = (floor - x.astype(np.float64) @ pivot) / norm
+                near = apart >= far.min() - 1e-6 * (1 + apart)
                 if not near.any():
                     continue
                 z, mine = y[near], ids[near]
-                score = x @ z.T  # whole numbers below 2**53
-                score[page["query_id"].to_numpy()[:, None] == mine] = -np.inf
-                m = min(k, len(mine))
-                best = np.argsort(-score, axis=1, kind="stable")[:, :m] if len(mine) <= 64 else _best(score, m)
-                val = np.take_along_axis(score, best, 1)
-                row, col = np.nonzero(val > -np.inf)
-                out.append(pd.DataFrame({"query_id": page["query_id"].to_numpy()[row], "vec_id": mine[best[row, col]], "score": val[row, col].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-
-    def centre_of(g: int) -> np.ndarray:
-        return sent.value[g]
-
-    found = asked.groupBy("g", "part").cogroup(dealt.groupBy("g", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+                score = exact_scores(x, z)
+                # Nothing under its query's floor is among the k best, and the query itself takes no part.
+                ok = (score >= floor[:, None]) & (page["query_id"].to_numpy()[:, None] != mine)
+                row, col = np.nonzero(ok)
+                value = score[row, col]
+                by = np.lexsort((col, -value.astype(np.float64), row)) if abs(value).max(initial=0) < 2**53 else np.lexsort((col, ~value, row))
+                row, col, value = row[by], col[by], value[by]
+                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+                best = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row)))) < k
+                out.append(pd.DataFrame({"query_id": page["query_id"].to_numpy()[row[best]], "vec_id": mine[col[best]], "score": value[best]}))
+        return pd.concat(out)
 
-def _best(score: np.ndarray, m: int) -> np.ndarray:
-    """The columns of the m largest of each row, ties to the left."""
-    least = np.partition(score, score.shape[1] - m, axis=1)[:, -m][:, None]
-    out = np.empty((len(score), m), np.int64)
-    for i in range(len(score)):
-        c = np.flatnonzero(score[i] >= least[i])
-        out[i] = c[np.argsort(-score[i, c], kind="stable")[:m]]
+    by_task = ["g", "part", "block"]
+    if stats is not None:
+        both = asked.groupBy(*by_task).agg(F.count("*").alias("a")).join(sent.groupBy(*by_task).agg(F.count("*").alias("b")), by_task)
+        stats |= {"pairs": rows * int(of_asked["n"].sum()), "kept": both.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0, "pivots": len(centre.value)}
+    found = asked.groupBy(*by_task).cogroup(sent.groupBy(*by_task)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = written(found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "knn-found")
+    discard(data, grouped, asking)
     return out
 
 
@@ -154,10 +252,12 @@ def knn_join(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
 
 KNN_SQL = """
-with v as (
+with u as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+v as (
+  select vec_id, list_resize(q, (select max(len(q)) from u), 0) as q from u),
 s as (
   select a.vec_id as query_id, b.vec_id, list_inner_product(a.q::double[], b.q::double[])::bigint as score
   from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
