@@ -14,6 +14,7 @@ by encode() and kept out of its result unless asked for in `keep`.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -193,7 +194,7 @@ _ready: dict[tuple[int, str], tuple] = {}
 
 def _tools(ranks: dict[bytes, int], pattern: str) -> tuple:
     """Built once in each Python worker for a vocabulary and pattern."""
-    key = (len(ranks), str(hash(frozenset(list(ranks.items())[-2000:]))) + pattern)
+    key = (len(ranks), str(hash(frozenset(ranks.items()))) + pattern)
     if key not in _ready:
         _ready.clear()
         _ready[key] = MergeReplay(ranks), regex.compile(pattern).findall
@@ -231,8 +232,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = _GENERAL, te
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Every column of `encoded`, and `decoded`: the bytes that its `ids` stand for (null ids: empty)."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int], hashed: bool = False) -> DataFrame:
+    """Every column of `encoded`, and `decoded`: the bytes that its `ids` stand for (null ids: empty), or their SHA-256."""
     size = max(ranks.values()) + 1
     names = encoded.columns
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
@@ -249,14 +250,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 rows, out = batch.slice(a, b - a), []
                 for i in range(a, b):
                     mine = ids[offsets[i] : offsets[i + 1]].view("<u4") if offsets[i + 1] > offsets[i] else np.zeros(0, np.uint32)
-                    out.append(_gather(flat, start[mine], count[mine]).tobytes())
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+                    body = _gather(flat, start[mine], count[mine]).tobytes()
+                    out.append(hashlib.sha256(body).hexdigest() if hashed else body)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string() if hashed else pa.binary())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType() if hashed else T.BinaryType())]))
 
 
 def bpe_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str = _GENERAL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return decode(encode(docs, ranks, pattern), ranks).select(
-        "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    coded = decode(encode(docs, ranks, pattern), ranks, hashed=True)
+    return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))

@@ -43,7 +43,7 @@ from .common import discard, written
 #: Pivots, least and most; data rows and queries of one task (about); rows scored at once.
 PIVOTS, PART, BLOCK, ROWS = (16, 1024), 16_384, 2048, 256
 SCALE = 256
-LONG = (-(2**63), 2**63 - 1)
+LONG, SAFE = (-(2**63), 2**63 - 1), 9.2e18
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -113,7 +113,9 @@ class _Bounds:
                 all_ = np.where(np.isinf(self.near), -np.inf, low[i] - norm[i] * self.near).ravel()
             if len(all_) > self.k:
                 out[i] = np.partition(all_, len(all_) - self.k - 1)[len(all_) - self.k - 1]
-        return out - self.margin(norm)
+        out -= self.margin(norm)
+        # Scores beyond a long count as the nearest long, so that all of them tie.
+        return np.where(out < -SAFE, -np.inf, np.minimum(out, SAFE))
 
     def margin(self, norm: np.ndarray) -> np.ndarray:
         return 1e-9 * (1 + norm * (self.most.max(initial=0) + self.length.max(initial=0)))

@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,8 +43,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
-_RUN = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])")
-_WHOLE = re.compile(r"(?<![0-9A-Za-z])[0-9]{7,}+(?![0-9A-Za-z])")
+#: Runs end where no digit follows; one that a letter follows is none, and is passed as a whole.
+_RUN = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ()./-]{0,2}[0-9])*+")
+_WHOLE = re.compile(r"(?<![0-9A-Za-z])[0-9]++")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}+){1,8}")
 _HINTS = ("token", "key", "secret", "passw", "api", "auth", "tel", "phone", "call", "mobile", "card", "account", "iban", "mail", "contact", "version", "date", "isbn", "page", "total", "price", "build", "order", "id")
 
@@ -85,18 +88,18 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     out = []
     if _DIGIT.search(text):
         out += [(4, m.start(), m.end()) for m in _TOKEN.finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
-        runs = [*_RUN.finditer(text), *_WHOLE.finditer(text)]
-        out += [(5, *span) for span in sorted({m.span() for m in runs})]
+        runs = {m.span() for m in _RUN.finditer(text) if sum(c in "0123456789" for c in m.group()) >= 7} | {m.span() for m in _WHOLE.finditer(text) if m.end() - m.start() >= 7}
+        out += [(5, a, b) for a, b in sorted(runs) if not (text[b : b + 1].isascii() and text[b : b + 1].isalnum())]
     if "(at)" in text or "[at]" in text or "(dot)" in text or "[dot]" in text or "@" in text:
         out += [(6, m.start(), m.end()) for m in _SPELLED.finditer(text)]
     return out
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    s = text[start : min(end, start + 200)]
+    s = text[start:end]
     n = len(s)
     digits = [c for c in s if c in "0123456789"]
-    counts = [s.count(c) for c in set(s)]
+    counts = Counter(s).values()
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     groups = [len(g) for g in re.findall("[0-9]+", s)]
     before = text[max(0, start - 32) : start].lower()
@@ -225,19 +228,48 @@ def train(size: int = 4000) -> Trees:
     return _trained[0]
 
 
+class _Taken:
+    """Spans that don't overlap each other, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):  # those of the base may overlap: as runs
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span was free; it is taken then."""
+        at = bisect_left(self.starts, b)
+        if at and self.ends[at - 1] > a:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
+def find_all(texts: list[str], trees: Trees) -> list[list[tuple[int, int, int, float]]]:
+    """All spans of each text (kind's number, start, end, score; the base's score 1), by kind, then start."""
+    base, more = [base_spans(t) for t in texts], [proposals(t) for t in texts]
+    rows = [features(t, *m) for t, found in zip(texts, more) for m in found]
+    scores, at, out = trees.score(np.array(rows)) if rows else np.zeros(0), 0, []
+    for text_base, found in zip(base, more):
+        spans, taken = [(*s, 1.0) for s in text_base], _Taken([s[1:] for s in text_base])
+        score, at = scores[at : at + len(found)], at + len(found)
+        for k in np.argsort(-score, kind="stable").tolist():
+            if score[k] < trees.threshold:
+                break
+            if taken.add(*found[k][1:]):
+                spans.append((*found[k], float(score[k])))
+        out.append(sorted(spans))
+    return out
+
+
 def find(text: str, trees: Trees) -> list[tuple[int, int, int, float]]:
-    """All spans of a text (kind's number, start, end, score; the base's score 1), by kind, then start."""
-    spans = [(*s, 1.0) for s in base_spans(text)]
-    more = proposals(text)
-    if more:
-        score = trees.score(np.array([features(text, *m) for m in more]))
-        taken = sorted((a, b) for _, a, b, _ in spans)
-        for k in np.argsort(-score, kind="stable"):
-            kind, a, b = more[k]
-            if score[k] >= trees.threshold and all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                spans.append((kind, a, b, float(score[k])))
-    return sorted(spans)
+    """find_all() of one text."""
+    return find_all([text], trees)[0]
 
 
 def _spans_of(docs: DataFrame, trees: Trees, text: str, redacted: bool) -> DataFrame:
@@ -250,9 +282,8 @@ def _spans_of(docs: DataFrame, trees: Trees, text: str, redacted: bool) -> DataF
             raw = flat.tobytes()
             for a, b in slices(offsets, BLOCK_BYTES):
                 out, clean = [], []
-                for i in range(a, b):
-                    body = raw[offsets[i] : offsets[i + 1]].decode()
-                    spans = find(body, trees)
+                bodies = [raw[offsets[i] : offsets[i + 1]].decode() for i in range(a, b)]
+                for body, spans in zip(bodies, find_all(bodies, trees)):
                     out.append([{"kind": KINDS[k], "start": s, "end": e, "score": p} for k, s, e, p in spans])
                     if redacted:
                         clean.append(redact(body, spans))
@@ -284,10 +315,11 @@ def redact_documents(docs: DataFrame, trees: Trees | None = None, text: str = "t
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind of the base, base_sha256 and spans of every document."""
+    """doc_id, counts by kind of the base, base_sha256, spans, and the number of all spans and of the added ones by kind."""
     found = find_spans(docs.select("doc_id", "text")).drop("text")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count_of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count_of(k) for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), *[count_of(k) for k in KINDS if k not in BASE_KINDS]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)

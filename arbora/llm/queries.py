@@ -16,10 +16,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), tokenizer_pattern())
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,11 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.quote_links(table(spark, sf_dir, "conversations"))
 
 
+def quoting_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op5 over conversations that do quote: each message with what quotes.QUOTING_SQL adds to it."""
+    return quotes.quote_links(quotes.quoting(table(spark, sf_dir, "conversations")))
+
+
 def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
@@ -64,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_radix": op3_suffix_radix,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quotation_linking": op5_quotation_linking,
+    "quoting_conversations": quoting_conversations,
     "op6_boosted_pii": op6_boosted_pii,
     "op7_line_crf": op7_line_crf,
     "op8_motion_jpeg": op8_motion_jpeg,
@@ -75,5 +87,6 @@ ORACLE: dict[str, str] = {
     "op1_pareto_mix": mix.MIX_SQL,
     "op2_voronoi_knn": knn.KNN_SQL,
     "op5_quotation_linking": quotes.QUOTES_SQL,
+    "quoting_conversations": quotes.QUOTING_SQL,
     "op10_extendible_sharding": shard.SHARD_SQL,
 }

@@ -154,6 +154,45 @@ from conversations m join q using (conv_id, turn) left join top using (conv_id,
 """
 
 
+HOT = "As the very first message of this list says, be kind to each other."
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages that quote, made from ones that don't: a turn quotes the one before it, on two levels the one before that, and
+    at turn 2 a sentence (HOT) that every conversation's first message says too.
+
+    Rows that share conversation and turn, or have none, and null texts, are left as they are (without the sentence)."""
+    once = messages.filter("conv_id is not null and turn is not null and text is not null").groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.min("text").alias("t")).filter("n = 1").select("conv_id", "turn", "t")
+    earlier = lambda k: once.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("t").alias(f"t{k}"))
+    alone = once.select("conv_id", "turn", F.lit(True).alias("alone"))
+    rows = messages.select("conv_id", "turn", "role", "text").join(alone, ["conv_id", "turn"], "left").join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
+    marked = lambda mark, text: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    head = F.concat(
+        F.when(F.col("t2").isNotNull(), marked("> > ", F.col("t2"))).otherwise(""),
+        F.when(F.col("t1").isNotNull(), F.concat(marked("> ", F.col("t1")), F.lit("On that day somebody wrote:\n"))).otherwise(""),
+        F.when(F.col("turn") == 2, marked("> ", F.lit(HOT))).otherwise(""),
+        F.when(F.col("turn") == 0, F.lit(HOT + "\n\n")).otherwise(""),
+    )
+    return rows.select("conv_id", "turn", "role", F.when(F.col("alone"), F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+
+
+#: QUOTES_SQL over the messages of quoting().
+QUOTING_SQL = QUOTES_SQL.replace("from conversations", "from quoting").replace(
+    "with recursive l as (",
+    f"""with recursive once as (
+  select conv_id, turn, min(text) as t from conversations where conv_id is not null and turn is not null and text is not null group by all having count(*) = 1),
+quoting as (
+  select m.conv_id, m.turn, m.role, case when z.t is null then m.text else
+    case when b.t is not null then '> > ' || replace(b.t, chr(10), chr(10) || '> > ') || chr(10) else '' end
+    || case when a.t is not null then '> ' || replace(a.t, chr(10), chr(10) || '> ') || chr(10) || 'On that day somebody wrote:' || chr(10) else '' end
+    || case when m.turn = 2 then '> {HOT}' || chr(10) else '' end
+    || case when m.turn = 0 then '{HOT}' || chr(10) || chr(10) else '' end || m.text end as text
+  from conversations m left join once z on z.conv_id = m.conv_id and z.turn = m.turn
+    left join once a on a.conv_id = m.conv_id and a.turn = m.turn - 1 left join once b on b.conv_id = m.conv_id and b.turn = m.turn - 2),
+l as (""",
+)
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
     """The rows of conversations() with the text's hash in place of the text."""
     return conversations(messages.select("conv_id", "turn", "role", "text")).select(

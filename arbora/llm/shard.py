@@ -3,12 +3,15 @@
 A directory is indexed by the leading bits of a document's hash.  It starts as one bucket; only a bucket over the byte limit
 splits, on one more bit, until every bucket fits.  A bucket's final depth is thus the smallest at which its prefix's bytes fit.
 
-Bytes are summed by a prefix long enough for the shards to expect (a few bits over log2 of total / limit) and those sums are
-rolled up to all shorter prefixes; a document finds its bucket by that directory.  Prefixes that are over the limit even there
-go on with more bits, they alone.
+Bytes are summed by a prefix long enough for the shards to expect (a few bits over log2 of total / limit).  From there buddies
+are merged bit by bit as long as any bucket fits: a bucket that fits while its parent doesn't is final.  Final buckets fill the
+directory (an entry for each prefix), and a document finds its bucket there.  Prefixes that are over the limit even at full
+length go on with more bits, they alone.
+
+Rows of one id have one hash and can't be told apart by its bits.  Where they don't fit together they are dealt once more, by a
+hash of their own, in a second directory (`page` 1), where every row has bits enough.
 
 Cases: an empty table gives no rows; null texts have 0 bytes; a document over the limit ends alone in its shard (`oversized`);
-rows with the same id can't be told apart by bits and at the last bit are dealt to numbered pages of at most the limit each;
 columns named like those added are replaced.
 """
 
@@ -16,62 +19,95 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, written
+from .common import discard, hash60, written
 
 BITS = 60
 #: More bits than the expected depth in the first directory, and in each one below.
-SPARE, STEP = 6, 6
+SPARE, STEP = 6, 9
 #: A directory of at most this many entries is broadcast (16 bytes each).
 BROADCAST_ENTRIES = 1 << 15
 SHARD_BYTES = 1 << 20
 
 
-def _prefix(depth: int):
+def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("__h"), BITS - depth)
 
 
-def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with n_bytes, depth (int), shard (the bucket's bits as a number), page (0 but for overflow),
-    shard_bytes and oversized."""
-    rows = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "__h": hash60(F.lit("shard"), F.col(doc_id))})
-    lean = written(rows.select("__h", "n_bytes"), "shard-sizes")
+def _final(sums: DataFrame, base: int, at: int, limit: int) -> list[DataFrame]:
+    """From p (prefixes of `at` bits), bytes and n: the final buckets (depth, q, bytes, n) of at least `base` bits, a table for
+    each depth, the longest first."""
+    fits = (F.col("bytes") <= limit) | (F.col("n") <= 1)
+    level, out = sums, []
+    for depth in range(at, base - 1, -1):
+        here = F.lit(True) if depth == BITS else fits  # at the last bit all that is left stays together
+        if depth == base:
+            final = level.filter(here)
+        else:
+            pair = written(level.groupBy(F.shiftrightunsigned("p", 1).alias("q")).agg(F.collect_list(F.struct("p", "bytes", "n")).alias("both"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n")), f"shard-level-{depth}")
+            # Two buddies at most; they are final if they fit and can't merge.
+            final = pair.filter(~fits).select(F.explode("both").alias("b")).select("b.*").filter(here)
+        out.append(final.select(F.lit(depth).alias("depth"), F.col("p").alias("q"), "bytes", "n"))
+        if depth == base:
+            break
+        level = pair.select(F.col("q").alias("p"), "bytes", "n")
+        if pair.filter(fits).isEmpty():  # nor does any shorter prefix
+            break
+    return out
+
+
+def _directories(lean: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """Directories (p, depth, q, bytes, n) for __h and n_bytes, each with its number of bits; a row is in the first that has its
+    prefix."""
     total = lean.agg(F.sum("n_bytes")).first()[0] or 0
-    done, base = [], 0
+    done, base, left = [], 0, lean
     at = min(BITS, max(SPARE, math.ceil(math.log2(max(1.0, total / limit))) + SPARE))
-    left = lean
     while True:
-        sums = left.groupBy(_prefix(at).alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
-        up = sums.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(at)))).withColumn("q", F.expr(f"shiftrightunsigned(p, {at} - depth)"))
-        buckets = up.groupBy("depth", "q").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-        fits = buckets.filter((F.col("bytes") <= limit) | (F.col("n") <= 1) | (F.col("depth") == BITS))
-        # The directory: for each prefix of `at` bits, the bucket with the smallest depth that fits, if any does.
-        entry = up.select("p", "depth", "q").join(fits, ["depth", "q"], "left")
-        found = F.min(F.when(F.col("bytes").isNotNull(), F.struct("depth", "q", "bytes", "n")))
-        directory = written(entry.groupBy("p").agg(found.alias("b")).select("p", "b.*"), f"shard-dir-{at}")
+        sums = written(left.groupBy(_prefix(at).alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), f"shard-sums-{at}")
+        final = _final(sums, base, at, limit)
+        union = final[0]
+        for f in final[1:]:
+            union = union.unionByName(f)
+        # A bucket of fewer bits has an entry for each prefix that begins with them.
+        spread = F.expr(f"shiftleft(1L, {at} - depth)")
+        entries = union.withColumn("p", F.explode(F.sequence(F.col("q") * spread, F.col("q") * spread + spread - 1)))
+        directory = written(entries.select("p", "depth", "q", "bytes", "n"), f"shard-dir-{at}")
+        over = sums.join(directory.select("p"), "p", "left_anti").select("p")
         done.append((at, directory))
-        over = directory.filter("depth is null").select("p")
         if at == BITS or over.isEmpty():
-            break
-        left = written(left.join(over, _prefix(at) == F.col("p"), "left_semi"), f"shard-left-{at}")
+            return done
+        left = written(left.join(over, _prefix(at) == F.col("p"), "left_semi").select("__h", "n_bytes"), f"shard-left-{at}")
         base, at = at, min(BITS, at + STEP)
+
+
+def _found(rows: DataFrame, directories: list[tuple[int, DataFrame]]) -> DataFrame:
+    """rows with depth, shard, shard_bytes and __n of their bucket."""
     out = rows.withColumns({"depth": F.lit(None).cast("int"), "shard": F.lit(None).cast("long"), "shard_bytes": F.lit(None).cast("long"), "__n": F.lit(None).cast("long")})
-    for at, directory in done:
-        found = directory.filter("depth is not null").select(F.col("p").alias("__p"), F.col("depth").alias("__d"), F.col("q").alias("__q"), F.col("bytes").alias("__b"), F.col("n").alias("__m"))
+    for at, directory in directories:
+        found = directory.select(F.col("p").alias("__p"), F.col("depth").alias("__d"), F.col("q").alias("__q"), F.col("bytes").alias("__b"), F.col("n").alias("__m"))
         if found.count() <= BROADCAST_ENTRIES:
             found = F.broadcast(found)
         out = out.join(found, _prefix(at) == F.col("__p"), "left").withColumns({k: F.coalesce(k, v) for k, v in (("depth", "__d"), ("shard", "__q"), ("shard_bytes", "__b"), ("__n", "__m"))})
         out = out.drop("__p", "__d", "__q", "__b", "__m")
-    alike = done[-1][0] == BITS and not done[-1][1].filter((F.col("depth") == BITS) & (F.col("bytes") > limit) & (F.col("n") > 1)).isEmpty()
-    if not alike:
-        out = out.withColumn("page", F.lit(0).cast("long"))
-    else:  # rows of one id that don't fit together
+    return out
+
+
+def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with n_bytes, page (the directory: 0, or 1 for rows dealt by their own hash), depth (int), shard (the
+    bucket's bits as a number), shard_bytes and oversized; page, depth and shard together name a shard."""
+    rows = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "__h": hash60(F.lit("shard"), F.col(doc_id))})
+    lean = written(rows.select("__h", "n_bytes"), "shard-sizes")
+    directories = _directories(lean, limit)
+    discard(lean)
+    out = _found(rows, directories).withColumn("page", F.lit(0).cast("long"))
+    at, deepest = directories[-1]
+    if at == BITS and not deepest.filter((F.col("depth") == BITS) & (F.col("bytes") > limit) & (F.col("n") > 1)).isEmpty():
         many = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("__n") > 1)
-        run = F.sum("n_bytes").over(Window.partitionBy("__h").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0))
-        paged = out.filter(many).withColumn("page", F.floor((run - 1) / F.lit(limit)).cast("long"))
-        out = out.filter(~many).withColumn("page", F.lit(0).cast("long")).unionByName(paged)
+        # Written, so that a row keeps its number.
+        paged = written(out.filter(many).select(*rows.columns).withColumn("__h", hash60(F.lit("page"), F.monotonically_increasing_id())), "shard-pages")
+        out = out.filter(~many).unionByName(_found(paged, _directories(paged.select("__h", "n_bytes"), limit)).withColumn("page", F.lit(1).cast("long")))
     return out.withColumn("oversized", (F.col("shard_bytes") > limit) & (F.col("__n") <= 1)).drop("__h", "__n")
 
 

@@ -40,7 +40,8 @@ def test_documents(spark, name):
     assert len(got) == len(TEXTS) and sorted(r["doc_id"] is None for r in got)[-1]
     assert op(docs(spark, [])).count() == 0
     twice = [r.asDict() for r in got if r["doc_id"] == 7]
-    assert len(twice) == 2 and {k: v for k, v in twice[0].items() if k != "page"} == {k: v for k, v in twice[1].items() if k != "page"}
+    place = ("page", "depth", "shard", "shard_bytes") if name == "sharded" else ()  # equal rows that don't fit together
+    assert len(twice) == 2 and {k: v for k, v in twice[0].items() if k not in place} == {k: v for k, v in twice[1].items() if k not in place}
 
 
 def test_results(spark):
@@ -52,7 +53,8 @@ def test_results(spark):
     assert by("bpe")[1]["n_tokens"] == 0 and by("avi")[2]["payload_bytes"] == 576
     scores = by("crf")
     assert scores[1]["score"] == scores[3]["score"] == 0 and scores[0]["score"] > 0
-    assert by("radix")[4]["n_removed"] == 120000 - 100 + 0 - (4 - 0) + 0 or by("radix")[4]["n_removed"] > 119000
+    # "x y " repeats every four bytes: all but the first four windows of its 119901 are repeated.
+    assert by("radix")[4]["n_removed"] == 120000 - 4
     assert by("mix")[1]["size"] == 0
 
 
