@@ -39,11 +39,25 @@ def prefixes(path: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def path_key(path: pd.Series) -> pd.Series:
-    """The spelling under which paths collide: NFC, each character in lower case.  Spark has no Unicode normalisation."""
+def _folded(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else "".join(c.lower() for c in unicodedata.normalize("NFC", p)))
 
 
+def path_key(path: Column | str) -> Column:
+    """The spelling under which paths collide: NFC, each character in lower case.
+
+    Spark has no Unicode normalisation, so paths that aren't ASCII are folded in Python; Python gets nulls for all others."""
+    path = F.col(path) if isinstance(path, str) else path
+    plain = path.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, F.lower(path)).otherwise(_folded(F.when(~plain, path)))
+
+
+def ignore_patterns(text: Column) -> Column:
+    """parse_ignore() for texts in rows."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
+
+
 def parse_ignore(text: str) -> list[str]:
     """The patterns of an ignore file: trimmed lines that are neither blank nor comments."""
     lines = (line.strip() for line in text.splitlines())

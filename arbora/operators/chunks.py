@@ -95,9 +95,14 @@ def fixed_blocks(files: DataFrame, size: int, body: str = "body", keep: tuple[st
     """The chunks of a fixed size."""
     data = F.col(body).cast("binary")
     n = F.octet_length(data)
-    each = files.filter(n > 0).select(*keep, data.alias("__b"), F.explode(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)).alias("k"))
-    piece = F.substring("__b", F.col("k") * size + 1, F.lit(size))
-    return each.select(*keep, (F.col("k") * size).cast("long").alias("offset"), F.octet_length(piece).cast("long").alias("len"), F.sha2(piece, 256).alias("hash"))
+
+    def block(k: Column) -> Column:
+        piece = F.substring(data, k * size + 1, F.lit(size))
+        return F.struct((k * size).cast("long").alias("offset"), F.octet_length(piece).cast("long").alias("len"), F.sha2(piece, 256).alias("hash"))
+
+    # Blocks are cut inside the row, and only their hashes leave it: a file is never repeated for its blocks.
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), block)
+    return files.filter(n > 0).select(*keep, F.explode(blocks).alias("x")).select(*keep, "x.*")
 
 
 def broken_signatures(chunks: DataFrame, sizes: DataFrame, by: list[str], max_len: Column | int) -> DataFrame:
@@ -151,17 +156,31 @@ def eligible(basis_size: Column, remaining: Column) -> Column:
 def skips(attempts: DataFrame, by: list[str], order: str, useful: str = "useful") -> DataFrame:
     """attempts with `skipped`: after an attempt that didn't pay, the next three are skipped, then one tries again.
 
-    Which attempts run depends on those that ran before, so each key's outcomes are folded in order."""
-    step = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(useful).alias("good")))),
-        F.struct(F.lit(0).alias("left"), F.array().cast("array<struct<at:bigint,skipped:boolean>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(acc["left"] > 0, acc["left"] - 1).otherwise(F.when(x["good"], 0).otherwise(3)).alias("left"),
-            F.array_append(acc["out"], F.struct(x["at"].cast("long").alias("at"), (acc["left"] > 0).alias("skipped"))).alias("out"),
-        ),
+    Which attempts run depends on those that ran before.  Runs of equal outcomes move the number of attempts still to skip by a
+    rule, and after four useful ones in a row it is 0 whatever was before: so runs are folded only between such places."""
+    w = Window.partitionBy(*by).orderBy(order)
+    good = F.coalesce(F.col(useful), F.lit(False))
+    new = F.coalesce(F.lag(good).over(w) != good, F.lit(True)).cast("int")
+    rows = attempts.select(*by, order, good.alias("__good"), new.alias("__new")).withColumn("__run", F.sum("__new").over(w))
+    runs = rows.groupBy(*by, "__run").agg(F.first("__good").alias("good"), F.count("*").alias("n"))
+    calm = F.sum((F.col("good") & (F.col("n") >= 4)).cast("int")).over(Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    parts = runs.withColumn("part", F.coalesce(calm, F.lit(0))).groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("__run", "good", "n"))).alias("runs"))
+
+    def after(left: Column, x: Column) -> Column:
+        bad = F.when(x["n"] <= left, left - x["n"]).otherwise(3 - F.pmod(x["n"] - left - 1, F.lit(4)))
+        return F.when(x["good"], F.greatest(left - x["n"], F.lit(0))).otherwise(bad).cast("long")
+
+    entry = F.aggregate(
+        "runs",
+        F.struct(F.lit(0).cast("long").alias("left"), F.array().cast("array<struct<run:bigint,left:bigint>>").alias("out")),
+        lambda acc, x: F.struct(after(acc["left"], x).alias("left"), F.array_append(acc["out"], F.struct(x["__run"].alias("run"), acc["left"].alias("left"))).alias("out")),
         lambda acc: acc["out"],
     )
-    return attempts.groupBy(*by).agg(step.alias("o")).select(*by, F.explode("o").alias("o")).select(*by, F.col("o.at").alias(order), "o.skipped")
+    started = parts.select(*by, F.explode(entry).alias("e")).select(*by, F.col("e.run").alias("__run"), F.col("e.left").alias("__left"))
+    place = F.row_number().over(Window.partitionBy(*by, "__run").orderBy(order)) - 1
+    whole = rows.withColumn("__at", place).join(started, [*by, "__run"])
+    skipped = (F.col("__at") < F.col("__left")) | (~F.col("__good") & (F.pmod(F.col("__at") - F.col("__left"), F.lit(4)) != 0))
+    return whole.select(*by, order, skipped.alias("skipped"))
 
 
 def resume_offset(body: Column, offered: Column, prefix_hash: Column) -> Column:
@@ -175,17 +194,21 @@ def resume_key(peer: Column, path: Column, hash_: Column, size: Column) -> Colum
 
 
 def bad_copies(planned: DataFrame, bodies: DataFrame, by: list[str], body: str = "body") -> DataFrame:
-    """Copies whose range of the basis hasn't the hash that was planned."""
-    rows = planned.filter("basis_offset is not null").join(bodies.select(*by, F.col(body).cast("binary").alias("__b")), by)
-    return rows.filter(F.sha2(F.substring("__b", (F.col("basis_offset") + 1).cast("int"), F.col("len").cast("int")), 256) != F.col("hash")).drop("__b")
+    """Copies whose range of the basis hasn't the hash that was planned.
+
+    A file's copies (MAX_BLOCKS at most in a legal plan) come to its body as one list."""
+    rest = [c for c in planned.columns if c not in by]
+    lists = planned.filter("basis_offset is not null").groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("__copies"))
+    data = F.col("__b")
+    wrong = F.filter("__copies", lambda x: F.sha2(F.substring(data, (x["basis_offset"] + 1).cast("int"), x["len"].cast("int")), 256) != x["hash"])
+    return lists.join(bodies.select(*by, F.col(body).cast("binary").alias("__b")), by).select(*by, F.explode(wrong).alias("x")).select(*by, "x.*")
 
 
 def reassembled(planned: DataFrame, sources: DataFrame, bases: DataFrame, by: list[str], body: str = "body") -> DataFrame:
-    """by and `body`: each file put together from copies of its basis and literal pieces of its source."""
-    a, b = F.col("__s"), F.col("__b")
-    rows = planned.join(sources.select(*by, F.col(body).cast("binary").alias("__s")), by).join(bases.select(*by, F.col(body).cast("binary").alias("__b")), by, "left")
-    cut = lambda data, at: F.substring(data, (at + 1).cast("int"), F.col("len").cast("int"))
-    piece = F.when(F.col("basis_offset").isNotNull(), cut(b, F.col("basis_offset"))).otherwise(cut(a, F.col("offset")))
-    parts = rows.select(*by, "offset", F.hex(piece).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "x"))), lambda p: p["x"]), "")
-    return parts.groupBy(*by).agg(F.unhex(joined).alias(body))
+    """by and `body`: each file put together from copies of its basis and literal pieces of its source, which both come to its
+    list of operations once."""
+    lists = planned.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("offset", "len", "basis_offset"))).alias("__plan"))
+    rows = lists.join(sources.select(*by, F.col(body).cast("binary").alias("__s")), by).join(bases.select(*by, F.col(body).cast("binary").alias("__b")), by, "left")
+    cut = lambda data, at, n: F.hex(F.substring(data, (at + 1).cast("int"), n.cast("int")))
+    pieces = F.transform("__plan", lambda x: F.when(x["basis_offset"].isNotNull(), cut(F.col("__b"), x["basis_offset"], x["len"])).otherwise(cut(F.col("__s"), x["offset"], x["len"])))
+    return rows.select(*by, F.unhex(F.array_join(pieces, "")).alias(body))

@@ -29,6 +29,16 @@ def listed(conflicts: DataFrame) -> DataFrame:
     return conflicts.orderBy("folder", "path", "id")
 
 
+def at_paths(conflicts: DataFrame, paths: DataFrame) -> DataFrame:
+    """The records of some paths (folder, path)."""
+    return conflicts.join(paths.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def by_id(conflicts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of some ids (folder, id)."""
+    return conflicts.join(ids.select("folder", "id").distinct(), ["folder", "id"], "left_semi")
+
+
 def counts(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("folder").agg(F.count("*").alias("conflicts"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clocks, paths
 from ..functions.entries import ENTRY, same_content
+from .ranges import running
 
 KEY = ["folder", "path"]
 OBSERVED = ("kind", "size", "hash", "target", "mode", "stamp")
@@ -40,6 +41,13 @@ def adopts(received: Column, fresh: Column) -> Column:
     return F.when(received["kind"] == "Deleted", fresh["kind"] == "Deleted").otherwise(same_content(received, fresh))
 
 
+def predicted(entries: DataFrame, snapshot: DataFrame, device: str, of: DataFrame) -> DataFrame:
+    """The clocks that paths (of: folder, path) would get if what is seen now were recorded; nothing is."""
+    these = of.select(*KEY).distinct()
+    near = lambda df: df.join(these, KEY, "left_semi")
+    return decide(near(entries), near(snapshot), device).select(*KEY, "action", "clock")
+
+
 def decide(entries: DataFrame, snapshot: DataFrame, device: str, receiving: DataFrame | None = None, errors: int = 0, keep: Column | None = None) -> DataFrame:
     """One row for each path of either side: folder, path, action, old (index), fresh (observation) and the clock to record.
 
@@ -70,8 +78,8 @@ def decide(entries: DataFrame, snapshot: DataFrame, device: str, receiving: Data
 def numbered(changes: DataFrame, heads: DataFrame) -> DataFrame:
     """changes (folder, path, kind, ...) with seq after each folder's head: parents before children, deletions deepest first."""
     gone = F.col("kind") == "Deleted"
-    order = Window.partitionBy("folder").orderBy(gone, F.when(gone, -F.length("path")).otherwise(F.length("path")), "path")
-    return changes.join(heads, "folder", "left").withColumn("seq", F.coalesce("head", F.lit(0)) + F.row_number().over(order)).drop("head")
+    ranked = running(changes, ["folder"], [gone, F.when(gone, -F.length("path")).otherwise(F.length("path")), F.col("path")])
+    return ranked.join(heads, "folder", "left").withColumn("seq", F.coalesce("head", F.lit(0)) + F.col("n")).drop("head", "n")
 
 
 def applied(entries: DataFrame, decided: DataFrame, heads: DataFrame) -> DataFrame:
@@ -114,15 +122,17 @@ def collisions(entries: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def aliases(incoming: DataFrame, entries: DataFrame) -> DataFrame:
-    """incoming (folder, path) with the local spelling of its longest prefix that is known under another spelling, and whether
-    that differs by more than Unicode form (an error)."""
+    """incoming (folder, path) with the local spelling of its longest prefix that is known under another spelling, whether that
+    differs in case and not only in Unicode form (an error), and whether another incoming path has the same one (one too)."""
     known = entries.select("folder", F.col("path").alias("local"), paths.path_key("path").alias("k"))
     asked = incoming.select(*KEY, F.explode(paths.prefixes(F.col("path"))).alias("prefix")).withColumn("k", paths.path_key("prefix"))
     hits = asked.join(known, ["folder", "k"]).filter("prefix <> local")
     best = hits.groupBy(*KEY).agg(F.max_by(F.struct("prefix", "local"), F.struct(F.length("prefix"), "local")).alias("b"))
     out = incoming.select(*KEY).join(best, KEY, "left")
     resolved = F.when(F.col("b").isNotNull(), F.concat("b.local", F.expr("substring(path, length(b.prefix) + 1)"))).otherwise(F.col("path"))
-    return out.select(*KEY, resolved.alias("local_path"), F.coalesce(F.lower("b.prefix") == F.lower("b.local"), F.lit(False)).alias("case_only"))
+    told = out.select(*KEY, resolved.alias("local_path"), F.coalesce(F.lower("b.prefix") == F.lower("b.local"), F.lit(False)).alias("case_only"))
+    several = told.distinct().groupBy("folder", "local_path").agg(F.count("*").alias("k"))
+    return told.join(several, ["folder", "local_path"]).withColumn("duplicate", F.col("k") > 1).select(*KEY, "local_path", "case_only", "duplicate")
 
 
 def scan_errors(errors: DataFrame, most: int = 32) -> DataFrame:

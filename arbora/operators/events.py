@@ -59,16 +59,29 @@ def coalesced(events: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def overflowing(events: DataFrame, by: Sequence[str], most: int = MAX_PATHS) -> DataFrame:
-    """Batches that met more paths than a batch may hold; they become one full scan.  Counts paths before a Tree absorbs them
-    (the largest number of live paths can't be more)."""
-    return events.filter(F.col("scope").isNotNull()).groupBy(*by).agg(F.countDistinct("path").alias("paths")).filter(F.col("paths") > most)
-
-
-def counters(events: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Events, ignored, surviving paths and coalesced events by batch."""
+    """Batches that held more paths at a time than a batch may; they become one full scan.  A path is held from its first event
+    (by event_id) on, unless a Tree above it was there before, until a Tree above it comes.  Without an event_id all events
+    come at once."""
+    known = events.filter(F.col("scope").isNotNull())
+    known = known if "event_id" in events.columns else known.withColumn("event_id", F.lit(0))
+    one = known.groupBy(*by, "path").agg(F.min("event_id").alias("first"))
+    trees = known.filter("scope = 'Tree'").groupBy(*by, F.col("path").alias("parent")).agg(F.min("event_id").alias("tree"))
+    above = one.select(*by, "path", F.explode(paths.ancestors(F.col("path"))).alias("parent")).join(trees, [*by, "parent"]).groupBy(*by, "path").agg(F.min("tree").alias("gone"))
+    held = one.join(above, [*by, "path"], "left").filter("gone is null or first < gone")
+    # What a Tree absorbs goes before it comes itself.
+    steps = held.select(*by, F.explode(F.array_compact(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("step")), F.when(F.col("gone").isNotNull(), F.struct(F.col("gone").alias("at"), F.lit(-1).alias("step")))))).alias("s")).select(*by, "s.*")
+    each = steps.groupBy(*by, "at", "step").agg(F.sum("step").alias("change"))
+    live = F.sum("change").over(Window.partitionBy(*by).orderBy("at", "step"))
+    return each.withColumn("paths", live).groupBy(*by).agg(F.max("paths").alias("paths")).filter(F.col("paths") > most)
+
+
+def counters(events: DataFrame, by: Sequence[str], most: int = MAX_PATHS) -> DataFrame:
+    """Events, ignored, surviving paths, coalesced events and overflows (0 or 1) by batch; one that overflows keeps no paths."""
     seen = events.groupBy(*by).agg(F.count("*").alias("events"), F.count(F.when(F.col("scope").isNull(), 1)).alias("ignored"))
     left = coalesced(events, by).groupBy(*by).agg(F.count("*").alias("paths"))
-    out = seen.join(left, list(by), "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
+    full = overflowing(events, by, most).select(*by, F.lit(1).cast("long").alias("overflows"))
+    out = seen.join(left, list(by), "left").join(full, list(by), "left").withColumn("overflows", F.coalesce("overflows", F.lit(0)))
+    out = out.withColumn("paths", F.when(F.col("overflows") > 0, 0).otherwise(F.coalesce("paths", F.lit(0))))
     return out.withColumn("coalesced", F.col("events") - F.col("ignored") - F.col("paths"))
 
 

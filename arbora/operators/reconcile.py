@@ -96,6 +96,35 @@ def stale(plan: DataFrame, local: DataFrame) -> DataFrame:
     return now.filter(~same)
 
 
+#: Fixed value: the format of plans.
+FORMAT = 1
+
+
+def header(plan: DataFrame, device: str, folder: str, counter: int) -> DataFrame:
+    """The one row that describes a plan: format, device, folder, counter (the folder's sequence number when it was made), items."""
+    items = plan.filter(F.col("folder") == folder).agg(F.count("*").alias("items"))
+    return items.select(F.lit(FORMAT).alias("format"), F.lit(device).alias("device"), F.lit(folder).alias("folder"), F.lit(counter).cast("long").alias("counter"), "items")
+
+
+def header_faults(headers: DataFrame, heads: DataFrame) -> DataFrame:
+    """What is wrong with plans' headers: several for a folder, another format, or a folder that has moved on since."""
+    many = headers.groupBy("folder").agg(F.count("*").alias("n"), F.min("format").alias("low"), F.max("format").alias("high"), F.max("counter").alias("counter"))
+    told = many.join(heads, "folder", "left")
+    faults = F.array_compact(F.array(
+        F.when(F.col("n") != 1, F.lit("several headers")),
+        F.when((F.col("low") != FORMAT) | (F.col("high") != FORMAT), F.lit("another format")),
+        F.when(F.coalesce("head", F.lit(0)) != F.col("counter"), F.lit("stale")),
+    ))
+    return told.select("folder", faults.alias("faults")).filter(F.size("faults") > 0)
+
+
+def audit(plan: DataFrame, key: Column | None = None) -> DataFrame:
+    """A plan as it is kept for the record: path, path_key, both sides and the stamp as JSON, and the action, by folder and path."""
+    fold = paths.path_key("path") if key is None else key
+    told = plan.select(*KEY, fold.alias("path_key"), F.to_json("remote").alias("remote"), F.to_json("local").alias("local"), F.col("local.stamp").alias("stamp"), "action")
+    return told.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+
+
 def page(plan: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of a plan in order of folder and path; 1 to 1000 rows."""
     if not 1 <= limit <= 1000 or offset < 0:

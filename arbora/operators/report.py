@@ -33,9 +33,10 @@ def suppressed(events: DataFrame, by: str, within: int = 30) -> DataFrame:
     dropped, and doesn't restart the time.
 
     Details longer than DETAIL are cut when kept, so they never equal the next one.  Runs of one kind and detail fold over their
-    times; a run is what one key says in a row."""
+    times; a run is what one key says in a row, and ends where it is silent for `within`, since the next one is kept then."""
     w = Window.partitionBy(by).orderBy("at", "event_id")
     same = (F.lag("kind").over(w) == F.col("kind")) & (F.lag("detail").over(w) == F.col("detail")) & (F.length("detail") <= DETAIL)
+    same = same & (F.col("at") - F.lag("at").over(w) < within)
     runs = events.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
     kept = F.aggregate(
         F.array_sort(F.collect_list(F.struct("at", "event_id"))),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clocks
+from .ranges import running
 
 DAY = 86400
 MAX_ARTIFACTS = 100_000
@@ -19,20 +20,23 @@ def expired(saved: Column, days: int | None, at: int) -> Column:
 def versions(archives: DataFrame, at: int, days: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Archived versions (folder, id, saved_at, bytes) to remove, with the reason: by age, else oldest first until what is left
     fits the space.  What goes is always a prefix in order of age, so a running sum finds it."""
-    order = Window.partitionBy("folder").orderBy("saved_at", "id")
-    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("bytes").over(Window.partitionBy("folder"))
     old = expired(F.col("saved_at"), days, at)
-    over = F.lit(False) if max_bytes is None else total - before > max_bytes
-    marked = archives.withColumns({"old": old, "over": over})
+    if max_bytes is None:
+        marked = archives.withColumns({"old": old, "over": F.lit(False)})
+    else:
+        total = archives.groupBy(F.col("folder").alias("__f")).agg(F.sum("bytes").alias("__total"))
+        summed = running(archives, ["folder"], [F.col("saved_at"), F.col("id")], {"__before": "bytes"}).join(total, F.col("folder").eqNullSafe(F.col("__f")))
+        marked = summed.withColumns({"old": old, "over": F.col("__total") - F.col("__before") > max_bytes}).drop("n", "__before", "__total", "__f")
     return marked.filter("old or over").withColumn("reason", F.when(F.col("old"), "version age").otherwise("version space limit")).drop("old", "over")
 
 
 def lru(rows: DataFrame, limit: int, most: int = 1024, by: str = "cache") -> DataFrame:
-    """What stays of a cache (used, id, bytes): the newest rows while their sum and number fit."""
+    """What stays of a cache (used, id, bytes): the newest rows while their sum and number fit.
+
+    Only the newest `most` of each cache, which partitions find for themselves, are summed."""
     w = Window.partitionBy(by).orderBy(F.desc("used"), F.desc("id"))
-    kept = rows.withColumns({"sum": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)})
-    return kept.filter((F.col("sum") <= limit) & (F.col("n") <= most)).drop("sum", "n")
+    few = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
+    return few.withColumn("sum", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= limit).drop("sum", "n")
 
 
 def newest(rows: DataFrame, most: int = 1024, by: str = "cache") -> DataFrame:
@@ -41,12 +45,16 @@ def newest(rows: DataFrame, most: int = 1024, by: str = "cache") -> DataFrame:
 
 
 def scan_cache(puts: DataFrame, budget: int, items: int = 16_384, item_bytes: int = 8 << 20, by: str = "cache") -> DataFrame:
-    """What a cache that evicts in order of insertion holds after puts (position, key, bytes) of unique keys: items over the
-    size never enter; the newest stay while they fit.  Reading doesn't refresh."""
+    """What a cache that evicts in order of insertion holds after puts (position, key, bytes): empty items and those over the
+    size never enter; a key put again moves to its new place; the newest stay while they fit.  Reading doesn't refresh.
+
+    Exact as long as a key's items don't shrink (then an older item may have gone before there was room for it again)."""
     w = Window.partitionBy(by).orderBy(F.desc("position"))
-    fits = puts.filter((F.col("bytes") <= item_bytes) & (F.col("bytes") <= budget))
-    kept = fits.withColumns({"sum": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)})
-    return kept.filter((F.col("sum") <= budget) & (F.col("n") <= items)).drop("sum", "n")
+    fits = puts.filter((F.col("bytes") > 0) & (F.col("bytes") <= item_bytes) & (F.col("bytes") <= budget))
+    rest = [c for c in puts.columns if c not in (by, "key")]
+    last = fits.groupBy(by, "key").agg(F.max_by(F.struct(*rest), "position").alias("v")).select(by, "key", "v.*")
+    few = last.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= items)
+    return few.withColumn("sum", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= budget).drop("sum", "n")
 
 
 def partials(files: DataFrame, at: int, days: int | None) -> DataFrame:
@@ -69,11 +77,13 @@ def reclaimable(bytes_: Column, links: Column) -> Column:
     return F.when(links > 1, 0).otherwise(bytes_)
 
 
-def report(candidates: DataFrame, removed: DataFrame | None = None, protected: int = 0) -> DataFrame:
-    """One row: candidates, eligible_bytes, removed, skipped, protected_conflicts."""
+def report(candidates: DataFrame, removed: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
+    """One row: candidates, eligible_bytes, removed, skipped, protected_conflicts (unresolved ones)."""
+    pending = (candidates.limit(0) if conflicts is None else conflicts).agg(F.count("*").alias("protected_conflicts"))
     found = candidates.agg(F.count("*").alias("candidates"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("eligible_bytes"))
     gone = (candidates.limit(0) if removed is None else removed).agg(F.count("*").alias("removed"))
-    return found.join(gone, F.lit(True)).select("*", (F.col("candidates") - F.col("removed")).alias("skipped"), F.lit(protected).cast("long").alias("protected_conflicts"))
+    one = found.join(gone, F.lit(True)).join(pending, F.lit(True))  # one row each
+    return one.select("candidates", "eligible_bytes", "removed", (F.col("candidates") - F.col("removed")).alias("skipped"), "protected_conflicts")
 
 
 def unchanged_since(candidates: DataFrame, now: DataFrame) -> DataFrame:
@@ -87,6 +97,13 @@ def enabled(policy: dict[str, int | None]) -> list[str]:
     return [c for c, keys in limits.items() if any(policy.get(k) is not None for k in keys)]
 
 
+def enabled_columns(policy: dict[str, Column]) -> Column:
+    """enabled() for policies in rows."""
+    has = lambda *keys: F.coalesce(*[policy[k] for k in keys]).isNotNull()
+    named = [("versions", has("versions_days", "versions_max_bytes")), ("partials", has("partial_days")), ("conflicts", has("resolved_conflicts_days"))]
+    return F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in named]))
+
+
 def too_many(artifacts: DataFrame, most: int = MAX_ARTIFACTS) -> DataFrame:
     """Categories with more artifacts than a pass may handle."""
     return artifacts.groupBy("folder", "category").agg(F.count("*").alias("artifacts")).filter(F.col("artifacts") > most)

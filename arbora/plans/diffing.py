@@ -83,13 +83,11 @@ def content_hash(spark, d):
 
 @query(
     "entry_violations",
-    f"""{sql_with('replica_a')} select folder, path, concat_ws(',', case when ca + cb <= 0 then 'clock counter' end, 'device', case when m < 0 or m > 511 then 'mode' end, case when kind = 'Symlink' and h <> sha256(target) then 'target' end) as violations
-    from (select *, case when id % 40 = 0 then 1023 else mode end as m, case when id % 58 = 0 then 'x' else hash end as h from replica_a) where kind <> 'File'""",
+    f"""{sql_with('replica_a')} select folder, path, concat_ws(',', case when ca + cb <= 0 then 'clock counter' end, 'device', case when kind = 'File' and not regexp_matches(h, '^[0-9a-f]{{64}}$') then 'file hash' end, case when m < 0 or m > 511 then 'mode' end, case when kind = 'Symlink' and h <> sha256(target) then 'target' end) as violations
+    from (select *, case when id % 40 = 0 then 1023 else mode end as m, case when id % 58 = 0 then 'x' else hash end as h from replica_a)""",
 )
 def entry_violations(spark, d):
-    sizes = table(spark, d, "documents").select("doc_id")
-    a = view(spark, d, "replica_a").filter("kind <> 'File'").withColumn("id", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long"))
-    a = a.join(sizes, F.col("id") == F.col("doc_id"), "left_semi")
+    a = view(spark, d, "replica_a").withColumn("id", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long"))
     mode = F.when(F.col("id") % 40 == 0, 1023).otherwise(F.col("mode"))
     hash_ = F.when(F.col("id") % 58 == 0, "x").otherwise(F.col("hash"))
     return a.select("folder", "path", F.array_join(entries.violations(F.col("path"), F.col("kind"), F.col("size"), hash_, F.col("target"), mode, F.col("clock")), ",").alias("violations"))
@@ -184,10 +182,36 @@ def path_collisions(spark, d):
     return diff.collisions(a.union(more))
 
 
-@query("path_aliases", f"{sql_with('replica_a')} select folder, upper(path) as path, path as local_path, true as case_only from replica_a where upper(path) <> path")
+@query(
+    "path_aliases",
+    f"""{sql_with('replica_a')}, n as (select folder, upper(path) as path, path as local_path, true as case_only, id % 30 = 0 as duplicate from replica_a where id % 3 = 0
+      union all select folder, upper(left(path, 2)) || substr(path, 3), path, true, true from replica_a where id % 30 = 0
+      union all select folder, replace(path, '.txt', 'e' || chr(769) || '.txt'), replace(path, '.txt', 'é.txt'), false, false from replica_a where id % 3 = 1)
+    select * from n""",
+)
 def path_aliases(spark, d):
-    a = view(spark, d, "replica_a")
-    return diff.aliases(a.select("folder", F.upper("path").alias("path")), a)
+    """Incoming paths in other cases, in another Unicode form, and pairs that mean one local path."""
+    a = view(spark, d, "replica_a").withColumn("id", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long"))
+    named = lambda end: F.replace(F.col("path"), F.lit(".txt"), F.lit(end))
+    local = a.withColumn("path", F.when(F.col("id") % 3 == 1, named("é.txt")).otherwise(F.col("path")))
+    asked = a.filter("id % 3 = 0").select("folder", F.upper("path").alias("path"))
+    asked = asked.union(a.filter("id % 30 = 0").select("folder", F.concat(F.upper(F.substring("path", 1, 2)), F.expr("substring(path, 3)")).alias("path")))
+    return diff.aliases(asked.union(a.filter("id % 3 = 1").select("folder", named("e\u0301.txt").alias("path"))), local)
+
+
+@query(
+    "scan_with_errors",
+    f"""{sql_with('replica_a', 'snapshot')}, {_FRESH}, y as (select *, {_ACTION.format(adopt='')} as action from x)
+    select folder, case when action = 'delete' then 'none' else action end as action, count(*) as paths from y group by 1, 2""",
+)
+def scan_with_errors(spark, d):
+    return diff.decide(view(spark, d, "replica_a"), view(spark, d, "snapshot"), "A", errors=2).groupBy("folder", "action").agg(F.count("*").alias("paths"))
+
+
+@query("ignore_patterns", r"select doc_id, len(p) as patterns, md5(array_to_string(p, chr(10))) as listed from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and not starts_with(x, '#')) as p from documents)")
+def ignore_patterns(spark, d):
+    p = paths.ignore_patterns(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(p).cast("long").alias("patterns"), F.md5(F.array_join(p, "\n")).alias("listed"))
 
 
 @query("latest_entries", f"{sql_with('journal')} select folder, count(*) as paths, sum(size)::bigint as bytes, sum(seq)::bigint as seqs from (select *, row_number() over (partition by folder, path order by seq desc) as r from journal) where r = 1 group by 1")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clocks
-from ..operators import chunks, feed, retention
+from ..operators import cache, chunks, conflicts, feed, reconcile, retention
 from ..sources.fixtures import sql_with, view
 from .base import clock_text, query, table
+from .reconciling import _OUT
 
 LANES = 3
 _LANE = "case when kind <> 'File' or size < 1048576 then 0 else 1 + ('0x' || substr(sha256(path), 1, 15))::bigint % 2 end"
@@ -86,15 +87,15 @@ def sample_validity(spark, d):
 
 @query(
     "batch_legality",
-    f"""{_J}, r as (select floor((seq - 1) / 100)::bigint as batch, seq % 100 as position, case when seq % 977 = 0 then seq - 5 else seq end as seq, path, kind, size, floor((seq - 1) / 100)::bigint * 100 as prior, floor((seq - 1) / 100)::bigint * 100 + case when floor((seq - 1) / 100)::bigint % 7 = 3 then 50 else 100 end as upto, lane from jl where folder = 'N'),
+    f"""{_J}, r as (select folder || ':' || floor((seq - 1) / 100)::bigint as batch, seq % 100 as position, case when seq % 977 = 0 then seq - 5 else seq end as seq, path, kind, size, floor((seq - 1) / 100)::bigint * 100 as prior, floor((seq - 1) / 100)::bigint * 100 + case when floor((seq - 1) / 100)::bigint % 7 = 3 then 50 else 100 end as upto, lane from jl),
     s as (select *, lag(seq) over (partition by batch order by seq0) as before from (select *, row_number() over (partition by batch order by prior + case when position = 0 then 100 else position end) as seq0 from r))
     select batch, count(*) as rows, concat_ws(',', case when bool_or(coalesce(before >= seq, false)) then 'sequence not increasing' end, case when bool_or(seq <= prior or seq > upto) then 'sequence outside the batch' end, case when bool_or(lane <> 0) then 'wrong lane' end) as reasons
     from s group by 1 having bool_or(seq <= prior or seq > upto) or bool_or(coalesce(before >= seq, false)) or bool_or(lane <> 0)""",
 )
 def batch_legality(spark, d):
-    j = view(spark, d, "journal").filter("folder = 'N'")
+    j = view(spark, d, "journal")
     batch = F.expr("(seq - 1) div 100")
-    rows = j.select(batch.alias("batch"), F.col("seq").alias("position"), F.when(F.col("seq") % 977 == 0, F.col("seq") - 5).otherwise(F.col("seq")).alias("seq"), "path", "kind", "size", (batch * 100).alias("prior"), (batch * 100 + F.when(batch % 7 == 3, 50).otherwise(100)).alias("upto"), F.lit(0).alias("lane"))
+    rows = j.select(F.concat("folder", F.lit(":"), batch.cast("string")).alias("batch"), F.col("seq").alias("position"), F.when(F.col("seq") % 977 == 0, F.col("seq") - 5).otherwise(F.col("seq")).alias("seq"), "path", "kind", "size", (batch * 100).alias("prior"), (batch * 100 + F.when(batch % 7 == 3, 50).otherwise(100)).alias("upto"), F.lit(0).alias("lane"))
     return feed.illegal_batches(rows, LANES).select("batch", "rows", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -129,10 +130,14 @@ def version_retention(spark, d):
     return retention.versions(view(spark, d, "archives"), AT, 6, 3000).select("folder", "id", F.col("bytes").cast("long").alias("bytes"), "reason")
 
 
-@query("retention_report", f"{sql_with('archives')}, {_DUE} select count(*) as candidates, sum(bytes)::bigint as eligible_bytes, count(*) filter (where reason = 'version age') as removed, count(*) filter (where reason <> 'version age') as skipped, 4::bigint as protected_conflicts from w")
+_RETAINED = sql_with("archives", "replica_a", "replica_b") + f""", {_DUE}, {_OUT}"""
+
+
+@query("retention_report", f"{_RETAINED} select count(*) as candidates, sum(bytes)::bigint as eligible_bytes, count(*) filter (where reason = 'version age') as removed, count(*) filter (where reason <> 'version age') as skipped, (select count(*) from o where outcome = 'conflict') as protected_conflicts from w")
 def retention_report(spark, d):
     due = retention.versions(view(spark, d, "archives"), AT, 6, 3000)
-    return retention.report(due.withColumn("bytes", F.col("bytes").cast("long")), due.filter("reason = 'version age'"), 4)
+    pending = conflicts.records(reconcile.outcomes(view(spark, d, "replica_a"), view(spark, d, "replica_b")))
+    return retention.report(due.withColumn("bytes", F.col("bytes").cast("long")), due.filter("reason = 'version age'"), pending)
 
 
 @query("signature_lru", f"{sql_with('archives')} select folder, id from (select *, sum(bytes) over w as s, row_number() over w as n from archives window w as (partition by folder order by saved_at desc, id desc rows between unbounded preceding and current row)) where s <= 4000 and n <= 8")
@@ -146,9 +151,10 @@ def feedback_trim(spark, d):
     return retention.newest(view(spark, d, "archives").withColumn("used", F.col("saved_at")), 5, by="folder").select("folder", "id")
 
 
-@query("scan_cache", f"{sql_with('archives')} select folder, id from (select *, sum(bytes) over w as s, row_number() over w as n from archives where bytes <= 900 window w as (partition by folder order by id desc rows between unbounded preceding and current row)) where s <= 3000 and n <= 6")
+@query("scan_cache", f"{sql_with('archives')} select folder, id from (select *, sum(bytes) over w as s, row_number() over w as n from (select folder, split_part(id, '-', 1) as key, max(id) as id, arg_max(bytes, id) as bytes from archives where bytes > 0 and bytes <= 900 group by 1, 2) window w as (partition by folder order by id desc rows between unbounded preceding and current row)) where s <= 3000 and n <= 6")
 def scan_cache(spark, d):
-    return retention.scan_cache(view(spark, d, "archives").withColumn("position", F.col("id")), 3000, 6, 900, by="folder").select("folder", "id")
+    puts = view(spark, d, "archives").withColumns({"position": F.col("id"), "key": F.substring_index("id", "-", 1)})
+    return retention.scan_cache(puts, 3000, 6, 900, by="folder").select("folder", "id")
 
 
 @query("partial_expiry", f"{sql_with('archives')} select folder, id, bytes::bigint as bytes from archives where length(id) % 2 = 0 and saved_at <= {AT} and {AT} - saved_at >= 8 * 86400")
@@ -193,15 +199,14 @@ def unchanged_candidates(spark, d):
 
 
 BLOCK = 512
-_BODY = "a as (select doc_id, text as body from documents where doc_id % 2 = 0), b as (select doc_id, case when doc_id % 6 = 0 then 'Q' || text when doc_id % 4 = 0 then left(text, 700) || 'zz' || substr(text, 703) else text end as body from documents where doc_id % 2 = 0)"
+_BODY = "a as (select doc_id, text as body from documents), b as (select doc_id, case when doc_id % 6 = 0 then 'Q' || text when doc_id % 4 = 0 then left(text, 700) || 'zz' || substr(text, 703) else text end as body from documents)"
 _BLK = f"""{_BODY}, ab as (select doc_id, k * {BLOCK} as o, (encode(body))[k * {BLOCK} + 1 : k * {BLOCK} + {BLOCK}] as x from a, unnest(range(0, ceil(strlen(body) / {BLOCK}.0)::bigint)) t(k) where body <> ''),
 bb as (select doc_id, k * {BLOCK} as o, (encode(body))[k * {BLOCK} + 1 : k * {BLOCK} + {BLOCK}] as x from b, unnest(range(0, ceil(strlen(body) / {BLOCK}.0)::bigint)) t(k) where body <> ''),
 f as (select doc_id, x, min(o) as basis_offset from ab group by 1, 2), plan as (select bb.doc_id, bb.o as "offset", octet_length(bb.x) as len, sha256(bb.x) as hash, f.basis_offset from bb left join f on f.doc_id = bb.doc_id and f.x = bb.x)"""
 
 
-def _bodies(spark, d, every=False):
+def _bodies(spark, d):
     docs = table(spark, d, "documents")
-    docs = docs if every else docs.filter("doc_id % 2 = 0")
     b = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Q"), F.col("text"))).when(F.col("doc_id") % 4 == 0, F.concat(F.expr("left(text, 700)"), F.lit("zz"), F.expr("substring(text, 703)"))).otherwise(F.col("text"))
     return docs.select("doc_id", F.col("text").alias("body")), docs.select("doc_id", b.alias("body"))
 
@@ -282,7 +287,7 @@ def cdc_invariants(spark, d):
 
 @query("cdc_reuse")
 def cdc_reuse(spark, d):
-    a, b = _bodies(spark, d, every=True)
+    a, b = _bodies(spark, d)
     return chunks.reuse(chunks.plan(chunks.signature(b, "body", ("doc_id",), 64), chunks.signature(a, "body", ("doc_id",), 64), ["doc_id"]), ["doc_id"])
 
 
@@ -296,3 +301,71 @@ def cdc_reuse(spark, d):
 def adaptive_skips(spark, d):
     e = table(spark, d, "events").withColumn("useful", F.col("event_type") != "error")
     return chunks.skips(e, ["user_id"], "event_id")
+
+
+@query("plan_metadata", f"""with {_BLK} select doc_id, (sum(strlen('{{"len":' || len || ',"hash":"' || hash || '"' || coalesce(',"basis_offset":' || basis_offset, '') || '}}')) + count(*) + 1)::bigint as metadata from plan group by 1""")
+def plan_metadata(spark, d):
+    return chunks.plan_metadata(_planned(spark, d), ["doc_id"])
+
+
+@query("lane_validity", "select s_suppkey as id, s_suppkey % 10 between 1 and 8 and s_suppkey % 12 >= 1 and s_suppkey % 12 - 1 < s_suppkey % 10 as valid from supplier")
+def lane_validity(spark, d):
+    i = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(i.alias("id"), feed.valid_lane(i % 12 - 1, i % 10).alias("valid"))
+
+
+@query("send_disabled", "select l.m as local_mode, r.m as remote_mode, case when l.m = 'receive-only' then 'local folder is receive-only' when r.m = 'send-only' then 'peer folder is send-only (last handshake)' end as reason from (values ('two-way'), ('send-only'), ('receive-only')) l(m), (values ('two-way'), ('send-only'), ('receive-only')) r(m)")
+def send_disabled(spark, d):
+    modes = ["two-way", "send-only", "receive-only"]
+    both = spark.createDataFrame([(a, b) for a in modes for b in modes], "local_mode string, remote_mode string")
+    return both.withColumn("reason", feed.send_disabled(F.col("local_mode"), F.col("remote_mode")))
+
+
+@query(
+    "retention_categories",
+    "select s_suppkey as id, concat_ws(',', case when s_suppkey % 4 = 0 or s_suppkey % 6 = 0 then 'versions' end, case when s_suppkey % 5 = 0 then 'partials' end, case when s_suppkey % 7 = 0 then 'conflicts' end) as categories from supplier",
+)
+def retention_categories(spark, d):
+    i = F.col("s_suppkey")
+    when = lambda k: F.when(i % k == 0, 30)
+    policy = {"versions_days": when(4), "versions_max_bytes": when(6), "partial_days": when(5), "resolved_conflicts_days": when(7)}
+    return table(spark, d, "supplier").select(i.alias("id"), F.array_join(retention.enabled_columns(policy), ",").alias("categories"))
+
+
+_SIGNED = f"""{sql_with('archives')}, s as (select sha256(concat_ws(chr(10), folder, id, 's', bytes::varchar, '64')) as key, id || ':' || folder as data, bytes, case when bytes % 3 = 0 then {AT} - 30 else saved_at end as used from archives)"""
+
+
+def _signatures(spark, d):
+    """A cache out of the archives: some records too large, some with a broken checksum."""
+    a = view(spark, d, "archives")
+    key = cache.cache_key(F.col("folder"), F.col("id"), F.lit("s"), F.col("bytes"), F.lit(64))
+    rows = a.select(key.alias("key"), F.concat("id", F.lit(":"), "folder").alias("data"), F.col("bytes").alias("n"), F.when(F.col("bytes") % 3 == 0, AT - 30).otherwise(F.col("saved_at")).cast("long").alias("used"))
+    return rows.withColumns({"checksum": F.when(F.col("n") % 5 == 0, "x").otherwise(F.sha2("data", 256)), "bytes": F.col("n").cast("long") * 2000})
+
+
+@query("signature_cache_get", f"{_SIGNED} select key, data, used < {AT} - 60 as touched from s where bytes * 2000 <= 2097152 and bytes % 5 <> 0 and bytes % 2 = 0")
+def signature_cache_get(spark, d):
+    rows = _signatures(spark, d)
+    return cache.get(rows, rows.filter("n % 2 = 0"), 4, AT)
+
+
+@query("signature_cache_touch", f"{_SIGNED} select used, count(*) as records from (select case when bytes * 2000 <= 2097152 and bytes % 5 <> 0 and bytes % 2 = 0 and used < {AT} - 60 then {AT} else used end as used from s) group by 1")
+def signature_cache_touch(spark, d):
+    rows = _signatures(spark, d)
+    return cache.touch(rows, cache.get(rows, rows.filter("n % 2 = 0"), 4, AT), AT).groupBy("used").agg(F.count("*").alias("records"))
+
+
+_PUT = f"""{_SIGNED}, u as (select key, data, strlen(data)::bigint as bytes, used from s where bytes % 7 <> 0 union all select key, 'new' || data, strlen(data)::bigint + 3, {AT} from s where bytes % 7 = 0),
+k as (select *, sum(bytes) over (order by used desc, key desc rows between unbounded preceding and current row) as total, row_number() over (order by used desc, key desc) as n from u)"""
+
+
+@query("signature_cache_put", f"{_PUT} select key, data, bytes, used from k where n <= 60 and total <= 1048576")
+def signature_cache_put(spark, d):
+    rows = _signatures(spark, d)
+    small = rows.withColumn("bytes", F.octet_length("data").cast("long"))
+    return cache.put(small, rows.filter("n % 7 = 0").select("key", F.concat(F.lit("new"), "data").alias("data")), 1, AT, 60).select("key", "data", "bytes", "used")
+
+
+@query("signature_cache_totals", f"{_PUT} select coalesce(sum(bytes), 0)::bigint as bytes, count(*) as rows from k where n <= 60 and total <= 1048576")
+def signature_cache_totals(spark, d):
+    return cache.totals(signature_cache_put(spark, d))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clocks
-from ..operators import conflicts, reconcile
+from ..operators import conflicts, diff, reconcile
 from ..operators.diff import KEY, packed
 from ..sources.fixtures import sql_with, view
 from .base import bytes_eq, clock_text, content_eq, query, rel, table
+from .diffing import _ACTION, _FRESH
 
 AB = sql_with("replica_a", "replica_b")
 _OUT = f"""o as (
@@ -114,7 +115,7 @@ def changed_destinations(spark, d):
     return reconcile.changed_since(view(spark, d, "replica_a"), view(spark, d, "snapshot"))
 
 
-_TREE = """t as (
+_TREE = """t as materialized (
   select folder, path, kind, seq, size from journal
   union all select distinct folder, split_part(path, '/', 1), case when l.k % 13 = 0 then 'File' else 'Directory' end, l.k, 0
   from (select folder, path, cast(substr(split_part(path, '/', 1), 2) as bigint) as k from journal) l where l.k % 5 <> 0)"""
@@ -122,7 +123,7 @@ _TREE = """t as (
 
 @query(
     "required_parent_seq",
-    f"""{sql_with('journal')}, {_TREE}, e as (select folder, path, max(seq) as seq, arg_max(kind, seq) as kind, arg_max(size, seq) as size from t group by 1, 2)
+    f"""{sql_with('journal')}, {_TREE}, e as materialized (select folder, path, max(seq) as seq, arg_max(kind, seq) as kind, arg_max(size, seq) as size from t group by 1, 2)
     select c.folder, c.path, coalesce(p.seq, 0)::bigint as required_seq, (case when coalesce(p.kind, '') <> 'Directory' then 1 else 0 end)::bigint as violations
     from e c left join e p on p.folder = c.folder and p.path = split_part(c.path, '/', 1) where c.kind = 'File' and c.size >= 1048576""",
 )
@@ -184,12 +185,12 @@ def conflict_page(spark, d):
     return conflicts.page(_records(spark, d)[0], "EN/d", offset=5).select("folder", "id", "path", "more")
 
 
-@query("clear_resolved", f"{_REC} select folder, id, path from c join (select folder, path, ca + id % 3 as na, cb + id % 2 as nb from replica_b) n using (folder, path) where not (la <= na and lb <= nb and ra <= na and rb <= nb)")
+@query("clear_resolved", f"{_REC} select folder, id, path from c join (select folder, path, greatest(ca - 1 + id % 3, 0) as na, cb + id % 2 as nb from replica_b) n using (folder, path) where not (la <= na and lb <= nb and ra <= na and rb <= nb)")
 def clear_resolved(spark, d):
     c, _, b = _records(spark, d)
     k = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
-    at = lambda dev, by: F.coalesce(F.col("clock")[dev], F.lit(0)) + k % by
-    now = b.select("folder", "path", F.create_map(F.lit("A"), at("A", 3), F.lit("B"), at("B", 2)).alias("clock"))
+    at = lambda dev: F.coalesce(F.col("clock")[dev], F.lit(0))
+    now = b.select("folder", "path", F.create_map(F.lit("A"), F.greatest(at("A") - 1 + k % 3, F.lit(0)), F.lit("B"), at("B") + k % 2).alias("clock"))
     return conflicts.clear_resolved(c, now).select("folder", "id", "path")
 
 
@@ -236,3 +237,54 @@ def reviewed_unchanged(spark, d):
     both = packed(a, "seen").join(packed(a.withColumn("stamp", F.when(moved, "new").otherwise(F.col("stamp"))), "now"), KEY)
     ok = conflicts.reviewed(F.col("now"), F.col("seen"))
     return both.groupBy("folder").agg(F.count(F.when(ok, 1)).alias("same"), F.count(F.when(~ok, 1)).alias("changed"))
+
+
+@query("conflict_list", f"{_REC} select folder, path, id from c order by folder, path, id")
+def conflict_list(spark, d):
+    return conflicts.listed(_records(spark, d)[0]).select("folder", "path", "id")
+
+
+@query("conflicts_at_paths", f"{_REC} select folder, id, path from c where path like '%1.txt'")
+def conflicts_at_paths(spark, d):
+    c, a, _ = _records(spark, d)
+    return conflicts.at_paths(c, a.filter("path like '%1.txt'")).select("folder", "id", "path")
+
+
+@query("conflict_by_id", f"{_REC} select folder, id, path from c where path like '%0.txt'")
+def conflict_by_id(spark, d):
+    c = _records(spark, d)[0]
+    return conflicts.by_id(c, c.filter("path like '%0.txt'")).select("folder", "id", "path")
+
+
+@query(
+    "predicted_clocks",
+    f"""{sql_with('replica_a', 'replica_b', 'snapshot')}, {_OUT}, {_FRESH}, y as (select *, {_ACTION.format(adopt='')} as action from x)
+    select y.folder, y.path, action, {clock_text("coalesce(ca, 0) + case when action in ('change', 'delete') then 1 else 0 end", 'coalesce(cb, 0)')} as clock from y join (select folder, path from o where outcome = 'conflict') c using (folder, path)""",
+)
+def predicted_clocks(spark, d):
+    c, a, _ = _records(spark, d)
+    got = diff.predicted(a, view(spark, d, "snapshot"), "A", c)
+    return got.select("folder", "path", "action", F.coalesce(clocks.text(F.col("clock")), F.lit("")).alias("clock"))
+
+
+@query("plan_header", f"{AB}, {_PLAN} select 1 as format, 'A' as device, 'src3' as folder, 7::bigint as counter, count(*) as items from plan where folder = 'src3'")
+def plan_header(spark, d):
+    return reconcile.header(reconcile.pairing_plan(*_ab(spark, d), key=F.lower("path")), "A", "src3", 7)
+
+
+@query(
+    "plan_header_faults",
+    f"{sql_with('replica_a')}, f as (select folder, concat_ws(',', case when folder like '%1' then 'several headers' end, case when folder like '%2' then 'another format' end, case when folder like '%3' then 'stale' end) as faults from (select distinct folder from replica_a)) select * from f where faults <> ''",
+)
+def plan_header_faults(spark, d):
+    heads = view(spark, d, "replica_a").groupBy("folder").agg(F.max("seq").alias("head"))
+    last = F.substring("folder", -1, 1)
+    made = heads.select("folder", F.when(last == "2", 2).otherwise(1).alias("format"), F.when(last == "3", F.col("head") - 1).otherwise(F.col("head")).alias("counter"))
+    return reconcile.header_faults(made.unionByName(made.filter("folder like '%1'")), heads).select("folder", F.array_join("faults", ",").alias("faults"))
+
+
+@query("plan_audit", f"{AB}, {_PLAN} select folder, path, lower(path) as path_key, action, action not in ('send-new') as remote, action <> 'receive' or exists (select 1 from replica_a a where a.folder = plan.folder and a.path = plan.path) as local from plan")
+def plan_audit(spark, d):
+    a, b = _ab(spark, d)
+    kept = reconcile.audit(reconcile.pairing_plan(a, b, key=F.lower("path")), key=F.lower("path"))
+    return kept.select("folder", "path", "path_key", "action", F.col("remote").isNotNull().alias("remote"), F.col("local").isNotNull().alias("local"))

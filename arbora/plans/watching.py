@@ -60,14 +60,25 @@ def event_coalesce(spark, d):
     return events.coalesced(_batched(spark, d, True), ["user_id", "batch"])
 
 
-@query("event_counters", f"{_SHORT}, l as (select user_id, batch, count(*) as paths from c group by 1, 2), s as (select user_id, batch, count(*) as events, count(*) filter (where scope is null) as ignored from b group by 1, 2) select user_id, batch::int as batch, events, ignored, coalesce(paths, 0) as paths, events - ignored - coalesce(paths, 0) as coalesced from s left join l using (user_id, batch)")
+def _held(source: str, by: str) -> str:
+    """CTEs: `full_`, the batches of `source` (by, event_id, path, scope) and the most paths each held at a time."""
+    return f"""one as (select {by}, path, min(event_id) as f from {source} where scope is not null group by all), tr as (select {by}, path as parent, min(event_id) as t from {source} where scope = 'Tree' group by all),
+gone as (select one.*, (select min(t) from tr where {' and '.join(f'tr.{c} = one.{c}' for c in by.split(', '))} and starts_with(one.path, tr.parent || '/')) as g from one),
+step as (select {by}, f as place, 1 as d from gone where g is null or f < g union all select {by}, g, -1 from gone where f < g),
+full_ as (select {by}, max(held)::bigint as held from (select {by}, sum(d) over (partition by {by} order by place, d) as held from step) group by all)"""
+
+
+@query("event_counters", f"{_SHORT}, {_held('b', 'user_id, batch')}, l as (select user_id, batch, count(*) as paths from c group by 1, 2), s as (select user_id, batch, count(*) as events, count(*) filter (where scope is null) as ignored from b group by 1, 2), t as (select s.*, case when held > 4 then 0 else coalesce(paths, 0) end as paths, case when held > 4 then 1 else 0 end as overflows from s left join l using (user_id, batch) left join full_ using (user_id, batch)) select user_id, batch::int as batch, events, ignored, paths, events - ignored - paths as coalesced, overflows from t")
 def event_counters(spark, d):
-    return events.counters(_batched(spark, d, True), ["user_id", "batch"])
+    return events.counters(_batched(spark, d, True), ["user_id", "batch"], 4)
+
 
+_ALL = f"{sql_with('fs_events')}, e as (select user_id, event_id, case when event_id % 3 = 0 then array_to_string(string_split(path, '/')[1:2], '/') else path end as path, {_SCOPE} as scope from fs_events), {_held('e', 'user_id')}"
 
-@query("overflow_batches", f"{sql_with('fs_events')}, e as (select *, {_SCOPE} as scope from fs_events) select user_id, count(distinct path) as paths from e where scope is not null group by 1 having count(distinct path) > 45")
+
+@query("overflow_batches", f"{_ALL} select user_id, held as paths from full_ where held > 8")
 def overflow_batches(spark, d):
-    return events.overflowing(_events(spark, d), ["user_id"], 45)
+    return events.overflowing(_shorter(_events(spark, d)), ["user_id"], 8)
 
 
 @query("scan_routes", f"{_SHORT}, k as (select distinct path from fs_events where event_id % 2 = 0) select user_id, batch::int as batch, path, case when scope = 'Tree' or k.path is null then 'tree' else 'entry' end as route from c left join k using (path)")
@@ -76,9 +87,9 @@ def scan_routes(spark, d):
     return events.routes(events.coalesced(_batched(spark, d, True), ["user_id", "batch"]), known).select("user_id", "batch", "path", "route")
 
 
-@query("retry_merge", f"{sql_with('fs_events')}, e as (select path, max({_SCOPE}) as scope, max(event_id % 4) as attempt from fs_events where kind <> 'Access' and event_id % 2 = 0 group by 1) select path, scope, attempt, pow(2, attempt)::bigint as delay_s from e where attempt < 3")
+@query("retry_merge", f"{sql_with('fs_events')}, e as (select path, max({_SCOPE}) as scope, max(event_id % 4) as attempt from fs_events where kind <> 'Access' group by 1) select path, scope, attempt, pow(2, attempt)::bigint as delay_s from e where attempt < 3")
 def retry_merge(spark, d):
-    pending = _events(spark, d).filter("scope is not null and event_id % 2 = 0").select("path", "scope", (F.col("event_id") % 4).alias("attempt"))
+    pending = _events(spark, d).filter("scope is not null").select("path", "scope", (F.col("event_id") % 4).alias("attempt"))
     return events.retried(pending)
 
 
@@ -88,9 +99,9 @@ def retry_backoff(spark, d):
     return table(spark, d, "supplier").select(i.alias("id"), events.watch_backoff(i % 6, i % 3 == 0, i * 7).alias("seconds"))
 
 
-@query("coverage_gaps", f"{sql_with('fs_events')}, g as (select distinct case when event_id % 3 = 0 then array_to_string(string_split(path, '/')[1:2], '/') else path end as path from fs_events where event_id % 10 >= 4 and event_id % 4 = 0) select path from g where not exists (select 1 from g h where starts_with(g.path, h.path || '/'))")
+@query("coverage_gaps", f"{sql_with('fs_events')}, g as (select distinct case when event_id % 3 = 0 then array_to_string(string_split(path, '/')[1:2], '/') else path end as path from fs_events where event_id % 10 >= 4) select path from g where not exists (select 1 from g h where starts_with(g.path, h.path || '/'))")
 def coverage_gaps(spark, d):
-    g = _shorter(_events(spark, d)).filter("event_id % 4 = 0").select("path", (F.col("event_id") % 10).alias("generation"))
+    g = _shorter(_events(spark, d)).select("path", (F.col("event_id") % 10).alias("generation"))
     return events.open_gaps(g, 4)
 
 
@@ -191,3 +202,16 @@ def folder_phase(spark, d):
 @query("connected_peers", "select user_id as peer, count(distinct event_id % 3) as lanes from events group by 1")
 def connected_peers(spark, d):
     return report.connected(table(spark, d, "events").select(F.col("user_id").alias("peer"), (F.col("event_id") % 3).alias("lane")))
+
+
+@query(
+    "rate_history",
+    """with e as (select user_id as source, event_id as place, event_id // 300 as pid, event_id - event_id % 8 as updated, value as rate from events),
+    n as (select *, coalesce(lag(pid) over (partition by source order by place) <> pid, true) as new from e), r as (select *, sum(new::int) over (partition by source order by place) as run from n),
+    k as (select r.*, row_number() over (partition by source order by place desc) as k from r join (select source, max(run) as run from r group by 1) l using (source, run))
+    select source, place as "at", case when place - updated >= 5 then 0 else rate end::double as rate from k where k <= 5""",
+)
+def rate_history(spark, d):
+    i = F.col("event_id")
+    samples = table(spark, d, "events").select(F.col("user_id").alias("source"), i.alias("at"), F.expr("event_id div 300").alias("pid"), F.lit(0).alias("started"), (i - i % 8).alias("updated"), F.col("value").cast("double").alias("rate"))
+    return report.rate_history(samples, 5, 5).select("source", "at", "rate")

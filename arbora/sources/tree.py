@@ -22,7 +22,7 @@ def scan(spark: SparkSession, root: str, folder: str, glob: str = "*", content:
 
 
 def save(entries: DataFrame, folder: str, version: int) -> str:
-    """Write an index as a new version, by folder; older versions stay until they are removed."""
+    """Write an index as a new version, by folder and in order of paths; older versions stay until they are removed."""
     path = f"{folder}/v={version}"
-    entries.write.partitionBy("folder").parquet(path)
+    entries.repartitionByRange("folder", "path").sortWithinPartitions("folder", "path").write.partitionBy("folder").parquet(path)
     return path

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions import clocks, paths
-from arbora.operators import chunks, diff, events, feed, reconcile, retention
+from arbora.operators import chunks, diff, events, feed, ranges, reconcile, retention
 
 
 def one(spark, **columns):
@@ -161,3 +161,86 @@ def test_empty_and_null(spark):
     assert diff.decide(none, none.drop("clock", "seq"), "a").count() == 0
     assert reconcile.plan_summary(reconcile.pairing_plan(none, none)).count() == 0
     assert events.coalesced(spark.createDataFrame([("k", "a", None)], "key string, path string, scope string"), ["key"]).count() == 0
+
+
+def fold(outcomes):
+    out, left = [], 0
+    for good in outcomes:
+        out.append(left > 0)
+        left = left - 1 if left else (0 if good else 3)
+    return out
+
+
+def test_skips_fold(spark):
+    """Folding runs between calm places gives what folding all attempts does."""
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for k in range(40):
+        share = rnd.choice([0.02, 0.3, 0.5, 0.9, 1.0])
+        outcomes = [rnd.random() < share for _ in range(rnd.randint(1, 300))]
+        rows += [(k, i, g) for i, g in enumerate(outcomes)]
+        want |= {(k, i): x for i, x in enumerate(fold(outcomes))}
+    got = chunks.skips(spark.createDataFrame(rows, "k int, i long, useful boolean").repartition(3), ["k"], "i").collect()
+    assert {(r["k"], r["i"]): r["skipped"] for r in got} == want
+
+
+def test_running(spark):
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.7 else rnd.choice(["a", "b", None]), i, rnd.randint(0, 9)) for i in range(2000)]
+    rnd.shuffle(rows)
+    got = {r["i"]: (r["n"], r["s"]) for r in ranges.running(spark.createDataFrame(rows, "g string, i long, x long").repartition(5), ["g"], [F.col("x"), F.col("i")], {"s": "x"}).collect()}
+    for g in ("hot", "a", "b", None):
+        total = 0
+        for n, (_, i, x) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))):
+            assert got[i] == (n + 1, total)
+            total += x
+
+
+def test_scan_cache_with_repeated_keys(spark):
+    """Against the cache itself, for items that don't shrink."""
+    rnd = random.Random(5)
+    for _ in range(5):
+        budget, most = rnd.choice([40, 100]), rnd.choice([3, 8])
+        puts, size = [], {}
+        for i in range(60):
+            k = f"k{rnd.randrange(12)}"
+            size[k] = min(45, size.get(k, rnd.randint(0, 10)) + rnd.randint(0, 3))
+            puts.append((0, i, k, size[k]))
+        held = {}
+        for _, i, k, n in puts:
+            if not 0 < n <= min(30, budget):
+                continue
+            held.pop(k, None)
+            while held and (sum(x for _, x in held.values()) + n > budget or len(held) >= most):
+                held.pop(min(held, key=lambda q: held[q][0]))
+            held[k] = (i, n)
+        got = retention.scan_cache(spark.createDataFrame(puts, "cache int, position long, key string, bytes long"), budget, most, 30)
+        assert {r["key"]: (r["position"], r["bytes"]) for r in got.collect()} == held
+
+
+def test_reuse_by_content(spark):
+    """cdc_reuse's counts against chunks that are cut and compared here."""
+    import hashlib
+
+    rnd = random.Random(6)
+    bodies = [bytes(rnd.randrange(256) for _ in range(n)) for n in (0, 10, 3000, 20000)]
+    edited = [b[: len(b) // 3] + b"!!" + b[len(b) // 3 :] for b in bodies]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(map(bytearray, rows))), "doc_id int, body binary")
+    got = {r["doc_id"]: (r["size"], r["reused"], r["operations"]) for r in chunks.reuse(chunks.plan(chunks.signature(frame(edited), keep=("doc_id",), min_floor=64), chunks.signature(frame(bodies), keep=("doc_id",), min_floor=64), ["doc_id"]), ["doc_id"]).collect()}
+
+    def cut(body):
+        ends = chunks.boundaries(body, chunks.parameters(len(body), 0, 64)) if body else []
+        return [(hashlib.sha256(body[a:b]).hexdigest(), b - a) for a, b in zip([0, *ends], ends)]
+
+    for i, (a, b) in enumerate(zip(bodies, edited)):
+        old, new = set(cut(a)), cut(b)
+        assert got[i] == (len(b), sum(n for h, n in new if (h, n) in old), len(new))
+
+
+def test_snapshot_is_written_in_order(spark, tmp_path):
+    from arbora.sources import tree
+
+    rows = [("f", f"p{(i * 7919) % 100:03}", "File", i, "h", None, 420, {"a": 1}, i + 1, "") for i in range(100)]
+    at = tree.save(entries(spark, rows).repartition(4), str(tmp_path / "index"), 1)
+    got = [r["path"] for r in spark.read.parquet(at).orderBy(F.input_file_name(), F.monotonically_increasing_id()).select("path").collect()]
+    assert got == sorted(got) and len(got) == 100
