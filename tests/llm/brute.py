@@ -33,9 +33,9 @@ def shingles(text, size=4):
     return frozenset([tuple(words)]) if words else frozenset()
 
 
-def components(rows, percent=85):
+def components(rows, percent=85, size=4):
     """doc_id -> (number of shingles, smallest doc_id of its component)."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, size) for d, t in rows}
     parent = {d: d for d in sets}
 
     def root(x):
