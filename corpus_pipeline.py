@@ -1,5 +1,10 @@
 """A training corpus out of documents: drop bad ones, keep one of each group of near duplicates, take out personal data, mix
-the sources to their weights, and encode what is left."""
+the sources to their weights, and encode what is left.
+
+Cases, for every stage: nulls may stand in any column (a null text is empty; a null source is a source of its own; rows without
+an id are rows like others); rows that share an id are judged each by its own text; repeated rows have repeated fates, but for
+near_duplicates, which keeps one of them; an empty table gives an empty table; other columns than those of documents are dropped
+before the first stage.  A table that a stage has read is deleted when the next one is written."""
 
 from __future__ import annotations
 
@@ -9,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, crf, mix, pii, rtree
-from arbora.llm.common import bounded_batches, table, written
-from arbora.llm.queries import tokenizer_file
+from arbora.llm.common import bounded_batches, discard, table, written
+from arbora.llm.queries import tokenizer_file, tokenizer_pattern
 from arbora.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the line model, fitted on the labelled ones among them, doesn't reject.  Texts without lines are rejected
+    (score 0); without labels nothing else is."""
     model = crf.train(docs, table(spark, sf_dir, "labels"))
     return crf.score(docs, model, "__score").filter(F.col("__score") >= crf.THRESHOLD).select(*docs.columns)
 
@@ -38,20 +44,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; a null text becomes empty."""
     return pii.redact_documents(docs).drop("spans").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mix.repeated(mix.mix(docs, mix.word_count(F.col("text"))), docs.columns)
+    """Documents as often as the mix takes them; longer ones are likelier to be drawn, as in op1.  Documents without words are
+    taken as often as their whole source is."""
+    words = mix.word_count(F.col("text"))
+    return mix.repeated(mix.mix(docs, words, chance=mix.longer_first(words)), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (little-endian unsigned 32-bit integers), n_tokens, and the hash of what the ids decode to."""
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
-    told = bpe.decode(bpe.encode(docs, ranks, keep=("doc_id", "source")), ranks)
-    return told.select("doc_id", "source", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    told = bpe.decode(bpe.encode(docs, ranks, tokenizer_pattern(), keep=("doc_id", "source")), ranks, hashed=True)
+    return told.select("doc_id", "source", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.col("decoded").alias("decoded_sha256"))
 
 
 def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -74,5 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        read, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
