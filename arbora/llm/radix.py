@@ -347,13 +347,14 @@ def _spans(rows: DataFrame, length: int, bucket: int) -> DataFrame:
         place = f"cast((cast(d as decimal(20,0)) + {zero}) * {unit} + s as decimal(38,0))"
         d, at = f"cast(floor(w / {unit}) - {zero} as bigint)", f"cast(w % {unit} as int)"
     packed, unpacked = F.expr(place).alias("w"), (F.expr(d).alias("d"), F.expr(at).alias("s"))
-    more = _run_rows(rows, length, True).groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select("b")
+    # A table of its own, so that the join with a hot bucket's runs can be split.
+    more = written(_run_rows(rows, length, True).groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select("b"), "radix-more")
     runs = written(_run_rows(rows, length, False).join(more, "b", "left_semi").select("b", "c", packed, "n"), "radix-runs")
+    discard(more)
     classes = written(runs.groupBy("b", "c").agg(F.min("w").alias("w"), F.min("n").alias("n"), F.count("*").alias("k")), "radix-classes")
     first = classes.filter("k > 1").select("b", "c", F.col("w").alias("w0"))
     second = written(runs.join(first, ["b", "c"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n")), "radix-equal")
     discard(runs)
-    # A table of its own, so that the join with a hot bucket's classes can be split.
     mixed = written(classes.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b"), "radix-mixed")
     open_runs = classes.join(mixed, "b", "left_semi").select("b", *unpacked, "n").groupBy("d").agg(F.collect_list(F.struct("b", "s", "n")).alias("runs"))
     pieces = written(_piece_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-pieces")
