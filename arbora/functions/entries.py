@@ -25,6 +25,15 @@ def stamp(*fields: Column) -> Column:
     return F.concat_ws(":", *[f.cast("string") for f in fields])
 
 
+#: Fixed value: the fields of a fingerprint, in order.
+STAMP_FIELDS = ("dev", "ino", "size", "mtime", "mtime_nsec", "ctime", "ctime_nsec")
+
+
+def fingerprint(row: dict[str, Column]) -> Column:
+    """The stamp of a file from all its STAMP_FIELDS."""
+    return stamp(*[row[f] for f in STAMP_FIELDS])
+
+
 def content_hash(body: Column) -> Column:
     """SHA-256 in hex: the same contract of 64 digits as any other hash of content here."""
     return F.sha2(body, 256)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clocks, entries, paths
 from ..operators import diff
+from ..sources import tree
 from ..sources.fixtures import sql_with, view
 from .base import bytes_eq, clock_text, content_eq, query, rel, table
 
@@ -223,3 +224,18 @@ def latest_entries(spark, d):
 def scan_errors(spark, d):
     errors = view(spark, d, "fs_events").filter("kind = 'Remove'").select(F.col("path").alias("scan"), F.col("event_id").alias("at"), F.col("kind").alias("message"))
     return diff.scan_errors(errors).select("scan", "at", "message", F.col("rank").cast("long").alias("rank"), "total")
+
+
+_LIST = """select source as folder, concat(lang, '/d', cast(doc_id % 7 as string), '/', cast(doc_id as string), '.txt') as path, case when doc_id % 23 = 0 then 'Directory' when doc_id % 29 = 0 then 'Symlink' when doc_id % 31 = 0 then 'Socket' else 'File' end as kind,
+  doc_id % 2 as dev, doc_id as ino, OCT as size, 7 + doc_id % 3 as mtime, doc_id * 10 as mtime_nsec, 8 as ctime, 5 as ctime_nsec, case when doc_id % 11 = 0 then 33261 else 33188 end as mode, concat('../', lang) as target, text as body from {documents}"""
+
+
+@query(
+    "listing_snapshot",
+    "with l as (" + _LIST.replace("{documents}", "documents").replace("OCT", "strlen(text)::bigint") + """)
+    select folder, path, kind, case when kind = 'File' then size else 0 end as size, case kind when 'File' then sha256(body) when 'Symlink' then sha256(target) else '' end as hash, case when kind = 'Symlink' then target end as target,
+      (mode & 511)::int as mode, concat_ws(':', dev, ino, size, mtime, mtime_nsec, ctime, ctime_nsec) as stamp from l where kind <> 'Socket'""",
+)
+def listing_snapshot(spark, d):
+    rows = spark.sql(_LIST.replace("OCT", "cast(octet_length(text) as bigint)"), documents=table(spark, d, "documents"))
+    return tree.observed(rows.drop("body"), rows.select("folder", "path", "body"))

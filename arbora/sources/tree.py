@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.entries import stamp
+from ..functions import paths
+from ..functions.entries import STAMP_FIELDS, content_hash, fingerprint, stamp
+
+
+def observed(listing: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """A snapshot out of a listing: folder, path, kind (File, Directory, Symlink), mode with its type bits, target, and the
+    STAMP_FIELDS of each; contents (folder, path, body) for the files that must be hashed.
+
+    Files without a body have a null hash, links the hash of their target, directories none.  Other kinds are left out."""
+    rows = listing.filter("kind in ('File', 'Directory', 'Symlink')")
+    if contents is not None:
+        rows = rows.join(contents.select("folder", "path", content_hash(F.col("body")).alias("__hash")), ["folder", "path"], "left")
+    else:
+        rows = rows.withColumn("__hash", F.lit(None).cast("string"))
+    file, link = F.col("kind") == "File", F.col("kind") == "Symlink"
+    return rows.select(
+        "folder", "path", "kind", F.when(file, F.col("size")).otherwise(0).cast("long").alias("size"), F.when(file, F.col("__hash")).when(link, content_hash(F.col("target"))).otherwise("").alias("hash"),
+        F.when(link, F.col("target")).alias("target"), F.col("mode").bitwiseAND(F.lit(0o777)).cast("int").alias("mode"), fingerprint({f: F.col(f) for f in STAMP_FIELDS}).alias("stamp"),
+    )
+
+
+def with_directories(files: DataFrame) -> DataFrame:
+    """A scan's files, and a row for each directory above them (readers list files only)."""
+    above = files.select("folder", F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    blank = {"kind": F.lit("Directory"), "size": F.lit(0).cast("long"), "hash": F.lit(""), "target": F.lit(None).cast("string"), "mode": F.lit(0o755), "stamp": F.lit("")}
+    return files.unionByName(above.withColumns(blank))
 
 
 def scan(spark: SparkSession, root: str, folder: str, glob: str = "*", content: bool = True) -> DataFrame:
     """folder, path (relative), kind, size, hash, target, mode, stamp of all files; without content nothing is read and hashes
-    are null."""
+    are null.  Spark's reader tells sizes and times only: the stamp has these two, the mode is a plain file's; observed() takes
+    a listing that knows more."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     files = reader.load(root)
     base = root.split("://")[-1].rstrip("/") + "/"
