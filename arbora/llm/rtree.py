@@ -45,8 +45,8 @@ COARSE = 1 << COARSE_BITS
 #: Entries of a node; points of a tree; pairs with one text in one task.
 LEAF, CHUNK, SALT = 16, 1024, 1000
 BLOCK_BYTES = 1 << 20
-#: Keys in one row.
-KEYS_ROW = 4096
+#: Keys in one row; neighbourhoods (some 40 bytes each) that are broadcast, more are joined.
+KEYS_ROW, BROADCAST_ROWS = 4096, 100_000
 
 _random = np.random.Generator(np.random.PCG64(77))
 _BYTE = _random.integers(0, 2**64, 256, np.uint64)
@@ -387,6 +387,11 @@ def _searched(dealt: DataFrame, layout: Layout) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(released(run), "u long, v long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast what is known to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_hash(text: str) -> F.Column:
     """What groups() calls a row's hash."""
     return F.xxhash64(F.col(text))
@@ -419,11 +424,11 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     texts = written(packed.join(need, (packed["id"] == need["id"]) & packed["row"].eqNullSafe(need["row"]), "left_semi").groupBy("id").agg(F.first("z").alias("z")), "ngram-texts")
     points = written(_points(texts, size), "ngram-points")
     told = sets.select("h1", "id").join(points, "id")
-    count = around.groupBy("lead", "class").agg(F.count("*").alias("members"))
+    count = written(around.groupBy("lead", "class").agg(F.count("*").alias("members")), "ngram-count")
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
 
     # The leads' searches.
-    everyone = around.join(count, ["lead", "class"]).join(told, "h1").withColumn("component", F.col("id"))
+    everyone = around.join(_small(count), ["lead", "class"]).join(told, "h1").withColumn("component", F.col("id"))
     spread = {"block": F.lit(0), "data": F.col("h1") != F.col("lead"), "asks": F.col("h1") == F.col("lead")}
     everyone = everyone.withColumns(spread).withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))))
     columns = ["lead", "class", "part", "block", "id", "n", "point", "component", "data", "asks"]
@@ -436,8 +441,8 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     at = around.join(placed.select("h1", "id", "component"), "h1")
     most = at.groupBy("lead", "class", "component").agg(F.count("*").alias("k"))
     state = most.groupBy("lead", "class").agg(F.sum("k").alias("members"), F.count("*").alias("several"), F.max(F.struct("k", "component")).alias("m"))
-    state = state.filter("members > 2 and several > 1").select("lead", "class", "members", F.col("m.component").alias("main"), (F.col("members") - F.col("m.k")).alias("asking"))
-    left = written(at.join(state, ["lead", "class"]).select("lead", "class", "members", "asking", "main", "h1", "id", "component"), "ngram-left")
+    state = written(state.filter("members > 2 and several > 1").select("lead", "class", "members", F.col("m.component").alias("main"), (F.col("members") - F.col("m.k")).alias("asking")), "ngram-state")
+    left = written(at.join(_small(state), ["lead", "class"]).select("lead", "class", "members", "asking", "main", "h1", "id", "component"), "ngram-left")
     # Its lead has asked already; data and asking rows are both dealt in parts of bounded size.
     blocks = F.ceil(F.col("asking") / CHUNK).cast("int")
     left = left.filter("h1 != lead").withColumn("asks", F.col("component") != F.col("main"))
@@ -455,7 +460,7 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc
     least = ids.groupBy("component").agg(F.min("least").alias("least"))
     ids = ids.drop("least").join(least, "component")
     out = written(nodes.select("id", "hash", *alike).join(ids, alike, "left").select("id", "hash", "n", "component", "least"), "ngram-groups")
-    discard(nodes, sets, around, star, texts, points, links, found, left, more, more_links)
+    discard(nodes, sets, around, count, state, star, texts, points, links, found, left, more, more_links)
     return out
 
 
