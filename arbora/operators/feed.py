@@ -73,12 +73,19 @@ def advanced(cursors: DataFrame, lane_cursors: DataFrame, updates: DataFrame, la
 
 
 def backlog(entries: DataFrame, cursors: DataFrame, lane_cursors: DataFrame, lanes: int, excluded: Column | None = None) -> DataFrame:
-    """peer, folder: entries, files and bytes that lie after the cursor of their lane."""
+    """peer, folder: entries, files and bytes that lie after the cursor of their lane.
+
+    A lane's cursors cut its entries into intervals; entries are counted by interval once, and a peer's backlog is the sum of
+    the intervals after its cursor, so entries aren't repeated for peers."""
     at = effective_cursors(cursors, lane_cursors, lanes)
-    laned = entries.select("folder", "seq", "kind", "size", lane(F.col("path"), F.col("kind"), F.col("size"), lanes).alias("lane"), (F.lit(False) if excluded is None else excluded).alias("skip"))
-    after = laned.join(at, ["folder", "lane"]).filter((F.col("seq") > F.col("cursor")) & ~F.col("skip"))
+    cuts = at.groupBy("folder", "lane").agg(F.array_sort(F.collect_set("cursor")).alias("cuts"))
+    laned = entries if excluded is None else entries.filter(~excluded)
+    laned = laned.select("folder", "seq", "kind", "size", lane(F.col("path"), F.col("kind"), F.col("size"), lanes).alias("lane"))
+    passed = laned.join(cuts, ["folder", "lane"]).withColumn("passed", F.size(F.filter("cuts", lambda c: c < F.col("seq"))))
     file = F.col("kind") == "File"
-    found = after.groupBy("peer", "folder").agg(F.count("*").alias("entries"), F.count(F.when(file, 1)).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes"))
+    counted = passed.filter("passed > 0").groupBy("folder", "lane", "passed").agg(F.count("*").alias("entries"), F.count(F.when(file, 1)).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes"))
+    mine = at.join(cuts, ["folder", "lane"]).select("peer", "folder", "lane", F.array_position("cuts", F.col("cursor")).alias("place"))
+    found = mine.join(counted, ["folder", "lane"]).filter("passed >= place").groupBy("peer", "folder").agg(*[F.sum(c).alias(c) for c in ("entries", "files", "bytes")])
     every = at.select("peer", "folder").distinct()
     return every.join(found, ["peer", "folder"], "left").select("peer", "folder", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "files", "bytes")])
 

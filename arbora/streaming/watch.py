@@ -18,52 +18,69 @@ from ..operators.events import GAP_US, MAX_PATHS, MAX_US, scope
 
 EVENT = "event_id long, key string, at timestamp, path string, kind string"
 OUT = "key string, batch_start long, path string, scope string, events long"
-_STATE = "first long, last long, paths array<string>, scopes array<string>, counts array<long>"
+_STATE = "first long, last long, full boolean, dropped long, paths array<string>, scopes array<string>, counts array<long>"
 
 
 def read(spark: SparkSession, folder: str, schema: str = EVENT, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def _rows(key: str, first: int, found: dict[str, list]) -> list[tuple]:
-    """A closed batch: what is left after trees have absorbed what lies below them."""
-    if len(found) > MAX_PATHS:
-        return [(key, first, "", "Full", sum(n for _, n in found.values()))]
-    trees = {p for p, (s, _) in found.items() if s == "Tree"}
-    out = []
-    for path, (s, n) in found.items():
-        parts = path.split("/")
-        if not any("/".join(parts[:k]) in trees for k in range(1, len(parts))):
-            out.append((key, first, path, s, n))
-    return out
+class _Batch:
+    """One open batch: the paths that are held, a Tree instead of all below it; past MAX_PATHS only a full scan is left."""
+
+    def __init__(self, first: int, last: int, full: bool = False, dropped: int = 0, found: dict[str, list] | None = None):
+        self.first, self.last, self.full, self.dropped, self.found = first, last, full, dropped, found or {}
+
+    def add(self, us: int, path: str, what: str | None) -> None:
+        self.last = max(self.last, us)
+        if what is None:
+            return
+        if self.full:
+            self.dropped += 1
+            return
+        if path not in self.found and any(self.found.get(path[:k], ("",))[0] == "Tree" for k, c in enumerate(path) if c == "/"):
+            return
+        was = self.found.setdefault(path, [what, 0])
+        if what == "Tree" and (was[0] != "Tree" or not was[1]):
+            for below in [p for p in self.found if p.startswith(path + "/")]:
+                del self.found[below]
+        was[0] = max(was[0], what)  # Tree before Entry
+        was[1] += 1
+        if len(self.found) > MAX_PATHS:
+            self.full, self.dropped, self.found = True, sum(n for _, n in self.found.values()), {}
+
+    def rows(self, key: str) -> list[tuple]:
+        """What a closed batch leaves to scan."""
+        if self.full:
+            return [(key, self.first, "", "Full", self.dropped)]
+        return [(key, self.first, path, s, n) for path, (s, n) in self.found.items()]
+
+    def state(self) -> tuple:
+        return (self.first, self.last, self.full, self.dropped, list(self.found), [s for s, _ in self.found.values()], [int(n) for _, n in self.found.values()])
 
 
 def coalesce(events: DataFrame, gap: int = GAP_US, most: int = MAX_US, late: str = "10 seconds") -> DataFrame:
     """events (event_id, key, at, path, kind) -> one row for each path that a closed batch leaves to scan."""
 
     def advance(key: tuple[Any, ...], pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, found = None, None, {}
+        batch: _Batch | None = None
         if state.exists:
-            first, last, names, scopes, counts = state.get
-            found = {p: [s, n] for p, s, n in zip(names, scopes, counts)}
+            first, last, full, dropped, names, scopes, counts = state.get
+            batch = _Batch(first, last, full, dropped, {p: [s, n] for p, s, n in zip(names, scopes, counts)})
         out: list[tuple] = []
         if state.hasTimedOut:
-            out += _rows(key[0], first, found)
+            out += batch.rows(key[0])
             state.remove()
         else:
             rows = pd.concat(list(pages)).sort_values(["us", "event_id"])
-            for us, path, what in zip(rows["us"], rows["path"], rows["scope"]):
-                if first is not None and us > min(first + most, last + gap):
-                    out += _rows(key[0], first, found)
-                    first, found = None, {}
-                first = us if first is None else first
-                last = us if last is None or first == us else max(last, us)
-                if what is not None:
-                    was = found.setdefault(path, [what, 0])
-                    was[0] = max(was[0], what)  # Tree before Entry
-                    was[1] += 1
-            state.update((int(first), int(last), list(found), [s for s, _ in found.values()], [int(n) for _, n in found.values()]))
-            state.setTimeoutTimestamp(max(min(first + most, last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            for us, path, what in zip(rows["us"].tolist(), rows["path"], rows["scope"]):
+                if batch is not None and us > min(batch.first + most, batch.last + gap):
+                    out += batch.rows(key[0])
+                    batch = None
+                batch = batch or _Batch(us, us)
+                batch.add(us, path, what)
+            state.update(batch.state())
+            state.setTimeoutTimestamp(max(min(batch.first + most, batch.last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "batch_start", "path", "scope", "events"])
 
     told = events.withWatermark("at", late).withColumns({"us": F.unix_micros("at"), "scope": scope(F.col("kind"))})

@@ -43,3 +43,15 @@ def test_tree_source(spark, tmp_path):
     (tmp_path / "t" / "sub" / "b.txt").write_text("yy")
     got = {r["path"]: r["size"] for r in tree.scan(spark, str(tmp_path / "t"), "f").collect()}
     assert got == {"a.txt": 1, "sub/b.txt": 2}
+
+
+def test_full_batch():
+    """Past the limit a batch keeps no paths and asks for a full scan; a Tree makes room before."""
+    batch = watch._Batch(0, 0)
+    for i in range(watch.MAX_PATHS):
+        batch.add(i, f"d/f{i}", "Entry")
+    batch.add(5000, "d", "Tree")
+    assert not batch.full and batch.rows("k") == [("k", 0, "d", "Tree", 1)]
+    for i in range(watch.MAX_PATHS + 5):
+        batch.add(6000 + i, f"e{i}", "Entry")
+    assert batch.full and batch.rows("k") == [("k", 0, "", "Full", watch.MAX_PATHS + 6)] and batch.state()[4:] == ([], [], [])
