@@ -51,8 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; longer ones are likelier to be drawn, as in op1.  Documents without words are
     taken as often as their whole source is."""
-    words = mix.word_count(F.col("text"))
-    return mix.repeated(mix.mix(docs, words, chance=mix.longer_first(words)), docs.columns)
+    sized = docs.withColumn("__words", mix.word_count(F.col("text")))
+    return mix.repeated(mix.mix(sized, F.col("__words"), chance=mix.longer_first(F.col("__words"))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
