@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, crf, knn, mix, pii, quotes, radix, rtree, shard
+from . import avi, codes, crf, knn, lloyd, mix, pii, quotes, radix, rtree, shard, whiten
 from .common import table
 
 
@@ -69,6 +69,18 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_voronoi_knn": op2_voronoi_knn,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_motion_jpeg": op8_motion_jpeg,
     "op9_count_rtree": op9_count_rtree,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_rotated_codes": op11_rotated_codes,
+    "op12_lobpcg_whitening": op12_lobpcg_whitening,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
 
 ORACLE: dict[str, str] = {
@@ -89,4 +104,6 @@ ORACLE: dict[str, str] = {
     "op5_quotation_linking": quotes.QUOTES_SQL,
     "quoting_conversations": quotes.QUOTING_SQL,
     "op10_extendible_sharding": shard.SHARD_SQL,
+    "op11_rotated_codes": codes.CODES_SQL,
+    "op13_delta_lloyd": lloyd.CLUSTER_SQL,
 }
