@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import automata
+
 #: Bounds of signatures and plans.
 MAX_BLOCKS = 8192
 MIN_FLOOR = 16 * 1024
@@ -156,31 +158,10 @@ def eligible(basis_size: Column, remaining: Column) -> Column:
 def skips(attempts: DataFrame, by: list[str], order: str, useful: str = "useful") -> DataFrame:
     """attempts with `skipped`: after an attempt that didn't pay, the next three are skipped, then one tries again.
 
-    Which attempts run depends on those that ran before.  Runs of equal outcomes move the number of attempts still to skip by a
-    rule, and after four useful ones in a row it is 0 whatever was before: so runs are folded only between such places."""
-    w = Window.partitionBy(*by).orderBy(order)
-    good = F.coalesce(F.col(useful), F.lit(False))
-    new = F.coalesce(F.lag(good).over(w) != good, F.lit(True)).cast("int")
-    rows = attempts.select(*by, order, good.alias("__good"), new.alias("__new")).withColumn("__run", F.sum("__new").over(w))
-    runs = rows.groupBy(*by, "__run").agg(F.first("__good").alias("good"), F.count("*").alias("n"))
-    calm = F.sum((F.col("good") & (F.col("n") >= 4)).cast("int")).over(Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
-    parts = runs.withColumn("part", F.coalesce(calm, F.lit(0))).groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("__run", "good", "n"))).alias("runs"))
-
-    def after(left: Column, x: Column) -> Column:
-        bad = F.when(x["n"] <= left, left - x["n"]).otherwise(3 - F.pmod(x["n"] - left - 1, F.lit(4)))
-        return F.when(x["good"], F.greatest(left - x["n"], F.lit(0))).otherwise(bad).cast("long")
-
-    entry = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).cast("long").alias("left"), F.array().cast("array<struct<run:bigint,left:bigint>>").alias("out")),
-        lambda acc, x: F.struct(after(acc["left"], x).alias("left"), F.array_append(acc["out"], F.struct(x["__run"].alias("run"), acc["left"].alias("left"))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    started = parts.select(*by, F.explode(entry).alias("e")).select(*by, F.col("e.run").alias("__run"), F.col("e.left").alias("__left"))
-    place = F.row_number().over(Window.partitionBy(*by, "__run").orderBy(order)) - 1
-    whole = rows.withColumn("__at", place).join(started, [*by, "__run"])
-    skipped = (F.col("__at") < F.col("__left")) | (~F.col("__good") & (F.pmod(F.col("__at") - F.col("__left"), F.lit(4)) != 0))
-    return whole.select(*by, order, skipped.alias("skipped"))
+    Which attempts run depends on those that ran before: an automaton whose state is how many are still to skip."""
+    rows = attempts.select(*by, order, F.coalesce(F.col(useful), F.lit(False)).alias("__good"))
+    told = automata.stepped(rows, by, [order], "__good", [[3, 0, 1, 2], [0, 0, 1, 2]], name="__left")
+    return told.select(*by, order, (F.col("__left") > 0).alias("skipped"))
 
 
 def resume_offset(body: Column, offered: Column, prefix_hash: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import automata
 
 #: A batch's times and size, and the quantum of watch limits.
 GAP_US, MAX_US = 100_000, 1_000_000
@@ -32,20 +33,9 @@ def batches(events: DataFrame, by: str, at_us: str = "us", gap: int = GAP_US, mo
     """events with batch (number) and batch_start: a batch closes `gap` after its last or `most` after its first event,
     whichever comes first; an event just at that time still belongs to it.
 
-    Sessions with the gap alone come first (by window), so that only a session's own times are folded."""
-    w = Window.partitionBy(by).orderBy(at_us, order)
-    apart = F.coalesce(F.col(at_us) - F.lag(at_us).over(w) > gap, F.lit(True))
-    sessions = events.withColumn("session", F.sum(apart.cast("int")).over(w))
-    starts = F.aggregate(
-        F.array_sort(F.collect_set(at_us)),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t > F.element_at(acc, -1) + most), F.array_append(acc, t.cast("long"))).otherwise(acc),
-    )
-    cuts = sessions.groupBy(by, "session").agg(starts.alias("starts"))
-    started = sessions.join(cuts, [by, "session"])
-    start = F.array_max(F.filter("starts", lambda s: s <= F.col(at_us)))
-    out = started.withColumn("batch_start", start).drop("starts", "session")
-    return out.withColumn("batch", F.dense_rank().over(Window.partitionBy(by).orderBy("batch_start")))
+    The only thing to remember is when the last batch began; a gap forgets it."""
+    told = automata.renewed(events.withColumn("__us", F.col(at_us).cast("long")), [by], ["__us", order], "__us", most + 1, gap=gap)
+    return told.select(*events.columns, F.col("began").alias("batch_start"), F.col("turn").alias("batch"))
 
 
 def coalesced(events: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import automata
+
 #: What makes an event an issue, how many events stay, and how long a detail may be.
 ISSUES = ("error", "conflict", "fail", "pending", "reject", "overflow", "approval", "warning")
 RECEIVED, EVENTS, DETAIL = 16, 64, 500
@@ -32,20 +34,11 @@ def suppressed(events: DataFrame, by: str, within: int = 30) -> DataFrame:
     """Events that are kept: one whose kind and detail are those of the last kept one, less than `within` seconds before, is
     dropped, and doesn't restart the time.
 
-    Details longer than DETAIL are cut when kept, so they never equal the next one.  Runs of one kind and detail fold over their
-    times; a run is what one key says in a row, and ends where it is silent for `within`, since the next one is kept then."""
-    w = Window.partitionBy(by).orderBy("at", "event_id")
-    same = (F.lag("kind").over(w) == F.col("kind")) & (F.lag("detail").over(w) == F.col("detail")) & (F.length("detail") <= DETAIL)
-    same = same & (F.col("at") - F.lag("at").over(w) < within)
-    runs = events.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("at", "event_id"))),
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x["at"] - acc["last"] >= within), F.struct(x["at"].cast("long").alias("last"), F.array_append(acc["ids"], x["event_id"]).alias("ids"))).otherwise(acc),
-        lambda acc: acc["ids"],
-    )
-    ids = runs.groupBy(by, "run").agg(kept.alias("ids")).select(F.explode("ids").alias("event_id"))
-    return events.join(ids, "event_id").withColumn("detail", F.substring("detail", 1, DETAIL))
+    Details longer than DETAIL are cut when kept, so they never equal the next one."""
+    tag = F.when(F.length("detail") <= DETAIL, F.concat(F.length("kind").cast("string"), F.lit(":"), "kind", "detail"))
+    rows = events.withColumns({"__at": F.col("at").cast("long"), "__tag": tag})
+    kept = automata.renewed(rows, [by], ["__at", "event_id"], "__at", within, "__tag").filter("begins")
+    return kept.select(*[c for c in events.columns if c != "detail"], F.substring("detail", 1, DETAIL).alias("detail"))
 
 
 def ring(events: DataFrame, by: str) -> DataFrame:
