@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None) -> DataFrame:
-    """rows with `n` (1, 2, ... in order inside `by`), and for each name in `sums` the sum of that column over the rows before.
+
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None, name: str = "n") -> DataFrame:
+    """rows with `n` (or `name`: 1, 2, ... in order inside `by`), and for each name in `sums` the sum of that column over the rows
+    before.
 
     Rows are sorted by ranges of (by, order), numbered and summed inside each range, and then moved on by what the ranges before
     hold: a large group is many ranges, and only a row for each range and group is windowed as a whole."""
@@ -21,13 +23,15 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: M
     ranged = cut(rows.withColumns(keys).repartitionByRange(*at).sortWithinPartitions(*at).select("*", F.spark_partition_id().alias("__p"), inside.alias("__i")).drop(*keys), "ranges")
     here = Window.partitionBy("__p", *by).orderBy("__i")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = ranged.withColumns({"n": F.row_number().over(here), **{name: before(c, here) for name, c in sums.items()}})
+    local = ranged.withColumns({name: F.row_number().over(here), **{k: before(c, here) for k, c in sums.items()}})
     totals = ranged.groupBy("__p", *by).agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
     ranges = Window.partitionBy(*by).orderBy("__p")
     moved = totals.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], before("__n", ranges).alias("__more"), *[before(f"__t{i}", ranges).alias(f"__more{i}") for i in range(len(sums))])
     same = F.col("__p") == F.col("__q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
-    out = local.join(moved, same)
-    out = out.withColumns({"n": F.col("n") + F.col("__more"), **{name: F.col(name) + F.col(f"__more{i}") for i, name in enumerate(sums)}})
+    # Only a range's first group can go on from ranges before: a row a range at most.
+    out = local.join(F.broadcast(moved.filter("__more > 0")), same, "left")
+    more = lambda c: F.coalesce(c, F.lit(0))
+    out = out.withColumns({name: (F.col(name) + more("__more")).cast("long"), **{k: F.col(k) + more(f"__more{i}") for i, k in enumerate(sums)}})
     return out.drop("__p", "__i", "__q", "__more", *[f"__b{i}" for i in range(len(by))], *[f"__more{i}" for i in range(len(sums))])
