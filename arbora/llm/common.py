@@ -4,32 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, discard, shared_dir  # noqa: F401  discard and shared_dir are used from here
+
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="arbora-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 #: While a step is written: shuffle files go with it, so that steps don't add up on disk; a join's partition is split among
 #: tasks from a few MB on where it is much larger than the others (one hot key).
 _STEP = {
@@ -41,31 +29,7 @@ _STEP = {
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    was = {key: spark.conf.get(key, default) for key, (default, _) in _STEP.items()}
-    try:
-        for key, (_, now) in _STEP.items():
-            spark.conf.set(key, now)
-        df.write.parquet(path)
-    finally:
-        for key, value in was.items():
-            spark.conf.set(key, value)
-    out = spark.read.schema(schema).parquet(path)
-    out._arbora_path = path
-    return out
-
-
-def discard(*made: DataFrame) -> None:
-    """Delete the files behind tables made by written()."""
-    for df in made:
-        path = getattr(df, "_arbora_path", None)
-        if not path:
-            continue
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    return cut(df, name, _STEP)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -9,7 +9,7 @@ equal windows have equal anchors at equal places, and any order of digits gives
 share their anchor, which makes a run of them one row, and only one suffix in some forty is sorted:
 
   1. the first digit, the anchor's piece, deals runs to buckets (by its hash): buckets with one run are done;
-  2. runs with the same bytes are one (by 64 more bits of hash); all but the earliest are repeated.  The earliest ones go on if
+  2. runs with the same bytes are one (by a cryptographic digest of 128 bits); all but the earliest are repeated.  The earliest ones go on if
      their bucket has different runs, since those can still share single windows;
   3. inside a bucket the runs' bytes are sorted by digits of eight bytes, first to the right and then to the left of the anchor,
      each pass only over runs that are still together.  Common prefixes of neighbours in that order tell for each place of the
@@ -17,7 +17,8 @@ share their anchor, which makes a run of them one row, and only one suffix in so
 
 A bucket of more than BUCKET runs (a line that a third of all documents hold) goes on by further digits before that: its runs
 are cut into pieces whose windows share STEPS[0] places of the anchor, and dealt by the bytes that all windows of a piece share
-(all but STEPS[0] - 1); what is still too large by STEPS[1], and at last by whole windows, where equal ones are one group.
+(all but STEPS[0] - 1); what is still too large by STEPS[1], and at last by whole windows, which are grouped by their bytes.
+Buckets are made by hashes, but what shares one is told apart by bytes: only the equal runs of step 2 rest on a digest.
 Grouped minima have partial sums before the shuffle, joins on hot keys are split, and no task holds more than a few buckets.
 
 Cases: null texts are empty; texts under `length` bytes keep everything; a null id is the smallest; rows that share id and text
@@ -49,9 +50,7 @@ NO_ID = -(2**63)
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(0, 2**64, 256, np.uint64)
-_BYTE2 = _random.integers(0, 2**64, 256, np.uint64)
-_ODD = [np.uint64(int(x) | 1) for x in _random.integers(0, 2**64, 8, np.uint64)]
-_BASE = int(_ODD[6])
+_ODD = [np.uint64(int(x) | 1) for x in _random.integers(0, 2**64, 5, np.uint64)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,36 +70,24 @@ def _pieces(flat: np.ndarray) -> np.ndarray:
     return _mix(wide[:-8] * _ODD[4] + h[16:])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        p = np.full(n, np.uint64(base), np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+def _digest(body: bytes) -> bytes:
+    """16 bytes that stand for a run's bytes (their number and the anchor's place follow from them)."""
+    return hashlib.blake2b(body, digest_size=16).digest()
 
 
-def _sums(flat: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of byte values times powers of the base, and the inverse powers: the hash of any range by one product."""
-    if not _POWERS or len(_POWERS[0][0]) < len(flat) + 1:
-        _POWERS[:] = [_powers(max(len(flat), PART + 4096) + 1)]
-    up, down = _POWERS[0]
-    total = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(table[flat] * up[: len(flat)], out=total[1:])
-    return total, down
+def _key(body: bytes, bits: int) -> int:
+    """The bucket of bytes that windows share."""
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True) >> (64 - bits)
 
 
-def _runs(flat: np.ndarray, offsets: np.ndarray, length: int, lean: bool) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(flat: np.ndarray, offsets: np.ndarray, length: int, lean: bool, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of windows with one anchor: row, start in it, number of windows and the anchor's place (in one number), anchor's
-    hash, hash of the run's bytes."""
+    hash, digest of the run's bytes (two longs)."""
     width = length - PIECE + 1
     for first in range(0, len(flat) - length + 1, PART):
         part = flat[first : first + PART + length - 1]
         n = len(part) - length + 1
-        h = _pieces(part)
+        h = _pieces(part) >> np.uint64(64 - bits) << np.uint64(64 - bits)
         key = (h >> np.uint64(PLACE)) << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64)
         low, have = key, 1
         while have * 2 <= width:
@@ -131,24 +118,23 @@ def _runs(flat: np.ndarray, offsets: np.ndarray, length: int, lean: bool) -> Ite
         if lean:
             yield row, None, None, h[at], None
             continue
-        total, down = _sums(part, _BYTE2)
-        whole = (total[start + count - 1 + length] - total[start]) * down[start]
-        whole = _mix(_mix(whole) + (at - start).astype(np.uint64) * _ODD[5] + count.astype(np.uint64) * _ODD[7])
+        body, end = part.tobytes(), start + count - 1 + length
+        whole = np.frombuffer(b"".join(_digest(body[x:y]) for x, y in zip(start.tolist(), end.tolist())), np.int64).reshape(-1, 2)
         yield row, start + first - offsets[row], count << 16 | at - start, h[at], whole
 
 
-def _run_rows(docs: DataFrame, length: int, lean: bool) -> DataFrame:
+def _run_rows(docs: DataFrame, length: int, lean: bool, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = texts_of(batch, "text")
             ids = np.asarray(batch.column("d").to_numpy(zero_copy_only=False), np.int64)
             for a, b in slices(offsets, BLOCK_BYTES):
                 mine = offsets[a : b + 1] - offsets[a]
-                for row, start, count, h, whole in _runs(flat[offsets[a] : offsets[b]], mine, length, lean):
-                    cols = [h.view(np.int64)] if lean else [h.view(np.int64), whole.view(np.int64), ids[a + row], start.astype(np.int32), count.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["b", "c", "d", "s", "n"][: len(cols)])
+                for row, start, count, h, whole in _runs(flat[offsets[a] : offsets[b]], mine, length, lean, bits):
+                    cols = [h.view(np.int64)] if lean else [h.view(np.int64), whole[:, 0], whole[:, 1], ids[a + row], start.astype(np.int32), count.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["b", "c", "e", "d", "s", "n"][: len(cols)])
 
-    return docs.mapInArrow(run, "b long" if lean else "b long, c long, d long, s int, n int")
+    return docs.mapInArrow(run, "b long" if lean else "b long, c long, e long, d long, s int, n int")
 
 
 def _packed(docs: DataFrame, least: int) -> DataFrame:
@@ -189,7 +175,7 @@ def _piece_rows(packed: DataFrame, length: int) -> DataFrame:
 _PIECE, _PIECE_DDL = ["key", "d", "s", "n", "at", "bytes"], "key long, d long, s int, n int, at int, bytes binary"
 
 
-def _cut_rows(pieces: DataFrame, length: int, step: int) -> DataFrame:
+def _cut_rows(pieces: DataFrame, length: int, step: int, bits: int) -> DataFrame:
     """Pieces cut so that the windows of each have their anchor at `step` neighbouring places, dealt by what those share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +186,8 @@ def _cut_rows(pieces: DataFrame, length: int, step: int) -> DataFrame:
                     far = min(near + step - 1, length - PIECE)
                     lo, hi = max(0, at - far), min(n - 1, at - near)
                     if lo <= hi:
-                        shared = hashlib.blake2b(b"%d %d " % (key, near) + body[at - near if at >= near else 0 : at - far + length], digest_size=8)
-                        out.append((int.from_bytes(shared.digest(), "little", signed=True), d, s + lo, hi - lo + 1, at - lo, body[lo : hi + length]))
+                        shared = _key(b"%d %d " % (key, near) + body[at - near if at >= near else 0 : at - far + length], bits)
+                        out.append((shared, d, s + lo, hi - lo + 1, at - lo, body[lo : hi + length]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=_PIECE)
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -248,20 +234,22 @@ def repeated_windows(bucket: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.nda
     anchor = np.cumsum(size) - size + at
     right, shared_right = _radix_sorted(_digits(flat, anchor, size - at, 1, length), bucket)
     left, shared_left = _radix_sorted(_digits(flat, anchor - 1, at, -1, length - PIECE), bucket)
-    earlier = np.empty(len(d), np.int64)
-    earlier[np.lexsort((s + at, d))] = np.arange(len(d))
+    earlier, order = np.empty(len(d), np.int64), np.lexsort((s + at, d))
+    # Rows that share id and text have the same places.
+    earlier[order] = np.cumsum(np.append(True, (np.diff(d[order]) != 0) | (np.diff((s + at)[order]) != 0)))
     hits = []
     for o in range(int((at - n + 1).min()), int(at.max()) + 1):  # windows that begin o bytes before their anchor
         have = np.flatnonzero((at >= o) & (at - o < n))
         if len(have) > 1:
             same = np.cumsum(shared_right < length - o)[right[have]] * (len(d) + 1) + np.cumsum(shared_left < o)[left[have]]
             by = np.lexsort((earlier[have], same))
-            again = np.flatnonzero(same[by][1:] == same[by][:-1]) + 1
-            found = have[by[again]]
+            new = np.append(True, same[by][1:] != same[by][:-1])
+            place = earlier[have[by]]
+            found = have[by[place != place[new][np.cumsum(new) - 1]]]
             hits.append(found << 8 | (at[found] - o))
-    if not hits:
-        return (np.zeros(0, np.int64),) * 3
-    hit = np.sort(np.concatenate(hits))
+    hit = np.sort(np.concatenate([np.zeros(0, np.int64), *hits]))
+    if not len(hit):
+        return hit, hit, hit
     start = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
     return hit[start] >> 8, hit[start] & 255, np.diff(np.append(start, len(hit)))
 
@@ -292,7 +280,7 @@ def _sorted_pieces(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "d long, s int, n int")
 
 
-def _bucket_windows(pieces: DataFrame, length: int, bucket: int) -> list[DataFrame]:
+def _bucket_windows(pieces: DataFrame, length: int, bucket: int, bits: int) -> list[DataFrame]:
     """Tables of d, s and n: the repeated windows of all pieces.  Deletes `pieces`."""
     out = []
     for step in (*STEPS, None):
@@ -302,14 +290,14 @@ def _bucket_windows(pieces: DataFrame, length: int, bucket: int) -> list[DataFra
             break
         these = F.broadcast(hot) if many <= BROADCAST_BUCKETS else hot
         out.append(written(_sorted_pieces(pieces.join(these, "key", "left_anti").select(*_PIECE), length), "radix-sorted"))
-        finer = written(_cut_rows(pieces.join(these, "key", "left_semi").select(*_PIECE), length, step), "radix-pieces")
+        finer = written(_cut_rows(pieces.join(these, "key", "left_semi").select(*_PIECE), length, step, bits), "radix-pieces")
         discard(pieces, hot)
         pieces = finer
     if many == 0:
         out.append(written(_sorted_pieces(pieces, length), "radix-sorted"))
-    else:  # pieces of one window: those under one key are equal
-        first = pieces.groupBy("key").agg(F.min(F.struct("d", "s")).alias("f"))
-        out.append(written(pieces.join(first, "key").filter((F.col("d") != F.col("f.d")) | (F.col("s") != F.col("f.s"))).select("d", "s", F.lit(1).alias("n")), "radix-sorted"))
+    else:  # pieces of one window: those with the same bytes are equal
+        first = pieces.groupBy("key", "bytes").agg(F.min(F.struct("d", "s")).alias("f"))
+        out.append(written(pieces.join(first, ["key", "bytes"]).filter((F.col("d") != F.col("f.d")) | (F.col("s") != F.col("f.s"))).select("d", "s", F.lit(1).alias("n")), "radix-sorted"))
     discard(pieces, hot)
     return out
 
@@ -334,32 +322,32 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out
 
 
-def _spans(rows: DataFrame, length: int, bucket: int) -> DataFrame:
+def _spans(rows: DataFrame, length: int, bucket: int, bits: int) -> DataFrame:
     """d and spans: places s and numbers n of windows that also start earlier, in no order."""
     rows = rows.select("d", "text")
     low, high, longest = rows.agg(F.min("d"), F.max("d"), F.max(F.octet_length("text"))).first()
     # Id and place in one number, in the order of "earlier": a long where both fit.
-    bits = int(longest or 1).bit_length()
-    if low is None or (low >= 0 and high < 1 << (63 - bits)):
-        place, d, at = f"d * {1 << bits}L + s", f"w div {1 << bits}L", f"cast(w % {1 << bits}L as int)"
+    room = int(longest or 1).bit_length()
+    if low is None or (low >= 0 and high < 1 << (63 - room)):
+        place, d, at = f"d * {1 << room}L + s", f"w div {1 << room}L", f"cast(w % {1 << room}L as int)"
     else:
-        unit, zero = f"cast({1 << bits} as decimal(20,0))", f"cast({2**63} as decimal(20,0))"
+        unit, zero = f"cast({1 << room} as decimal(20,0))", f"cast({2**63} as decimal(20,0))"
         place = f"cast((cast(d as decimal(20,0)) + {zero}) * {unit} + s as decimal(38,0))"
         d, at = f"cast(floor(w / {unit}) - {zero} as bigint)", f"cast(w % {unit} as int)"
     packed, unpacked = F.expr(place).alias("w"), (F.expr(d).alias("d"), F.expr(at).alias("s"))
     # A table of its own, so that the join with a hot bucket's runs can be split.
-    more = written(_run_rows(rows, length, True).groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select("b"), "radix-more")
-    runs = written(_run_rows(rows, length, False).join(more, "b", "left_semi").select("b", "c", packed, "n"), "radix-runs")
+    more = written(_run_rows(rows, length, True, bits).groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select("b"), "radix-more")
+    runs = written(_run_rows(rows, length, False, bits).join(more, "b", "left_semi").select("b", "c", "e", packed, "n"), "radix-runs")
     discard(more)
-    classes = written(runs.groupBy("b", "c").agg(F.min("w").alias("w"), F.min("n").alias("n"), F.count("*").alias("k")), "radix-classes")
-    first = classes.filter("k > 1").select("b", "c", F.col("w").alias("w0"))
-    second = written(runs.join(first, ["b", "c"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n")), "radix-equal")
+    classes = written(runs.groupBy("b", "c", "e").agg(F.min("w").alias("w"), F.min("n").alias("n"), F.count("*").alias("k")), "radix-classes")
+    first = classes.filter("k > 1").select("b", "c", "e", F.col("w").alias("w0"))
+    second = written(runs.join(first, ["b", "c", "e"]).filter("w != w0").select(*unpacked, F.expr("shiftright(n, 16)").alias("n")), "radix-equal")
     discard(runs)
     mixed = written(classes.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b"), "radix-mixed")
     open_runs = classes.join(mixed, "b", "left_semi").select("b", *unpacked, "n").groupBy("d").agg(F.collect_list(F.struct("b", "s", "n")).alias("runs"))
     pieces = written(_piece_rows(_packed(rows, length).join(open_runs, "d"), length), "radix-pieces")
     discard(classes, mixed)
-    found = [second, *_bucket_windows(pieces, length, bucket)]
+    found = [second, *_bucket_windows(pieces, length, bucket, bits)]
     union = found[0]
     for other in found[1:]:
         union = union.unionByName(other)
@@ -368,10 +356,11 @@ def _spans(rows: DataFrame, length: int, bucket: int) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_bytes, removed (spans as start and end, bytes) and kept (binary: the remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, bits: int = 64) -> DataFrame:
+    """doc_id, n_bytes, removed (spans as start and end, bytes) and kept (binary: the remaining bytes).  bits: of the hashes that
+    make buckets; any number gives the same result."""
     rows = _numbered(docs, doc_id, text)
-    spans = _spans(rows, length, bucket)
+    spans = _spans(rows, length, bucket, bits)
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

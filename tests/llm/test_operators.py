@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -49,6 +50,18 @@ def test_merge_replay_on_odd_words():
         at += n
 
 
+def test_radix_with_shared_hashes(spark):
+    """Buckets by eight bits: what shares one is told apart by its bytes."""
+    rnd = random.Random(2)
+    word = lambda n: "".join(chr(rnd.randint(97, 122)) for _ in range(n))
+    base, line = word(1500), word(160)
+    rows = [(i, word(200) + base[rnd.randint(0, 900) :][: rnd.randint(90, 300)] + word(80)) for i in range(40)] + [(100 + i, word(70) + line + word(70)) for i in range(90)] + [(300, base), (301, base)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute.repeats(rows)
+    for bucket in (radix.BUCKET, 2):
+        got = radix.remove_repeats(docs, bucket=bucket, bits=8).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long"), F.size("removed").cast("long"), F.sha2("kept", 256))
+        assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+
+
 def test_radix(spark):
     rnd = random.Random(1)
     base = "".join(chr(rnd.randint(97, 122)) for _ in range(1500))
@@ -69,8 +82,9 @@ def test_radix_of_shared_ids(spark):
     rnd = random.Random(2)
     x, y = ("".join(chr(rnd.randint(97, 122)) for _ in range(300)) for _ in range(2))
     rows = [(1, x), (2, x), (2, y), (3, y), (3, y), (None, "q" * 99), (None, x), (None, x)]
-    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in radix.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(-1, 0), (-1, 0), (-1, 0), (1, 300), (2, 0), (2, 300), (3, 300), (3, 300)]
+    for bits in (64, 3):
+        got = sorted((r["doc_id"] or -1, 300 - len(r["kept"])) for r in radix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect() if r["n_bytes"] == 300)
+        assert got == [(-1, 0), (-1, 0), (1, 300), (2, 0), (2, 300), (3, 300), (3, 300)]
 
 
 def test_radix_of_distant_ids(spark):
@@ -393,6 +407,42 @@ def test_shards_fit(spark):
         assert r["b"] == r["shard_bytes"]
 
 
+def test_shards_of_any_partitioning(spark):
+    """Rows that share an id, equal ones among them, are dealt alike however the input comes."""
+    rows = [(7, f"{i % 40} " + "y" * (i % 90)) for i in range(900)] + [(7, "same")] * 300 + [(None, "z" * (i % 50)) for i in range(200)] + [(i, "a" * (i % 60)) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tell = lambda d: sorted(map(repr, map(tuple, shard.shard(d, 1000).select("doc_id", "text", "page", "depth", "shard", "shard_bytes", "oversized").collect())))
+    first = tell(df.coalesce(1))
+    assert first == tell(df.repartition(5)) == tell(df.orderBy(F.desc("text")).repartition(3)) and len(first) == len(rows)
+    whole = collections.Counter()
+    for r in shard.shard(df, 1000).collect():
+        whole[r["page"], r["depth"], r["shard"], r["shard_bytes"]] += r["n_bytes"]
+    assert all(n == k[3] <= 1000 for k, n in whole.items())
+
+
+def test_directory_of_many_shards(spark, monkeypatch):
+    """Buckets shorter and longer than the directory's bits, joined and broadcast, against the rule itself."""
+    rows = [(i, "x" * (1 + i * i % 300)) for i in range(3000)] + [(10_000 + i, "y" * 900) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sized = [(r["h"], i, len(t)) for (i, t), r in zip(rows, spark.createDataFrame(rows, "i long, t string").select(shard.hash60(F.lit("shard"), F.col("i")).alias("h")).collect())]
+    want: dict = {}
+    left, depth = sized, 0
+    while left:
+        held: dict = {}
+        for h, i, n in left:
+            held.setdefault(h >> (shard.BITS - depth), []).append((h, i, n))
+        left = []
+        for q, mine in held.items():
+            if len(mine) == 1 or sum(n for _, _, n in mine) <= 1000:
+                want |= {i: (depth, q) for _, i, _ in mine}
+            else:
+                left += mine
+        depth += 1
+    for most in (shard.BROADCAST_ENTRIES, 3):
+        monkeypatch.setattr(shard, "BROADCAST_ENTRIES", most)
+        assert {r["doc_id"]: (r["depth"], r["shard"]) for r in shard.shard(docs, 1000).collect()} == want
+
+
 def test_knn_ties_and_bad_vectors(spark):
     rows = [(i, [float(i % 3), 0.5]) for i in range(120)] + [(200, None), (250, [float("nan"), 1.0]), (300, [1.0]), (350, [float("inf"), 0.0]), (400, [0.1, None])]
     got = knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
