@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 #: From which size a file travels in bulk, and the rows of a page.
 BULK_BYTES = 1 << 20
 PAGE = 128
@@ -75,19 +77,21 @@ def advanced(cursors: DataFrame, lane_cursors: DataFrame, updates: DataFrame, la
 def backlog(entries: DataFrame, cursors: DataFrame, lane_cursors: DataFrame, lanes: int, excluded: Column | None = None) -> DataFrame:
     """peer, folder: entries, files and bytes that lie after the cursor of their lane.
 
-    A lane's cursors cut its entries into intervals; entries are counted by interval once, and a peer's backlog is the sum of
-    the intervals after its cursor, so entries aren't repeated for peers."""
+    A lane's entries and the cursors in it (each place once, whoever stands there) are sorted together, and running sums tell
+    what lies before each cursor; after it is the lane's total less that.  So entries are never repeated for peers, nor compared
+    with cursors one by one, and a lane is as many tasks as it has ranges."""
     at = effective_cursors(cursors, lane_cursors, lanes)
-    cuts = at.groupBy("folder", "lane").agg(F.array_sort(F.collect_set("cursor")).alias("cuts"))
-    laned = entries if excluded is None else entries.filter(~excluded)
-    laned = laned.select("folder", "seq", "kind", "size", lane(F.col("path"), F.col("kind"), F.col("size"), lanes).alias("lane"))
-    passed = laned.join(cuts, ["folder", "lane"]).withColumn("passed", F.size(F.filter("cuts", lambda c: c < F.col("seq"))))
-    file = F.col("kind") == "File"
-    counted = passed.filter("passed > 0").groupBy("folder", "lane", "passed").agg(F.count("*").alias("entries"), F.count(F.when(file, 1)).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes"))
-    mine = at.join(cuts, ["folder", "lane"]).select("peer", "folder", "lane", F.array_position("cuts", F.col("cursor")).alias("place"))
-    found = mine.join(counted, ["folder", "lane"]).filter("passed >= place").groupBy("peer", "folder").agg(*[F.sum(c).alias(c) for c in ("entries", "files", "bytes")])
-    every = at.select("peer", "folder").distinct()
-    return every.join(found, ["peer", "folder"], "left").select("peer", "folder", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "files", "bytes")])
+    zero = F.lit(0).cast("long")
+    file = (F.col("kind") == "File").cast("long")
+    mine = entries if excluded is None else entries.filter(~excluded)
+    rows = mine.select("folder", lane(F.col("path"), F.col("kind"), F.col("size"), lanes).alias("lane"), F.col("seq").cast("long").alias("seq"), F.lit(False).alias("mark"), F.lit(1).cast("long").alias("entries"), file.alias("files"), F.when(file == 1, F.col("size").cast("long")).otherwise(zero).alias("bytes"))
+    places = at.select("folder", "lane", F.col("cursor").cast("long").alias("seq"), F.lit(True).alias("mark"), zero.alias("entries"), zero.alias("files"), zero.alias("bytes")).distinct()
+    counts = ("entries", "files", "bytes")
+    passed = running(rows.unionByName(places), ["folder", "lane"], [F.col("seq"), F.col("mark")], {f"__{c}": c for c in counts}).filter("mark")
+    whole = rows.groupBy("folder", "lane").agg(*[F.sum(c).alias(c) for c in counts])
+    left = passed.select("folder", "lane", F.col("seq").alias("cursor"), *[f"__{c}" for c in counts]).join(whole, ["folder", "lane"], "left")
+    left = left.select("folder", "lane", "cursor", *[(F.coalesce(c, zero) - F.coalesce(f"__{c}", zero)).alias(c) for c in counts])
+    return at.withColumn("cursor", F.col("cursor").cast("long")).join(left, ["folder", "lane", "cursor"]).groupBy("peer", "folder").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def still_valid(acknowledged: Column, observed: Column) -> Column:

@@ -16,6 +16,7 @@ _J = sql_with("journal", "cursors", "lane_cursors") + f""", jl as (select *, {_L
 known as (select peer, folder from cursors union select peer, folder from lane_cursors),
 eff as (select k.peer, k.folder, l.lane, coalesce(o.value, c.value, 0) as cursor from known k cross join (values (0), (1), (2)) l(lane)
   left join lane_cursors o on o.peer = k.peer and o.folder = k.folder and o.lane = l.lane and o.lanes = 3 left join cursors c on c.peer = k.peer and c.folder = k.folder)"""
+_PEER = "substr(peer, 2)::bigint"
 
 
 def _cursors(spark, d):
@@ -64,10 +65,23 @@ def effective_cursors(spark, d):
     return feed.effective_cursors(*_cursors(spark, d), LANES)
 
 
-@query("lane_cursor_floor", f"{_J}, u(peer, folder, lane, value) as (values ('p1', 'A', 2, 4000), ('p1', 'A', 0, 100), ('p2', 'A', 1, 20000), ('p3', 'R', 0, 7000), ('p3', 'R', 2, 9000)), e as (select eff.peer, eff.folder, greatest(eff.cursor, u.value) as v, eff.lane from eff left join u using (peer, folder, lane)), f as (select peer, folder, min(v) as v from e where (peer, folder) in (select peer, folder from u) group by 1, 2) select peer, folder, max(value) as value from (select * from cursors union all select peer, folder, v from f) group by 1, 2")
+@query(
+    "lane_cursor_floor",
+    f"""{sql_with('cursors', 'lane_cursors', 'cursor_updates')}, m as (select peer, folder, lane, max(value) as value from (select peer, folder, lane, value from lane_cursors where lanes = 3 union all select * from cursor_updates) group by 1, 2, 3),
+    k as (select distinct peer, folder from cursor_updates),
+    e as (select k.peer, k.folder, l.lane, coalesce(m.value, c.value, 0) as v from k cross join (values (0), (1), (2)) l(lane) left join m on m.peer = k.peer and m.folder = k.folder and m.lane = l.lane left join cursors c on c.peer = k.peer and c.folder = k.folder)
+    select peer, folder, max(value) as value from (select * from cursors union all select peer, folder, min(v) from e group by 1, 2) group by 1, 2""",
+)
 def lane_cursor_floor(spark, d):
-    updates = spark.createDataFrame([("p1", "A", 2, 4000), ("p1", "A", 0, 100), ("p2", "A", 1, 20000), ("p3", "R", 0, 7000), ("p3", "R", 2, 9000)], "peer string, folder string, lane int, value int")
-    return feed.advanced(*_cursors(spark, d), updates, LANES)[0]
+    return feed.advanced(*_cursors(spark, d), view(spark, d, "cursor_updates"), LANES)[0]
+
+
+@query(
+    "lane_cursors_advanced",
+    f"{sql_with('lane_cursors', 'cursor_updates')} select peer, folder, lanes, lane, max(value) as value from (select * from lane_cursors union all select peer, folder, 3, lane, value from cursor_updates) group by 1, 2, 3, 4",
+)
+def lane_cursors_advanced(spark, d):
+    return feed.advanced(*_cursors(spark, d), view(spark, d, "cursor_updates"), LANES)[1]
 
 
 @query(
@@ -79,10 +93,16 @@ def backlog_by_peer(spark, d):
     return feed.backlog(view(spark, d, "journal"), *_cursors(spark, d), LANES, excluded=F.col("path").like("%/l5"))
 
 
-@query("sample_validity", f"{_J} select peer, folder, min(cursor) >= 1000 as valid from eff group by 1, 2")
+@query(
+    "sample_validity",
+    f"{_J} select peer, folder, bool_and({_PEER} % 10 > 0 and cursor >= ({_PEER} * 37 + lane * 1100) % 30000) as valid from eff group by 1, 2",
+)
 def sample_validity(spark, d):
+    """Backlog samples taken at other cursors; each tenth peer had fewer lanes then."""
     at = feed.effective_cursors(*_cursors(spark, d), LANES).groupBy("peer", "folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("lane", F.col("cursor").alias("c")))), lambda x: x["c"]).alias("now"))
-    return at.select("peer", "folder", feed.still_valid(F.transform("now", lambda _: F.lit(1000)), F.col("now")).alias("valid"))
+    peer = F.substring("peer", 2, 20).cast("long")
+    lanes = F.when(peer % 10 == 0, F.slice(F.array(*map(F.lit, range(LANES))), 1, LANES - 1)).otherwise(F.array(*map(F.lit, range(LANES))))
+    return at.select("peer", "folder", feed.still_valid(F.transform(lanes, lambda x: (peer * 37 + x * 1100) % 30000), F.col("now")).alias("valid"))
 
 
 @query(
@@ -102,7 +122,8 @@ def batch_legality(spark, d):
 _DEL = """select o_orderkey as id, o_orderkey % 31 <> 0 as approved, case when o_orderkey % 29 = 0 then 'receive-only' else 'two-way' end as mode, o_orderkey % 23 <> 0 as connected, case when o_orderkey % 19 <> 0 then 1000 + o_orderkey % 20 end as sampled_at,
   case when o_orderkey % 17 = 0 then 'local folder is receive-only' end as send_disabled, case when o_orderkey % 37 = 0 then 'x' end as error, cast(1020 as bigint) as now, case when o_orderkey % 41 <> 0 then case when o_orderkey % 3 = 0 then o_custkey * 10 else 0 end end as pending_entries,
   case when o_orderkey % 3 = 0 then o_custkey else 0 end as pending_files, case when o_orderkey % 3 = 0 then o_custkey * o_orderkey * 100 else 0 end as pending_bytes, o_orderkey % 43 <> 0 as complete, case when o_orderkey % 11 = 0 then 1 else 3 end as active_lanes,
-  o_orderkey % 7 as a1, case when o_orderkey % 47 <> 0 then 5 end as a2, cast(3 as bigint) as local_head, case when o_orderkey % 5 = 0 then 1 else 0 end as conflicts, case when o_orderkey % 4 = 0 then 'polling' else 'watching' end as phase from {orders}"""
+  o_orderkey % 7 as a1, case when o_orderkey % 47 <> 0 then 5 end as a2, cast(3 as bigint) as local_head, case when o_orderkey % 5 = 0 then 1 else 0 end as conflicts, case when o_orderkey % 4 = 0 then 'polling' else 'watching' end as phase,
+  case when o_orderkey % 13 = 0 then o_orderkey % 4 else 0 end as queued_paths, case when o_orderkey % 53 = 0 then 'y' end as folder_error, case when o_orderkey % 59 = 0 then 'z' end as watch_error, case when o_orderkey % 61 = 0 then 2 else 0 end as unwatched, o_orderkey % 67 = 0 as cooling from {orders}"""
 
 
 @query(
@@ -111,11 +132,11 @@ _DEL = """select o_orderkey as id, o_orderkey % 31 <> 0 as approved, case when o
     select id, case when not approved then 'approval needed' when mode = 'receive-only' then 'sending disabled · receive-only' when not connected then 'offline · delivery unconfirmed' when sampled_at is null then 'awaiting delivery status'
       when send_disabled is not null then 'sending disabled · ' || send_disabled when error is not null then 'queue unavailable · d for details' when now - sampled_at > 15 then 'queue sample stale' when pending_entries is null then 'checking delivery'
       when pending_entries > 0 or not complete then p || format('{:,}', pending_files) || ' files · ' || p || case when n >= 1e12 then printf('%.2f TB', n / 1e12 + 1e-9) when n >= 1e9 then printf('%.2f GB', n / 1e9 + 1e-9) when n >= 1e6 then printf('%.2f MB', n / 1e6 + 1e-9) when n >= 1e3 then printf('%.2f kB', n / 1e3 + 1e-9) else printf('%.0f B', n) end || ' queued · ' || p || format('{:,}', greatest(pending_entries - pending_files, 0)) || ' metadata'
-      when active_lanes < 2 then 'waiting for transfer lanes' when a1 < local_head or a2 is null or a2 < local_head then 'reconciling index' when conflicts > 0 then 'index delivered · conflicts remain' when phase <> 'watching' then 'index delivered · scan pending' else 'indexed changes delivered' end as label from b""",
+      when active_lanes < 2 then 'waiting for transfer lanes' when a1 < local_head or a2 is null or a2 < local_head then 'reconciling index' when conflicts > 0 then 'index delivered · conflicts remain' when phase <> 'watching' or queued_paths > 0 or folder_error is not null or watch_error is not null or unwatched > 0 or cooling then 'index delivered · scan pending' else 'indexed changes delivered' end as label from b""",
 )
 def delivery_label(spark, d):
     rows = spark.sql(_DEL, orders=table(spark, d, "orders"))
-    c = {n: F.col(n) for n in rows.columns} | {"acknowledged": F.array(F.col("a1"), F.col("a2").cast("long")), "queued_paths": F.lit(0), "folder_error": F.lit(None), "watch_error": F.lit(None), "unwatched": F.lit(0), "cooling": F.lit(False)}
+    c = {n: F.col(n) for n in rows.columns} | {"acknowledged": F.array(F.col("a1"), F.col("a2").cast("long"))}
     return rows.select("id", feed.delivery_label(c).alias("label"))
 
 
@@ -314,11 +335,21 @@ def lane_validity(spark, d):
     return table(spark, d, "supplier").select(i.alias("id"), feed.valid_lane(i % 12 - 1, i % 10).alias("valid"))
 
 
-@query("send_disabled", "select l.m as local_mode, r.m as remote_mode, case when l.m = 'receive-only' then 'local folder is receive-only' when r.m = 'send-only' then 'peer folder is send-only (last handshake)' end as reason from (values ('two-way'), ('send-only'), ('receive-only')) l(m), (values ('two-way'), ('send-only'), ('receive-only')) r(m)")
+_SIDES = "select s_suppkey as id, case s_suppkey % 3 when 0 then 'two-way' when 1 then 'send-only' else 'receive-only' end as local_mode, case cast(floor(s_suppkey / 3) as bigint) % 3 when 0 then 'two-way' when 1 then 'send-only' else 'receive-only' end as remote_mode from {supplier}"
+
+
+def _sides(spark, d):
+    return spark.sql(_SIDES, supplier=table(spark, d, "supplier"))
+
+
+@query("send_disabled", f"select *, case when local_mode = 'receive-only' then 'local folder is receive-only' when remote_mode = 'send-only' then 'peer folder is send-only (last handshake)' end as reason from ({_SIDES.replace('{supplier}', 'supplier')})")
 def send_disabled(spark, d):
-    modes = ["two-way", "send-only", "receive-only"]
-    both = spark.createDataFrame([(a, b) for a in modes for b in modes], "local_mode string, remote_mode string")
-    return both.withColumn("reason", feed.send_disabled(F.col("local_mode"), F.col("remote_mode")))
+    return _sides(spark, d).withColumn("reason", feed.send_disabled(F.col("local_mode"), F.col("remote_mode")))
+
+
+@query("direction_matrix", f"select *, local_mode <> 'receive-only' and remote_mode <> 'send-only' as sends, local_mode <> 'send-only' and remote_mode <> 'receive-only' as receives, local_mode = remote_mode and local_mode <> 'two-way' as mismatch from ({_SIDES.replace('{supplier}', 'supplier')})")
+def direction_matrix(spark, d):
+    return reconcile.directions(_sides(spark, d))
 
 
 @query(

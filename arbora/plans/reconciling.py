@@ -138,15 +138,6 @@ def required_parent_seq(spark, d):
     return reconcile.required_parents(latest(j.select("folder", "path", "kind", "seq", "size").unionByName(up)), bulk(F.col("kind"), F.col("size")))
 
 
-_MODES = "(values ('two-way'), ('send-only'), ('receive-only'))"
-
-
-@query("direction_matrix", f"select l.m as local_mode, r.m as remote_mode, l.m <> 'receive-only' and r.m <> 'send-only' as sends, l.m <> 'send-only' and r.m <> 'receive-only' as receives, l.m = r.m and l.m <> 'two-way' as mismatch from {_MODES} l(m), {_MODES} r(m)")
-def direction_matrix(spark, d):
-    modes = ["two-way", "send-only", "receive-only"]
-    return reconcile.directions(spark.createDataFrame([(a, b) for a in modes for b in modes], "local_mode string, remote_mode string"))
-
-
 _FOLD = "select s_suppkey as folder, case s_suppkey % 3 when 0 then 'two-way' when 1 then 'send-only' else 'receive-only' end as mode, s_suppkey % 4 <> 1 as approved, s_suppkey % 5 <> 2 as ready, s_suppkey % 7 = 3 as paused from supplier"
 
 

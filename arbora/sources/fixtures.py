@@ -38,9 +38,15 @@ VIEWS = {
              row_number() over (partition by l_returnflag order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as seq
       from {lineitem}""",
     "cursors": """
-      select * from (values ('p1', 'A', 1000), ('p1', 'N', 5000), ('p1', 'R', 0), ('p2', 'A', 12000), ('p2', 'N', 1), ('p3', 'R', 3000)) t(peer, folder, value)""",
+      select concat('p', cast(o_custkey as string)) as peer, case o_orderkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as folder, max(o_orderkey) as value
+      from {orders} where o_orderkey % 4 <> 1 group by 1, 2""",
     "lane_cursors": """
-      select * from (values ('p1', 'A', 3, 0, 2000), ('p1', 'A', 3, 1, 1500), ('p1', 'N', 3, 2, 9000), ('p2', 'A', 3, 0, 12500), ('p2', 'A', 3, 1, 13000), ('p2', 'A', 3, 2, 12100), ('p3', 'R', 3, 1, 100000)) t(peer, folder, lanes, lane, value)""",
+      select concat('p', cast(o_custkey as string)) as peer, case o_orderkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as folder, case when o_orderkey % 5 = 0 then 2 else 3 end as lanes,
+             cast(o_custkey % 2 + o_orderkey % 2 as int) as lane, max(o_orderkey + o_custkey) as value
+      from {orders} where o_orderkey % 4 <> 2 and (o_orderkey % 5 > 0 or o_custkey % 2 + o_orderkey % 2 < 2) group by 1, 2, 3, 4""",
+    "cursor_updates": """
+      select concat('p', cast(o_custkey as string)) as peer, case o_orderkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as folder, cast(o_orderkey % 7 % 3 as int) as lane, o_orderkey * 2 as value
+      from {orders} where o_orderkey % 6 < 3""",
     "fs_events": """
       select event_id, user_id, ts, concat('u', cast(user_id % 20 as string), '/d', cast(event_id % 7 as string), '/f', cast(event_id % 50 as string)) as path,
              case event_type when 'click' then 'Modify(Data)' when 'view' then 'Access' when 'purchase' then 'Create' when 'signup' then 'Modify(Name)' else 'Remove' end as kind
