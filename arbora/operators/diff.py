@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clocks, paths
 from ..functions.entries import ENTRY, same_content
 from .ranges import running
+from .subtrees import above
 
 KEY = ["folder", "path"]
 OBSERVED = ("kind", "size", "hash", "target", "mode", "stamp")
@@ -100,12 +101,13 @@ def latest(*versions: DataFrame) -> DataFrame:
 def unseen(entries: DataFrame, snapshot: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """Live entries that a scan didn't meet; with scopes (folder, scope) only those at or below one of them.
 
-    Subtrees are found by equality with a path's prefixes, so that no pair is compared by range."""
+    Entries and scopes are swept together in the order of the tree, so that no pair is compared and no path repeated."""
     live = entries.filter("kind <> 'Deleted'").join(snapshot.select(*KEY), KEY, "left_anti")
     if scopes is None:
         return live
-    near = live.select(*KEY, F.explode(paths.prefixes(F.col("path"))).alias("scope")).join(scopes, ["folder", "scope"], "left_semi").select(*KEY).distinct()
-    return live.join(near, KEY, "left_semi")
+    roots = scopes.select("folder", F.col("scope").alias("path"), F.lit(0).cast("long").alias("__scope")).distinct()
+    both = live.unionByName(roots, allowMissingColumns=True)
+    return above(both, ["folder"], "path", "__scope", proper=False).filter("__scope is null and above is not null").select(*live.columns)
 
 
 def totals(entries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import automata
+from . import automata, subtrees
 
 #: A batch's times and size, and the quantum of watch limits.
 GAP_US, MAX_US = 100_000, 1_000_000
@@ -41,11 +41,10 @@ def batches(events: DataFrame, by: str, at_us: str = "us", gap: int = GAP_US, mo
 def coalesced(events: DataFrame, by: Sequence[str]) -> DataFrame:
     """What a batch (by) leaves to scan: one row for each path with its scope, Tree before Entry, nothing below a Tree.
 
-    Ancestors are exploded and joined by equality."""
+    One sweep over the paths of each batch finds what a Tree is above of."""
     one = events.filter(F.col("scope").isNotNull()).groupBy(*by, "path").agg(F.max("scope").alias("scope"), F.count("*").alias("events"))
-    trees = one.filter("scope = 'Tree'").select(*by, F.col("path").alias("parent"))
-    below = one.select(*by, "path", F.explode(paths.ancestors(F.col("path"))).alias("parent")).join(trees, [*by, "parent"], "left_semi").select(*by, "path").distinct()
-    return one.join(below, [*by, "path"], "left_anti")
+    marked = one.withColumn("__tree", F.when(F.col("scope") == "Tree", 0).cast("long"))
+    return subtrees.above(marked, by, "path", "__tree").filter("above is null").drop("__tree", "above")
 
 
 def overflowing(events: DataFrame, by: Sequence[str], most: int = MAX_PATHS) -> DataFrame:
@@ -54,10 +53,9 @@ def overflowing(events: DataFrame, by: Sequence[str], most: int = MAX_PATHS) ->
     come at once."""
     known = events.filter(F.col("scope").isNotNull())
     known = known if "event_id" in events.columns else known.withColumn("event_id", F.lit(0))
-    one = known.groupBy(*by, "path").agg(F.min("event_id").alias("first"))
-    trees = known.filter("scope = 'Tree'").groupBy(*by, F.col("path").alias("parent")).agg(F.min("event_id").alias("tree"))
-    above = one.select(*by, "path", F.explode(paths.ancestors(F.col("path"))).alias("parent")).join(trees, [*by, "parent"]).groupBy(*by, "path").agg(F.min("tree").alias("gone"))
-    held = one.join(above, [*by, "path"], "left").filter("gone is null or first < gone")
+    tree = F.min(F.when(F.col("scope") == "Tree", F.col("event_id")))
+    one = known.groupBy(*by, "path").agg(F.min("event_id").alias("first"), tree.cast("long").alias("tree"))
+    held = subtrees.above(one, by, "path", "tree", name="gone").filter("gone is null or first < gone")
     # What a Tree absorbs goes before it comes itself.
     steps = held.select(*by, F.explode(F.array_compact(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("step")), F.when(F.col("gone").isNotNull(), F.struct(F.col("gone").alias("at"), F.lit(-1).alias("step")))))).alias("s")).select(*by, "s.*")
     each = steps.groupBy(*by, "at", "step").agg(F.sum("step").alias("change"))
@@ -95,9 +93,7 @@ def watch_backoff(failures: Column, quota: Column, rescan_s: Column) -> Column:
 
 def open_gaps(gaps: DataFrame, generation: int) -> DataFrame:
     """Coverage gaps (path, generation) that still stand: of this generation or later, and not below another one."""
-    now = gaps.filter(F.col("generation") >= generation).select("path").distinct()
-    below = now.select("path", F.explode(paths.ancestors(F.col("path"))).alias("parent")).join(now.select(F.col("path").alias("parent")), "parent", "left_semi").select("path").distinct()
-    return now.join(below, "path", "left_anti")
+    return subtrees.outermost(gaps.filter(F.col("generation") >= generation).select("path").distinct(), [], "path")
 
 
 def watch_demand(entries: DataFrame, folders: DataFrame, excluded: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clocks, paths
 from ..functions.entries import same_bytes, same_content
 from .diff import KEY, packed, tombstone
+from .ranges import running
 
 
 def _both(local: DataFrame, remote: DataFrame, how: str) -> DataFrame:
@@ -47,6 +48,11 @@ def publication_rank(kind: Column, path: Column) -> list[Column]:
     return [gone, F.when(gone, -F.length(path)).otherwise(F.length(path)), path]
 
 
+def publication_order(entries: DataFrame) -> DataFrame:
+    """entries with their `position` in the order of publication of their folder, counted by ranges of it."""
+    return running(entries, ["folder"], publication_rank(F.col("kind"), F.col("path")), name="position")
+
+
 def pairing_plan(local: DataFrame, remote: DataFrame, mode: str = "merge", excluded: Column | None = None, key: Column | None = None) -> DataFrame:
     """The plan of an offline pairing, seen from the side whose snapshot is `local`: one row for each path with its action.
 

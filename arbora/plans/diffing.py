@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import clocks, entries, paths
 from ..operators import diff
 from ..sources import tree
@@ -239,3 +240,11 @@ _LIST = """select source as folder, concat(lang, '/d', cast(doc_id % 7 as string
 def listing_snapshot(spark, d):
     rows = spark.sql(_LIST.replace("OCT", "cast(octet_length(text) as bigint)"), documents=table(spark, d, "documents"))
     return tree.observed(rows.drop("body"), rows.select("folder", "path", "body"))
+
+
+@query("snapshot_export", f"{sql_with('replica_a')} select folder, path, kind, size, hash, row_number() over (partition by folder order by path) as position from replica_a where kind <> 'Deleted'")
+def snapshot_export(spark, d):
+    """The live entries as an exported index, read back in the order in which they were written."""
+    live = view(spark, d, "replica_a").filter("kind <> 'Deleted'")
+    at = tree.save(live.select("folder", "path", "kind", "size", "hash"), storage.temporary(spark, "export"), 1)
+    return tree.exported(spark, at).select("folder", "path", "kind", "size", "hash", "position")

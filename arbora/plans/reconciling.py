@@ -103,11 +103,7 @@ def wants_payload(spark, d):
 
 @query("publication_order", f"{AB} select folder, path, row_number() over (partition by folder order by kind = 'Deleted', case when kind = 'Deleted' then -length(path) else length(path) end, path) as position from replica_b")
 def publication_order(spark, d):
-    from pyspark.sql import Window
-
-    b = view(spark, d, "replica_b")
-    w = Window.partitionBy("folder").orderBy(*reconcile.publication_rank(F.col("kind"), F.col("path")))
-    return b.select("folder", "path", F.row_number().over(w).cast("long").alias("position"))
+    return reconcile.publication_order(view(spark, d, "replica_b")).select("folder", "path", "position")
 
 
 @query("changed_destinations", f"{sql_with('replica_a', 'snapshot')} select a.folder, a.path, a.stamp as expected, s.stamp as found from replica_a a left join snapshot s using (folder, path) where a.stamp is distinct from s.stamp")
@@ -123,9 +119,9 @@ _TREE = """t as materialized (
 
 @query(
     "required_parent_seq",
-    f"""{sql_with('journal')}, {_TREE}, e as materialized (select folder, path, max(seq) as seq, arg_max(kind, seq) as kind, arg_max(size, seq) as size from t group by 1, 2)
-    select c.folder, c.path, coalesce(p.seq, 0)::bigint as required_seq, (case when coalesce(p.kind, '') <> 'Directory' then 1 else 0 end)::bigint as violations
-    from e c left join e p on p.folder = c.folder and p.path = split_part(c.path, '/', 1) where c.kind = 'File' and c.size >= 1048576""",
+    f"""{sql_with('journal').replace('journal as (', 'journal as materialized (', 1)}, {_TREE}, e as (select folder, path, max(seq) as seq, arg_max(kind, seq) as kind, arg_max(size, seq) as size from t group by 1, 2),
+    m as (select *, split_part(path, '/', 1) as top, max(seq) filter (path = split_part(path, '/', 1)) over w as up, max(kind) filter (path = split_part(path, '/', 1)) over w as up_kind from e window w as (partition by folder, split_part(path, '/', 1)))
+    select folder, path, coalesce(up, 0)::bigint as required_seq, (case when coalesce(up_kind, '') <> 'Directory' then 1 else 0 end)::bigint as violations from m where kind = 'File' and size >= 1048576 and path <> top""",
 )
 def required_parent_seq(spark, d):
     from ..operators.diff import latest

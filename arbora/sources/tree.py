@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -52,3 +52,13 @@ def save(entries: DataFrame, folder: str, version: int) -> str:
     path = f"{folder}/v={version}"
     entries.repartitionByRange("folder", "path").sortWithinPartitions("folder", "path").write.partitionBy("folder").parquet(path)
     return path
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """What save() wrote at `path`, each row with its `position` in its folder, counted through the files as they lie there."""
+    rows = spark.read.parquet(path).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    # A row for each file.
+    files = rows.groupBy("folder", "__file").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("folder").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = files.select(F.col("__file").alias("__f"), before.alias("__begin"))
+    return rows.join(begin, F.col("__file") == F.col("__f")).withColumn("position", F.col("__begin") + F.col("__row") + 1).drop("__file", "__row", "__f", "__begin")

@@ -10,8 +10,8 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that this process has written and not deleted.
-_made: dict[str, DataFrame] = {}
+#: What this process has written and not deleted, by path.
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,28 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of a scratch() block or of the process."""
+    path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.unregister(_discard_all)
+        atexit.register(_discard_all)
+    _made[path] = spark
+    return path
+
+
 def cut(df: DataFrame, name: str, conf: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Cut the lineage of df: write it as Parquet in the shared folder and read it back.  conf: settings while it is written, each
     with the value that it has where it is unset, and the one to write with.
 
     The table is there until discard(), the end of a scratch() block around this call, or the end of the process."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)  # known before it is written: a write that fails leaves files too
     was = {key: spark.conf.get(key, default) for key, (default, _) in (conf or {}).items()}
-    if not _made:
-        atexit.unregister(_discard_all)
-        atexit.register(_discard_all)
     try:
         for key, (_, now) in (conf or {}).items():
             spark.conf.set(key, now)
-        _made[path] = df  # first: a write that fails leaves files too
         df.write.parquet(path)
     finally:
         for key, value in was.items():
             spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._arbora_path = path
-    _made[path] = out
     return out
 
 
@@ -73,10 +78,10 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         for path in [p for p in _made if p not in before]:
-            _delete(_made[path].sparkSession, path)
+            _delete(_made[path], path)
 
 
 def _discard_all() -> None:
-    for path, df in list(_made.items()):
+    for path, spark in list(_made.items()):
         with contextlib.suppress(Exception):  # the session may be gone
-            _delete(df.sparkSession, path)
+            _delete(spark, path)
