@@ -12,9 +12,11 @@ needs.  A data row is sent only to the query groups whose upper bound for it rea
 replicated.  The same bounds with the query's own products instead of its group's give each query its own floor, and decide to
 which data groups it goes.
 
-Data groups are dealt in parts of PART rows and query groups are packed into blocks of BLOCK queries (larger ones are cut), so a
-task holds at most about one part and one block, however large a group is.  Each task keeps the k best at or over the floor for
-each of its queries, and a ranking merges them.
+Data groups are dealt in parts of PART rows and query groups are packed into blocks of BLOCK_BYTES of queries (larger ones are
+cut), so a task holds at most about one part and one block, however large a group is.  Where bounds leave out nothing, a data row
+goes to every block: as many copies as the queries have blocks of BLOCK_BYTES.  What is broadcast is a number for each two groups
+(at most the square of PIVOTS[1], 8 MB) and the pivots, whatever the number of queries.  Each task keeps the k best at or over the
+floor for each of its queries, and a ranking merges them.
 
 Equal vectors are folded first: of rows with the same components only the k + 1 smallest ids, with k rows each at most, can be
 among anyone's k best.
@@ -40,8 +42,8 @@ from pyspark.sql import types as T
 
 from .common import discard, written
 
-#: Pivots, least and most; data rows and queries of one task (about); rows scored at once.
-PIVOTS, PART, BLOCK, ROWS = (16, 1024), 16_384, 2048, 256
+#: Pivots, least and most; data rows and bytes of queries of one task (about); rows scored at once.
+PIVOTS, PART, BLOCK_BYTES, ROWS = (16, 1024), 16_384, 32 << 20, 256
 SCALE = 256
 LONG, SAFE = (-(2**63), 2**63 - 1), 9.2e18
 
@@ -162,25 +164,25 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int | None =
     bounds = _Bounds(k, centre.value, of_data, of_asked, near)
     shared = spark.sparkContext.broadcast(bounds)
     parts = np.maximum(1, -(-of_data["n"].to_numpy() // PART))
-    # Query groups in order are packed into blocks of about BLOCK queries; a larger group has blocks of its own.
+    # Query groups in order are packed into blocks; a larger group has blocks of its own.
+    block = max(ROWS, BLOCK_BYTES // (8 * max(1, centre.value.shape[1])))
     first, cuts, at = [], [], 0
     held = 0
     for n in of_asked["n"].tolist():
-        if held and held + n > BLOCK:
+        if held and held + n > block:
             at, held = at + 1, 0
         first.append(at)
-        cuts.append(max(1, -(-n // BLOCK)))
+        cuts.append(max(1, -(-n // block)))
         held += n
         if cuts[-1] > 1:
             at, held = at + cuts[-1], 0
     blocks = {g: (a, c) for g, a, c in zip(of_asked["g"].tolist(), first, cuts)}
     dealt_to = spark.sparkContext.broadcast((parts, blocks))
-    # Data groups x blocks: the least distance at which any query group of the block can need a row.
-    least = bounds.of_groups()
-    need = np.full((len(bounds.groups), max([a + c for a, c in blocks.values()], default=0)), np.inf)
-    for i, (a, c) in enumerate(blocks.values()):
-        need[:, a : a + c] = np.minimum(need[:, a : a + c], least[i][:, None])
-    needed = spark.sparkContext.broadcast(need)
+    # Data groups x query groups: the least distance at which the query group can need a row.
+    needed = spark.sparkContext.broadcast(bounds.of_groups().T.copy())
+    # Query groups of one block, or of one run of blocks, are neighbours: where each such unit begins, its first block, and how many.
+    begins = np.flatnonzero(np.append(True, np.diff(first) != 0)) if first else np.zeros(0, np.int64)
+    unit_first, unit_cuts = np.array(first, np.int64)[begins], np.array(cuts, np.int64)[begins]
 
     def route_data(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each row to the blocks of queries that can need it."""
@@ -190,7 +192,11 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int | None =
             if len(page):
                 j = number[page["g"].to_numpy()]
                 part = page["part"].to_numpy() % dealt_to.value[0][j]
-                row, block = np.nonzero(needed.value[j] <= page["apart"].to_numpy()[:, None])
+                wanted = needed.value[j] <= page["apart"].to_numpy()[:, None]
+                row, unit = np.nonzero(np.logical_or.reduceat(wanted, begins, axis=1)) if len(begins) else (np.zeros(0, np.int64),) * 2
+                times = unit_cuts[unit]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(unit_first[unit], times)
+                row = np.repeat(row, times)
                 yield pd.DataFrame({"g": page["g"].to_numpy()[row], "part": part[row].astype(np.int32), "block": block.astype(np.int32), "vec_id": page["vec_id"].to_numpy()[row], "q": page["q"].to_numpy()[row], "apart": page["apart"].to_numpy()[row]})
 
     def route_queries(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

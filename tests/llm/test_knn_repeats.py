@@ -51,9 +51,9 @@ def test_pruning_of_groups(spark):
     asked = q.filter("vec_id % 50 = 0")
     assert sorted(map(tuple, knn.top_k(asked, q, 5, stats=stats).collect())) == brute_knn(whole)
     assert stats["kept"] < 0.4 * stats["pairs"]
-    was = knn.PART, knn.BLOCK
+    was = knn.PART, knn.BLOCK_BYTES, knn.ROWS
     try:
-        knn.PART, knn.BLOCK = 20, 3
+        knn.PART, knn.BLOCK_BYTES, knn.ROWS = 20, 1, 3
         assert sorted(map(tuple, knn.top_k(asked, q, 5).collect())) == brute_knn(whole)
     finally:
-        knn.PART, knn.BLOCK = was
+        knn.PART, knn.BLOCK_BYTES, knn.ROWS = was
