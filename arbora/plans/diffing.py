@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import clocks, entries, paths
 from ..operators import diff
-from ..sources import tree
+from ..sources import index, tree
 from ..sources.fixtures import sql_with, view
 from .base import bytes_eq, clock_text, content_eq, query, rel, table
 
@@ -248,3 +248,42 @@ def snapshot_export(spark, d):
     live = view(spark, d, "replica_a").filter("kind <> 'Deleted'")
     at = tree.save(live.select("folder", "path", "kind", "size", "hash"), storage.temporary(spark, "export"), 1)
     return tree.exported(spark, at).select("folder", "path", "kind", "size", "hash", "position")
+
+
+def _indexed(spark, d, buckets=8):
+    return [index.build(view(spark, d, name).select("folder", "path", "kind", "size", "hash"), buckets) for name in ("replica_a", "replica_b")]
+
+
+@query("indexed_join", f"{AB} select a.folder, count(*) as paths, count(*) filter (where a.hash = b.hash) as same, sum(b.size - a.size)::bigint as growth from replica_a a join replica_b b using (folder, path) group by 1")
+def indexed_join(spark, d):
+    """Two bucketed indexes compared in place."""
+    both = index.joined(spark, *_indexed(spark, d))
+    return both.groupBy("folder").agg(F.count("*").alias("paths"), F.count(F.when(F.col("hash") == F.col("right_hash"), 1)).alias("same"), F.sum(F.col("right_size") - F.col("size")).alias("growth"))
+
+
+@query("indexed_lookup", f"{AB}, l as (select folder, max(path) as path from replica_a where kind = 'File' group by 1) select 'path' as by, a.folder, a.path, a.size, a.hash from replica_a a join l using (folder, path) where folder = (select min(folder) from l) union all select 'key', a.folder, a.path, a.size, a.hash from replica_a a join l using (folder, path) where folder = (select max(folder) from l)")
+def indexed_lookup(spark, d):
+    """One entry by its path, and one by another spelling of it."""
+    at = _indexed(spark, d)[0]
+    last = spark.table(at).filter("kind = 'File'").groupBy("folder").agg(F.max("path").alias("path"))
+    low, high = last.orderBy("folder").first(), last.orderBy(F.desc("folder")).first()
+    found = index.at_path(spark, at, low["folder"], low["path"]).withColumn("by", F.lit("path"))
+    other = index.at_key(spark, at, high["folder"], high["path"].upper().lower()).withColumn("by", F.lit("key"))
+    return found.unionByName(other).select("by", "folder", "path", "size", "hash")
+
+
+_TREE = """select concat(lang, '/d', cast(doc_id % 7 as string), '/', cast(doc_id as string), case when doc_id % 23 = 0 then '' else '.txt' end) as path, case when doc_id % 23 = 0 then 'Directory' when doc_id % 29 = 0 then 'Symlink' else 'File' end as kind,
+  text as body, concat('../', lang) as target, case when doc_id % 11 = 0 or doc_id % 23 = 0 then 493 else 420 end as mode from {documents}"""
+
+
+@query(
+    "walked_snapshot",
+    "with t as (" + _TREE.replace("{documents}", "documents") + """), u as (select path, kind, case when kind = 'File' then strlen(body) else 0 end::bigint as size, case kind when 'File' then sha256(body) when 'Symlink' then sha256(target) else '' end as hash, case when kind = 'Symlink' then target end as target, mode from t
+      union all select distinct p, 'Directory', 0, '', null, 493 from (select string_split(path, '/') as s from t), (values (1), (2)) v(n), lateral (select array_to_string(s[1:n], '/') as p))
+    select 'docs' as folder, path, kind, size, hash, target, case when kind = 'Symlink' then 511 else mode end::int as mode from u""",
+)
+def walked_snapshot(spark, d):
+    """Documents as files, directories and links of a real tree in the shared folder, listed and hashed by the walk."""
+    root = storage.mounted(spark, storage.temporary(spark, "tree")) + "/t"
+    tree.laid_out(spark.sql(_TREE, documents=table(spark, d, "documents")), root)
+    return tree.observed(tree.walked(spark, root, "docs", tasks=16)).select("folder", "path", "kind", "size", "hash", "target", "mode")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.entries import STAMP_FIELDS, content_hash, fingerprint, stamp
+from .walk import TreeSource
 
 
 def observed(listing: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """A snapshot out of a listing: folder, path, kind (File, Directory, Symlink), mode with its type bits, target, and the
     STAMP_FIELDS of each; contents (folder, path, body) for the files that must be hashed.
 
-    Files without a body have a null hash, links the hash of their target, directories none.  Other kinds are left out."""
+    A listing that has a `hash` needs no contents.  Files without a body have a null hash, links the hash of their target,
+    directories none.  Other kinds are left out."""
     rows = listing.filter("kind in ('File', 'Directory', 'Symlink')")
-    if contents is not None:
+    if contents is None and "hash" in listing.columns:
+        rows = rows.withColumn("__hash", F.col("hash"))
+    elif contents is not None:
         rows = rows.join(contents.select("folder", "path", content_hash(F.col("body")).alias("__hash")), ["folder", "path"], "left")
     else:
         rows = rows.withColumn("__hash", F.lit(None).cast("string"))
@@ -26,6 +32,39 @@ def observed(listing: DataFrame, contents: DataFrame | None = None) -> DataFrame
     )
 
 
+def walked(spark: SparkSession, root: str, folder: str, content: bool = True, tasks: int = 64) -> DataFrame:
+    """The listing of a mounted tree, by walk.TreeSource: for observed(), and with rows of kind Error for what can't be read."""
+    spark.dataSource.register(TreeSource)
+    return spark.read.format(TreeSource.name()).option("root", root).option("folder", folder).option("content", str(content)).option("tasks", str(tasks)).load()
+
+
+def failures(listing: DataFrame) -> DataFrame:
+    """What a walk couldn't read: scan (its folder), at (the path) and message, for diff.scan_errors."""
+    return listing.filter("kind = 'Error'").select(F.col("folder").alias("scan"), F.col("path").alias("at"), F.col("error").alias("message"))
+
+
+def laid_out(rows: DataFrame, root: str) -> int:
+    """Write rows (path, kind, body, target, mode) as a tree below `root`, in tasks; how many there were.  For mounted folders that
+    all tasks share; a task that runs again writes the same."""
+
+    def run(pages):
+        for page in pages:
+            for path, kind, body, target, mode in zip(page["path"], page["kind"], page["body"], page["target"], page["mode"]):
+                at = os.path.join(root, path)
+                os.makedirs(at if kind == "Directory" else os.path.dirname(at), exist_ok=True)
+                if kind == "Symlink":
+                    if not os.path.lexists(at):
+                        os.symlink(target, at)
+                elif kind == "File":
+                    with open(at, "wb") as f:
+                        f.write(bytes(body or b""))
+                if kind != "Symlink":
+                    os.chmod(at, int(mode))
+            yield page[["path"]]
+
+    return rows.select("path", "kind", F.col("body").cast("binary").alias("body"), "target", "mode").mapInPandas(run, "path string").count()
+
+
 def with_directories(files: DataFrame) -> DataFrame:
     """A scan's files, and a row for each directory above them (readers list files only)."""
     above = files.select("folder", F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()

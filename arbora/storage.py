@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: What this process has written and not deleted, by path.
 _made: dict[str, SparkSession] = {}
+#: Tables of the catalog whose files lie at some of these paths.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,22 @@ def temporary(spark: SparkSession, name: str) -> str:
     return path
 
 
+def temporary_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A new name for a table of the catalog, and the path for its files; both go as those of temporary() do."""
+    path = temporary(spark, name)
+    _tables[path] = f"arbora_{name}_{path.rpartition('-')[2]}"
+    return _tables[path], path
+
+
+def mounted(spark: SparkSession, path: str) -> str:
+    """A path of the shared folder as plain file functions know it; an error where it isn't a mounted folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if uri.getScheme() != "file":
+        raise ValueError(f"{path} isn't in a mounted folder")
+    return uri.getPath()
+
+
 def cut(df: DataFrame, name: str, conf: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Cut the lineage of df: write it as Parquet in the shared folder and read it back.  conf: settings while it is written, each
     with the value that it has where it is unset, and the one to write with.
@@ -56,6 +74,8 @@ def cut(df: DataFrame, name: str, conf: Mapping[str, tuple[str, str]] | None = N
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"drop table if exists {_tables.pop(path)}")
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
