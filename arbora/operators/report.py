@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import automata
+from . import automata, selection
 
 #: What makes an event an issue, how many events stay, and how long a detail may be.
 ISSUES = ("error", "conflict", "fail", "pending", "reject", "overflow", "approval", "warning")
@@ -99,10 +99,14 @@ def cleaned(text: Column) -> Column:
 
 
 def distribution(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Least, median, nearest-rank 95th percentile and largest."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = samples.withColumns({"__r": rank, "__n": n})
-    return ranked.groupBy(*by).agg(
-        F.min(value).alias("least"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.max(F.when(F.col("__r") == F.ceil(F.col("__n") * 95 / 100), F.col(value))).alias("p95"), F.max(value).alias("largest"), F.count("*").alias("samples")
-    )
+    """Least, median, nearest-rank 95th percentile and largest, and the number of samples that have a value."""
+    about = samples.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("largest"), F.count(value).alias("samples")).filter("samples > 0")
+    n = F.col("samples")
+    ranks = F.array(F.expr("(samples + 1) div 2"), F.expr("samples div 2 + 1"), F.ceil(n * 95 / 100))
+    found = selection.selected(samples, by, value, about.select(*by, F.posexplode(ranks).alias("target", "rank")))
+    at = lambda i: F.max(F.when(F.col("target") == i, F.col("value")))
+    told = found.groupBy(*by).agg(((at(0) + at(1)) / 2).alias("median"), at(2).alias("p95"))
+    same = F.lit(True)
+    for c in by:
+        same = same & about[c].eqNullSafe(told[c])
+    return about.join(told, same).select(*[about[c] for c in by], "least", "median", F.col("p95").cast(samples.schema[value].dataType).alias("p95"), "largest", "samples")
