@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clocks
+from . import eviction
 from .ranges import running
 
 DAY = 86400
@@ -48,13 +49,9 @@ def scan_cache(puts: DataFrame, budget: int, items: int = 16_384, item_bytes: in
     """What a cache that evicts in order of insertion holds after puts (position, key, bytes): empty items and those over the
     size never enter; a key put again moves to its new place; the newest stay while they fit.  Reading doesn't refresh.
 
-    Exact as long as a key's items don't shrink (then an older item may have gone before there was room for it again)."""
-    w = Window.partitionBy(by).orderBy(F.desc("position"))
+    Exact for any sizes: an item that has once gone stays out, though later puts may be smaller."""
     fits = puts.filter((F.col("bytes") > 0) & (F.col("bytes") <= item_bytes) & (F.col("bytes") <= budget))
-    rest = [c for c in puts.columns if c not in (by, "key")]
-    last = fits.groupBy(by, "key").agg(F.max_by(F.struct(*rest), "position").alias("v")).select(by, "key", "v.*")
-    few = last.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= items)
-    return few.withColumn("sum", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= budget).drop("sum", "n")
+    return eviction.kept(fits, by, "position", budget, items)
 
 
 def partials(files: DataFrame, at: int, days: int | None) -> DataFrame:

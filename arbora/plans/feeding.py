@@ -172,7 +172,14 @@ def feedback_trim(spark, d):
     return retention.newest(view(spark, d, "archives").withColumn("used", F.col("saved_at")), 5, by="folder").select("folder", "id")
 
 
-@query("scan_cache", f"{sql_with('archives')} select folder, id from (select *, sum(bytes) over w as s, row_number() over w as n from (select folder, split_part(id, '-', 1) as key, max(id) as id, arg_max(bytes, id) as bytes from archives where bytes > 0 and bytes <= 900 group by 1, 2) window w as (partition by folder order by id desc rows between unbounded preceding and current row)) where s <= 3000 and n <= 6")
+@query(
+    "scan_cache",
+    f"""{sql_with('archives')}, p as (select folder, id, split_part(id, '-', 1) as key, bytes, row_number() over (partition by folder order by id) as t from archives where bytes > 0 and bytes <= 900),
+    q as (select *, coalesce(lead(t) over (partition by folder, key order by t), 1e9::bigint) as until from p),
+    s as (select q.folder, q.t as low, n.t as now, sum(r.bytes) as held, count(*) as items from p n join q on q.folder = n.folder and q.t <= n.t and q.until > n.t join q r on r.folder = q.folder and r.t between q.t and n.t and r.until > n.t group by 1, 2, 3),
+    gone as (select folder, max(low) as low from s where held > 3000 or items > 6 group by 1)
+    select q.folder, q.id from q left join gone using (folder) where until = 1e9 and t > coalesce(low, 0)""",
+)
 def scan_cache(spark, d):
     puts = view(spark, d, "archives").withColumns({"position": F.col("id"), "key": F.substring_index("id", "-", 1)})
     return retention.scan_cache(puts, 3000, 6, 900, by="folder").select("folder", "id")

@@ -196,26 +196,37 @@ def test_running(spark):
             total += x
 
 
-def test_scan_cache_with_repeated_keys(spark):
-    """Against the cache itself, for items that don't shrink."""
-    rnd = random.Random(5)
-    for _ in range(5):
-        budget, most = rnd.choice([40, 100]), rnd.choice([3, 8])
-        puts, size = [], {}
-        for i in range(60):
-            k = f"k{rnd.randrange(12)}"
-            size[k] = min(45, size.get(k, rnd.randint(0, 10)) + rnd.randint(0, 3))
-            puts.append((0, i, k, size[k]))
-        held = {}
-        for _, i, k, n in puts:
-            if not 0 < n <= min(30, budget):
-                continue
-            held.pop(k, None)
-            while held and (sum(x for _, x in held.values()) + n > budget or len(held) >= most):
-                held.pop(min(held, key=lambda q: held[q][0]))
-            held[k] = (i, n)
-        got = retention.scan_cache(spark.createDataFrame(puts, "cache int, position long, key string, bytes long"), budget, most, 30)
-        assert {r["key"]: (r["position"], r["bytes"]) for r in got.collect()} == held
+def replayed(puts, budget, most, item_bytes):
+    """key -> (position, bytes) that a cache holds after puts (cache, position, key, bytes)."""
+    held: dict = {}
+    for _, i, k, n in puts:
+        if not 0 < n <= min(item_bytes, budget):
+            continue
+        held.pop(k, None)
+        while held and (sum(x for _, x in held.values()) + n > budget or len(held) >= most):
+            held.pop(min(held, key=lambda q: held[q][0]))
+        held[k] = (i, n)
+    return held
+
+
+@pytest.mark.parametrize("ranges_", [4, 9])
+def test_scan_cache(spark, ranges_):
+    """Against the cache itself, with sizes that fall too; caches of one range and of several."""
+    rnd = random.Random(5 + ranges_)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(ranges_)}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        puts = [(1 if rnd.random() < 0.1 else 0, i, f"k{rnd.randrange(12)}", rnd.choice([0, 1, 3, 10, 30, 31, 45, 60])) for i in range(400)]
+        puts += [(2, 0, "a", 60), (2, 1, "b", 60), (2, 2, "b", 10), (3, 0, "a", 101), (None, 5, "x", 7)]
+        for budget, most in ((100, 8), (100, 3), (40, 50), (10_000, 50), (10_000, 5)):
+            got = retention.scan_cache(spark.createDataFrame(puts, "cache int, position long, key string, bytes long").repartition(3), budget, most, 61)
+            want = {(c, k, *v) for c in (0, 1, 2, 3, None) for k, v in replayed([p for p in puts if p[0] == c], budget, most, 61).items()}
+            assert {(r["cache"], r["key"], r["position"], r["bytes"]) for r in got.collect()} == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def test_reuse_by_content(spark):
