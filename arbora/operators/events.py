@@ -73,6 +73,24 @@ def counters(events: DataFrame, by: Sequence[str], most: int = MAX_PATHS) -> Dat
     return out.withColumn("coalesced", F.col("events") - F.col("ignored") - F.col("paths"))
 
 
+def directed(events: DataFrame, by: str, at_us: str = "us", gap: int = GAP_US, most: int = MAX_US, order: str = "event_id", paths_most: int = MAX_PATHS) -> DataFrame:
+    """What each batch of events (with `scope` and `control`) asks for: by, batch, batch_start, path, scope, events.
+
+    Dropped events open no batch and keep none open.  A batch with a restart, rescan or reload is one full scan (scope Full, an
+    empty path, as many events as there were such ones), and a row for each kind of them (scope Restart, Rescan, Reload); one that
+    overflows is a full scan with its events; any other leaves its coalesced paths."""
+    told = batches(events.filter(~F.col("control").eqNullSafe(F.lit("drop"))), by, at_us, gap, most, order)
+    key = [by, "batch", "batch_start"]
+    row = lambda t, scope_, n: t.select(*key, F.lit("").alias("path"), scope_.alias("scope"), n.cast("long").alias("events"))
+    kinds = told.filter("control is not null").groupBy(*key, "control").agg(F.count("*").alias("n"))
+    called = kinds.groupBy(*key).agg(F.sum("n").alias("n"))
+    plain = told.filter("control is null").join(called.select(*key), key, "left_anti")
+    full = overflowing(plain.withColumnRenamed(order, "event_id"), key, paths_most).select(*key)
+    over = plain.filter("scope is not null").join(full, key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
+    left = coalesced(plain.join(full, key, "left_anti"), key).select(*key, "path", "scope", "events")
+    return left.unionByName(row(kinds, F.initcap("control"), F.col("n"))).unionByName(row(called, F.lit("Full"), F.col("n"))).unionByName(row(over, F.lit("Full"), F.col("n")))
+
+
 def routes(pending: DataFrame, entries: DataFrame) -> DataFrame:
     """Where each coalesced path is scanned: as a tree, or as an entry; an entry that isn't there any more becomes a tree."""
     known = entries.filter("kind <> 'Deleted'").select("path", F.lit(True).alias("known")).distinct()

@@ -60,6 +60,24 @@ def event_coalesce(spark, d):
     return events.coalesced(_batched(spark, d, True), ["user_id", "batch"])
 
 
+_CONTROL = "case when event_id % 101 = 0 then 'restart' when event_id % 97 = 0 then 'rescan' when event_id % 89 = 0 or path like '%/d3/%' then 'drop' when event_id % 83 = 0 then 'reload' end"
+
+
+_DIRECTED = _SHORT.replace("order by ts, event_id) as n from fs_events", f"order by ts, event_id) as n, {_CONTROL} as control from fs_events where ({_CONTROL}) is distinct from 'drop'")
+_DIRECTED = _DIRECTED.replace("e.scope, r.batch", "e.scope, e.control, r.batch").replace("p as (select", "u as (select user_id, batch, control, count(*) as n from b where control is not null group by 1, 2, 3),\np as (select")
+_DIRECTED = _DIRECTED.replace("from b where scope is not null", "from b where scope is not null and not exists (select 1 from u where u.user_id = b.user_id and u.batch = b.batch)")
+
+
+@query(
+    "directed_batches",
+    f"{_DIRECTED} select user_id, batch::int as batch, path, scope, events from c union all select user_id, batch::int, '', upper(control[1]) || control[2:], n from u union all select user_id, batch::int, '', 'Full', sum(n)::bigint from u group by 1, 2",
+)
+def directed_batches(spark, d):
+    i = F.col("event_id")
+    called = F.when(i % 101 == 0, "restart").when(i % 97 == 0, "rescan").when((i % 89 == 0) | F.col("path").like("%/d3/%"), "drop").when(i % 83 == 0, "reload")
+    return events.directed(_shorter(_events(spark, d).withColumn("control", called)), "user_id", "us", GAP, MOST).select("user_id", "batch", "path", "scope", "events")
+
+
 def _held(source: str, by: str) -> str:
     """CTEs: `full_`, the batches of `source` (by, event_id, path, scope) and the most paths each held at a time."""
     return f"""one as (select {by}, path, min(event_id) as f from {source} where scope is not null group by all), tr as (select {by}, path as parent, min(event_id) as t from {source} where scope = 'Tree' group by all),
