@@ -189,7 +189,6 @@ def renewed(rows: DataFrame, by: Sequence[str], order: Sequence[str], at: str, w
     for i in range(len(by)):
         same = same & F.col(f"__b{i}").eqNullSafe(F.col(f"__h{i}"))
     entries = entries.join(heads, same).withColumn("__entry", F.struct(F.col("__entry.began").alias("began"), opens(F.col("__entry"), F.col("__head")).alias("x"))).drop("__head", "__r", *[f"__h{i}" for i in range(len(by))])
-    entries = cut(entries, "automata-entries")
     told = _joined(blocks, by, entries)
     begins = _holds(F.coalesce("__entry.x", F.lit(MIN + 1)), F.col("__low"), F.col("__high"))
     told = told.withColumn("begins", begins)
