@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clocks
 from ..functions.entries import same_content
+from ..storage import cut
+from . import dominance
 from .diff import KEY, packed
 
 
@@ -69,21 +71,26 @@ def keep_local(conflicts: DataFrame, entries: DataFrame, device: str) -> DataFra
 
 def take_incoming(conflicts: DataFrame, entries: DataFrame, device: str, receive_only: bool = False) -> DataFrame:
     """For each record: whether taking it is refused (a strictly newer one for the path is pending), the resulting clock, and
-    the ids of the records that it clears."""
+    the ids of the records that it clears.
+
+    A path's distinct clocks are compared (dominance), not its records with each other."""
     both = conflicts.join(packed(entries, "now"), KEY, "left")
     empty = F.create_map().cast("map<string,bigint>")
     base = F.coalesce("now.clock", empty)
     base = clocks.drop_device(base, device) if receive_only else base
     clock = clocks.merge(base, F.col("incoming.clock"))
     clock = clock if receive_only else clocks.bump(clock, device)
-    mine = both.select("folder", "id", "path", "incoming", clock.alias("clock"), "now")
-    others = conflicts.select(*KEY, F.col("id").alias("other"), F.col("incoming.clock").alias("other_in"), F.col("local.clock").alias("other_local"))
-    pairs = mine.join(others, KEY)
-    newer = F.col("other") != F.col("id")
-    newer = newer & (clocks.relation(F.col("incoming.clock"), F.col("other_in")) == "Before")
-    clears = (F.col("other") == F.col("id")) | (clocks.includes(F.col("other_in"), F.col("clock")) & F.coalesce(clocks.includes(F.col("other_local"), F.col("now.clock")), F.lit(False)))
-    told = pairs.groupBy("folder", "id", "path").agg(F.max(newer).alias("refused"), F.array_sort(F.collect_set(F.when(clears, F.col("other")))).alias("clears"))
-    return told.join(mine.select("folder", "id", "clock"), ["folder", "id"])
+    settled = F.coalesce(clocks.includes(F.col("local.clock"), F.col("now.clock")), F.lit(False))
+    mine = cut(both.select("folder", "id", "path", dominance.steps(F.col("incoming.clock")).alias("steps"), settled.alias("settled"), clock.alias("clock")), "incoming")
+    mine = mine.withColumn("upper", dominance.steps(F.col("clock")))
+    pending = mine.filter("steps is not null")
+    refused = dominance.dominated(pending.select(*KEY, "steps").distinct(), KEY).withColumn("refused", F.lit(True))
+    points = pending.filter("settled").groupBy(*KEY, "steps").agg(F.collect_set("id").alias("ids"))
+    pairs = dominance.known(points.select(*KEY, "steps"), mine.select(*KEY, F.col("upper").alias("steps")).distinct(), KEY)
+    cleared = pairs.join(points.withColumnRenamed("steps", "lower"), [*KEY, "lower"]).groupBy(*KEY, "upper").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    told = mine.join(refused, [*KEY, "steps"], "left").join(cleared, [*KEY, "upper"], "left")
+    own = F.array("id")
+    return told.select("folder", "id", "path", F.coalesce("refused", F.lit(False)).alias("refused"), F.array_sort(F.coalesce(F.array_union("ids", own), own)).alias("clears"), "clock")
 
 
 def reviewed(current: Column, seen: Column) -> Column:
