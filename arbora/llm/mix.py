@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from .common import WORD, discard, written
 
 #: Bins of a histogram, rows of its last bin that are ordered as a whole, and the largest chance.
@@ -43,27 +44,27 @@ def uniform(id_column: Column, seed: str = "mix") -> Column:
 
 def cyclic_weights(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Adds `weight`: the given weights, repeating, over the sources by code point, null last."""
-    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (n % len(weights)).cast("int") + 1).cast("long"))
+    numbered = running(sources, [], [F.col("source").isNull(), F.col("source")], name="__n")
+    place = F.pmod(F.col("__n") - 1, F.lit(len(weights))).cast("int") + 1
+    return numbered.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), place).cast("long")).drop("__n")
 
 
 def allocate(sources: DataFrame, max_copies: int = 3) -> DataFrame:
     """source, source_size, weight -> and target: shares of the sum of all sizes by weight, at most max_copies times a
-    source's size; what that cuts off is shared by weight among the rest until no target is above."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (
-        sources.withColumn("cap", F.col("source_size") * max_copies)
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    )
-    # Caps are reached in order of cap / weight; the first source that stays under its cap has the level of all that do.
-    first = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(everything)
-    return level.withColumn("level", F.coalesce(first["level"], F.lit(float("inf")))).select(
-        "source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target")
-    )
+    source's size; what that cuts off is shared by weight among the rest until no target is above.
+
+    Sources are sorted and summed by ranges, so that there may be as many as there are web domains."""
+    capped = sources.withColumn("cap", F.col("source_size") * max_copies)
+    # Caps are reached in order of cap / weight.
+    order = [F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    passed = running(capped, [], order, {"__cap": "cap", "__weight": "weight"}, "__n")
+    whole = passed.agg(F.sum("source_size").alias("__total"), F.sum("weight").alias("__weights"))  # one row
+    level = passed.join(F.broadcast(whole)).withColumn("level", (F.col("__total") - F.col("__cap")) / (F.col("__weights") - F.col("__weight")))
+    # The first source in this order that stays under its cap has the level of all that do (after it levels fall, in ties too); one row.
+    under = F.struct(F.col("__n").alias("at"), F.col("level").alias("level"))
+    first = level.agg(F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), under))["level"].alias("__level"))
+    told = F.coalesce("__level", F.lit(float("inf"))) * F.col("weight")
+    return passed.join(F.broadcast(first)).select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), told).alias("target"))
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -469,3 +469,22 @@ def test_quotes(spark):
     assert place[2, 0] == (1, 0, 1, 1, "New one")
     assert place[3, 0] == (None, None, 3, 0, "ok") and place[2, 1] == (None, None, 2, 0, "")
     assert rows_of(["a"], [(1,)])[1] == [(1,)]
+
+
+def test_targets_of_many_sources(spark):
+    """5,000 sources in several ranges, a null one and empty ones among them: weights and targets as one pass over a list gives."""
+    n = 5000
+    sizes = {(f"s{i:05d}" if i else None): (0 if i % 97 == 1 else 1 + (i * 7919) % 1000) for i in range(n)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r.source: (r.weight, r.target) for r in mix.allocate(mix.cyclic_weights(df)).collect()}
+    ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(ordered)}
+    level, left, weights = 0.0, sum(sizes.values()), sum(weight.values())
+    for s in sorted(ordered, key=lambda s: sizes[s] * 3 / weight[s]):
+        level = left / weights
+        if sizes[s] * 3 >= level * weight[s]:
+            break
+        left, weights = left - sizes[s] * 3, weights - weight[s]
+    want = {s: (weight[s], min(sizes[s] * 3.0, level * weight[s])) for s in ordered}
+    assert len(got) == n and all(got[s][0] == want[s][0] and abs(got[s][1] - want[s][1]) < 1e-6 for s in ordered)
+    assert abs(sum(t for _, t in got.values()) - sum(sizes.values())) < 1e-3
