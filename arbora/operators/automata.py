@@ -1,10 +1,11 @@
 """Rules that go through the rows of a key in order and remember something: parallel prefixes of small automata.
 
-Rows are sorted by ranges of (by, order) and written once, so a key with a third of all rows is many ranges.  Inside a range each
-key's rows are a block, and one pass gives every row what it does for any state that the block may be entered with, and the
-block a map from entry to exit state.  Only the first and the last block of a range can go on in another one: their maps (two a
-range at most) are composed along each key in the order of the ranges, which tells the states that blocks are entered with, and
-these few are broadcast to the rows.  Nothing gathers the rows of a key.
+Rows are sorted by ranges of (by, order) and written once, so a key with a third of all rows is many ranges.  A task goes through
+its range in pages of PAGE rows, so what it holds doesn't grow with the range.  Inside a page each key's rows are a block, and one
+pass gives every row what it does for any state that the block may be entered with, and the block a map from entry to exit state.
+Only the first and the last block of a page can go on in another one: their maps (two a page at most) are composed along each key
+in the order of the pages, which tells the states that blocks are entered with, and these few are broadcast to the rows.  Nothing
+gathers the rows of a key.
 """
 
 from __future__ import annotations
@@ -24,20 +25,35 @@ from ..storage import cut
 
 #: Before all times, and after them.
 MIN, MAX = -(2**63), 2**63 - 1
-
-
-def _blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], reads: Sequence[str], adds: str, exit_type: str, annotate: Callable[[dict, np.ndarray], tuple[list, list]]) -> DataFrame:
-    """rows with __p (the range), __i (the place in it), the columns `adds`, and on the last row of a range's first and last block
-    `__exit`.  annotate(columns `reads`, first rows of blocks and the end) gives the values of `adds`, and an exit for each block."""
-    more = T.StructType.fromDDL(f"__p int, __i long, {adds}, __exit {exit_type}")
+#: The rows of a page, and the bytes from which on a page is full with fewer.
+PAGE, PAGE_BYTES = 1 << 15, 1 << 25
+
+
+def _pages(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of batches as tables of `rows` rows, or of fewer that are large."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for batch in batches:
+        while batch.num_rows:
+            part, batch = batch.slice(0, rows - n), batch.slice(rows - n)
+            held.append(part)
+            n, size = n + part.num_rows, size + part.nbytes
+            if n == rows or size >= PAGE_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], reads: Sequence[str], adds: str, exit_type: str, annotate: Callable[[dict, np.ndarray], tuple[list, list]], page: int = PAGE) -> DataFrame:
+    """rows with __p (the page, numbered in order), __i (the place in it), the columns `adds`, and on the last row of a page's first
+    and last block `__exit`.  annotate(columns `reads`, first rows of blocks and the end) gives the values of `adds`, and an exit for
+    each block."""
+    more = T.StructType.fromDDL(f"__p long, __i long, {adds}, __exit {exit_type}")
     schema = T.StructType([*rows.schema.fields, *more.fields])
     arrow = to_arrow_schema(more)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages = [b for b in batches if b.num_rows]
-        if not pages:
-            return
-        table = pa.Table.from_batches(pages).combine_chunks()
+    def paged(table: pa.Table, at: int) -> pa.Table:
         n, new = len(table), np.zeros(len(table), bool)
         new[0] = True
         for c in by:
@@ -48,22 +64,26 @@ def _blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], reads: Seq
         last = [None] * n
         for k in {0, len(edges) - 2}:
             last[edges[k + 1] - 1] = exits[k]
-        at = TaskContext.get().partitionId()
-        told = [pa.array(np.full(n, at, np.int32)), pa.array(np.arange(n)), *[pa.array(v, f.type) for v, f in zip(values, list(arrow)[2:-1])], pa.array(last, arrow.field("__exit").type)]
+        told = [pa.array(np.full(n, at, np.int64)), pa.array(np.arange(n)), *[pa.array(v, f.type) for v, f in zip(values, list(arrow)[2:-1])], pa.array(last, arrow.field("__exit").type)]
         for name, column in zip(arrow.names, told):
             table = table.append_column(name, column)
-        yield from table.to_batches(max_chunksize=10_000)
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 20
+        for at, table in enumerate(_pages(batches, page), first):
+            yield from paged(table, at).to_batches(max_chunksize=10_000)
 
     return cut(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).mapInArrow(run, schema), "automata")
 
 
 def _entered(blocks: DataFrame, by: Sequence[str], begin: Column, after: Callable[[Column, Column], Column]) -> DataFrame:
-    """For blocks that another range's block of the key may precede: by (as __b0, ...), __q (the range), and __entry, the state at
+    """For blocks that another page's block of the key may precede: by (as __b0, ...), __q (the page), and __entry, the state at
     its beginning.  after(state, block's exit): the state at its end."""
     ends = blocks.filter("__exit is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__p", "__exit"))).alias("e")).filter(F.size("e") > 1)
     kind = ends.select(begin.alias("s")).schema["s"].dataType.simpleString()
     step = lambda acc, x: F.struct(after(acc["s"], x["__exit"]).alias("s"), F.array_append(acc["out"], F.struct(x["__p"].alias("p"), acc["s"].alias("s"))).alias("out"))
-    found = ends.select(*by, F.explode(F.aggregate("e", F.struct(begin.alias("s"), F.expr(f"cast(array() as array<struct<p:int,s:{kind}>>)").alias("out")), step, lambda acc: acc["out"])).alias("x"))
+    found = ends.select(*by, F.explode(F.aggregate("e", F.struct(begin.alias("s"), F.expr(f"cast(array() as array<struct<p:bigint,s:{kind}>>)").alias("out")), step, lambda acc: acc["out"])).alias("x"))
     return found.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("x.p").alias("__q"), F.col("x.s").alias("__entry"))
 
 
@@ -71,7 +91,7 @@ def _joined(blocks: DataFrame, by: Sequence[str], entries: DataFrame) -> DataFra
     same = F.col("__p") == F.col("__q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
-    # Two rows a range at most.
+    # Two rows a page at most.
     return blocks.join(F.broadcast(entries), same, "left").drop("__q", *[f"__b{i}" for i in range(len(by))])
 
 
@@ -192,7 +212,7 @@ def renewed(rows: DataFrame, by: Sequence[str], order: Sequence[str], at: str, w
     told = _joined(blocks, by, entries)
     begins = _holds(F.coalesce("__entry.x", F.lit(MIN + 1)), F.col("__low"), F.col("__high"))
     told = told.withColumn("begins", begins)
-    # Inside a block: the last row that began, and how many; before it: those of the key's blocks in other ranges.
+    # Inside a block: the last row that began, and how many; before it: those of the key's blocks in other pages.
     here = Window.partitionBy("__p", *by).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     told = told.withColumns({"began": F.coalesce(F.last(F.when(F.col("begins"), F.col(at)), True).over(here), F.col("__entry.began")), "turn": F.sum(F.col("begins").cast("long")).over(here)})
     open_ = F.broadcast(entries.select("__q", *[f"__b{i}" for i in range(len(by))]))

@@ -3,8 +3,8 @@
 What such a cache holds after its puts is decided by one number: everything put before the mark has gone at some time, and what
 was put after it never did.  A put moves the mark to the first place from which the items that are live then (each key's newest
 put so far) fit; what earlier puts have pushed out stays out, so the mark never goes back and the end's mark is the greatest of
-all.  Each put's own mark depends on the newest live items alone, not on earlier marks, so puts are looked at in blocks: a range of
-the sorted puts of a cache, and what is live when it begins.  That is composed along the ranges from each block's newest items,
+all.  Each put's own mark depends on the newest live items alone, not on earlier marks, so puts are looked at in blocks: a page of
+the sorted puts of a cache, and what is live when it begins.  That is composed along the pages from each block's newest items,
 as many as can fit, so a cache with most of the puts is many tasks."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .automata import _blocks, _entered
+from .automata import PAGE, _blocks, _entered
 
 _TAIL = "array<struct<place: long, key: string, bytes: long>>"
 
@@ -55,9 +55,9 @@ def kept(puts: DataFrame, by: str, order: str, budget: int, items: int) -> DataF
             exits.append({"full": low[-1] >= 0, "size": sum(n for _, n in held.values()), "tail": [{"place": p, "key": k, "bytes": n} for k, (p, n) in held.items()]})
         return [low], exits
 
-    blocks = _blocks(rows, [by], [order], ["__key", "bytes"], "__low long", f"struct<full: boolean, size: long, tail: {_TAIL}>", annotate)
-    # Places inside a range become places of all.
-    wide = F.shiftleft(F.col("__p").cast("long"), 40)
+    blocks = _blocks(rows, [by], [order], ["__key", "bytes"], "__low long", f"struct<full: boolean, size: long, tail: {_TAIL}>", annotate, min(max(PAGE, items), 1 << 24))
+    # Places inside a page become places of all.
+    wide = F.shiftleft("__p", 24)
     blocks = blocks.withColumn("__place", wide + F.col("__i")).withColumn("__low", F.when(F.col("__low") >= 0, wide + F.col("__low")).otherwise(F.lit(-1)))
     tail = F.transform("__exit.tail", lambda x: F.struct((wide + x["place"]).alias("place"), x["key"].alias("key"), x["bytes"].alias("bytes")))
     blocks = blocks.withColumn("__exit", F.when(F.col("__exit").isNotNull(), F.struct(F.col("__exit.full").alias("full"), F.col("__exit.size").alias("size"), tail.alias("tail"))))

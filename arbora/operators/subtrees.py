@@ -1,8 +1,8 @@
 """What lies below what: one sweep over paths in the order of their trees.
 
 Paths are sorted so that all below a path follow it at once ("/" comes before every other character).  Then the paths that cover
-a row are a stack: going on, what doesn't cover the next row is closed for good.  The sweep goes through ranges of the sorted
-rows; a range starts with the stack that the ranges before leave open, which takes one row a range.  So each path is shuffled
+a row are a stack: going on, what doesn't cover the next row is closed for good.  The sweep goes through pages of the sorted
+rows; a page starts with the stack that the pages before leave open, which takes one row a page.  So each path is shuffled
 once, however deep it is, and a folder is as many tasks as it has ranges."""
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,22 @@ def test_batches_of_a_hot_key(spark, many_ranges):
             want[i], last = (first, n), t
     got = events.batches(spark.createDataFrame(rows, "event_id long, k string, us long"), "k")
     assert {r["event_id"]: (r["batch_start"], r["batch"]) for r in got.collect()} == want
+
+
+def test_a_range_is_gone_through_in_pages(spark):
+    """However many rows a range has, the pass holds a page of them, and says the same."""
+    rows = spark.range(0, 100_000, 1, 3).select(F.expr("id div 60000").alias("k"), "id", (F.col("id") * 3).alias("t"), F.lit("x").alias("g"))
+    sizes = automata._blocks(rows.coalesce(1), ["k"], ["id"], ["t"], "__x long", "int", lambda columns, edges: ([[len(columns["t"])] * len(columns["t"])], [0] * (len(edges) - 1)))
+    assert max(r[0] for r in sizes.select("__x").distinct().collect()) <= 1 << 15
+    order = [r["id"] for r in sizes.orderBy("__p", "__i").select("id").collect()]
+    assert order == list(range(100_000))
+    got = automata.renewed(rows, ["k"], ["t", "id"], "t", 1000, "g")
+    turn = F.expr("id % 60000 * 3 div 1002")
+    assert got.filter((F.col("turn") != turn + 1) | (F.col("began") != F.col("k") * 180_000 + turn * 1002) | (F.col("begins") != (F.col("t") == F.col("began")))).count() == 0
+
+
+def test_large_rows_are_small_pages():
+    batch = pa.record_batch({"x": ["y" * (1 << 20)] * 40})
+    pages = list(automata._pages(iter([batch.slice(i, 1) for i in range(40)]), 1000))
+    assert [len(p) for p in pages][0] < 40 and sum(map(len, pages)) == 40
+    assert [len(p) for p in automata._pages(iter([pa.record_batch({"x": list(range(25))}), pa.record_batch({"x": [1]})]), 10)] == [10, 10, 6]
