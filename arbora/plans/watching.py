@@ -202,8 +202,12 @@ def latency_distribution(spark, d):
     from (select o_orderkey, (o_orderkey * o_orderkey * o_custkey)::double as n, o_orderkey * 13 as a from orders)""",
 )
 def text_formats(spark, d):
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(k.alias("id"), report.bytes_text((k * k * F.col("o_custkey")).cast("double")).alias("bytes"), report.count_text(k * 977).alias("count"), report.age_text(k * 13).alias("age"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    # Keys of large tables leave 64 bits, and odd ones 38 digits.
+    whole = lambda x: x.cast("decimal(19,0)")
+    exact = F.try_multiply(F.try_multiply(whole(k), whole(k)), whole(c)).cast("double")
+    n = F.coalesce(exact, k.cast("double") * k.cast("double") * c.cast("double"))
+    return table(spark, d, "orders").select(k.alias("id"), report.bytes_text(n).alias("bytes"), report.count_text(k * 977).alias("count"), report.age_text(k * 13).alias("age"))
 
 
 @query("clean_text", "select doc_id, md5(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g')) as cleaned from documents")

@@ -255,3 +255,14 @@ def test_snapshot_is_written_in_order(spark, tmp_path):
     at = tree.save(entries(spark, rows).repartition(4), str(tmp_path / "index"), 1)
     got = [r["path"] for r in spark.read.parquet(at).orderBy(F.input_file_name(), F.monotonically_increasing_id()).select("path").collect()]
     assert got == sorted(got) and len(got) == 100
+
+
+def test_formats_of_keys_whose_product_leaves_64_bits(spark, tmp_path):
+    from arbora import catalog
+
+    keys = [(1, 2), (2_000_000, 3_000_000), (36_000_001, 899_999), (5_000_000, 70_007), (9 * 10**15, 9 * 10**17), (0, 5), (3, None)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["id"]: r["bytes"] for r in catalog.QUERIES["text_formats"](spark, str(tmp_path)).collect()}
+    assert got[1] == "2 B" and got[0] == "0 B" and got[2_000_000] == "12000000.00 TB"
+    assert got[36_000_001] == "1166398768.80 TB" and got[5_000_000] == "1750175.00 TB"
+    assert len(got) == len(keys) and got[9 * 10**15].startswith("729000000") and got[3] == "0 B"
