@@ -266,3 +266,25 @@ def test_formats_of_keys_whose_product_leaves_64_bits(spark, tmp_path):
     assert got[1] == "2 B" and got[0] == "0 B" and got[2_000_000] == "12000000.00 TB"
     assert got[36_000_001] == "1166398768.80 TB" and got[5_000_000] == "1750175.00 TB"
     assert len(got) == len(keys) and got[9 * 10**15].startswith("729000000") and got[3] == "0 B"
+
+
+def test_numbers_need_no_second_shuffle(spark):
+    """The rows are shuffled into ranges; numbering them joins what ranges and groups begin with."""
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("x"), F.lit("y").alias("z"))
+    told = ranges.running(rows, ["g"], ["x", -F.col("g")], drop=["z"])
+    assert told.columns == ["g", "x", "n"]
+    plan = told.select("x", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    got = {r["x"]: r["n"] for r in told.collect()}
+    for g in range(3):
+        assert [got[x] for x in sorted(i * 7919 % 5000 for i in range(5000) if i % 3 == g)] == list(range(1, sum(i % 3 == g for i in range(5000)) + 1))
+
+
+def test_parents_are_computed_once(spark):
+    """What entries come from isn't run for both sides of the join, and is hashed, not sorted."""
+    rows = spark.createDataFrame([("f", "a", 1, False, True), ("f", "a", 4, False, False), ("f", "a/b", 2, False, True), ("f", "a/b/c", 3, True, False), ("f", "x/y", 9, True, False)], "folder string, path string, seq long, large boolean, directory boolean")
+    newest = diff.latest(rows)
+    assert "SortAggregate" not in newest._jdf.queryExecution().sparkPlan().toString()
+    df = reconcile.required_parents(newest, F.col("large"), F.col("directory"))
+    assert "max_by" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in df.collect()} == {("f", "a/b/c", 4, 1), ("f", "x/y", 0, 1)}
