@@ -268,6 +268,28 @@ def test_formats_of_keys_whose_product_leaves_64_bits(spark, tmp_path):
     assert len(got) == len(keys) and got[9 * 10**15].startswith("729000000") and got[3] == "0 B"
 
 
+def test_backlog_against_comparing_all(spark, monkeypatch):
+    """Cursors at, between, before and beyond entries, in several stretches of numbers with holes, against all pairs."""
+    rnd = random.Random(12)
+    rows = [(f, f"p{s}", rnd.choice(["File", "File", "Deleted"]), rnd.choice([5, 3 << 20]), s) for f in "ab" for s in sorted(rnd.sample(range(1, 200_000), 300))]
+    known = {(f"q{i}", f): rnd.choice([0, 200_001, rnd.choice(rows)[4], rnd.randrange(200_000)]) for i in range(20) for f in "abc"}
+    own = {(p, f, n, k): rnd.choice(rows)[4] for p, f in list(known)[::2] + [("only", "a")] for n in (2, 3) for k in range(n) if rnd.random() < 0.6}
+    entries_ = spark.createDataFrame(rows, "folder string, path string, kind string, size long, seq int")
+    lane = {(r["folder"], r["seq"]): r["lane"] for r in entries_.select("folder", "seq", feed.lane(F.col("path"), F.col("kind"), F.col("size"), 3).alias("lane")).collect()}
+    cursors = spark.createDataFrame([(*k, v) for k, v in known.items()], "peer string, folder string, value long")
+    lanes = spark.createDataFrame([(*k, v) for k, v in own.items()], "peer string, folder string, lanes int, lane int, value long")
+    want = {}
+    for p, f in {*known, *[k[:2] for k in own]}:
+        at = [own.get((p, f, 3, k), known.get((p, f), 0)) for k in range(3)]
+        left = [r for r in rows if r[0] == f and r[4] > at[lane[f, r[4]]]]
+        want[p, f] = (len(left), sum(r[2] == "File" for r in left), sum(r[3] for r in left if r[2] == "File"))
+    numbered = []
+    monkeypatch.setattr(feed, "running", lambda held, *a, **k: (numbered.append(held.count()), ranges.running(held, *a, **k))[1])
+    df = feed.backlog(entries_, cursors, lanes, 3)
+    assert max(numbered) <= 3 * 3 * (2 + (200_000 >> 14))  # stretches are sorted by ranges, entries aren't
+    assert {(r["peer"], r["folder"]): (r["entries"], r["files"], r["bytes"]) for r in df.collect()} == want
+
+
 def test_numbers_need_no_second_shuffle(spark):
     """The rows are shuffled into ranges; numbering them joins what ranges and groups begin with."""
     rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("x"), F.lit("y").alias("z"))
