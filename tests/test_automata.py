@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import automata, events, report
+from arbora.operators import automata, events, report, subtrees
 
 
 @pytest.fixture
@@ -148,3 +148,34 @@ def test_large_rows_are_small_pages():
     pages = list(automata._pages(iter([batch.slice(i, 1) for i in range(40)]), 1000))
     assert [len(p) for p in pages][0] < 40 and sum(map(len, pages)) == 40
     assert [len(p) for p in automata._pages(iter([pa.record_batch({"x": list(range(25))}), pa.record_batch({"x": [1]})]), 10)] == [10, 10, 6]
+
+
+@pytest.fixture
+def passes(monkeypatch):
+    """What the passes of a rule make, in their order."""
+    made = []
+    for module in (automata, subtrees):
+        monkeypatch.setattr(module, "_blocks", lambda *a, f=module._blocks, **b: made.append(f(*a, **b)) or made[-1])
+    return made
+
+
+def page_sizes(passes):
+    """The rows of the largest page of each pass."""
+    return [df.groupBy("__p").count().agg(F.max("count")).first()[0] for df in passes]
+
+
+def many(spark):
+    """160,000 events of one key in batches of 1,001; each tenth is on a folder, and the nine after it are below it."""
+    i = F.col("id")
+    path = F.concat(F.lit("d"), F.expr("string(id div 10)"), F.when(i % 10 > 0, F.concat(F.lit("/f"), i.cast("string"))).otherwise(""))
+    return spark.range(160_000).select(i.alias("event_id"), F.lit("u").alias("k"), (i * 1000).alias("us"), path.alias("path"), F.when(i % 10 > 0, "Entry").otherwise("Tree").alias("scope"))
+
+
+def test_coalescing_holds_pages(spark, passes):
+    """Neither batches nor what they leave hold a range in a task's Python."""
+    left = events.coalesced(events.batches(many(spark), "k"), ["k", "batch"])
+    got = {(r["batch"], r["path"]) for r in left.select("batch", "path").collect()}
+    alone = [i for i in range(160_000) if i % 10 == 0 or i // 1001 != (i - i % 10) // 1001]
+    assert got == {(i // 1001 + 1, f"d{i // 10}/f{i}" if i % 10 else f"d{i // 10}") for i in alone}
+    sizes = page_sizes(passes)
+    assert len(sizes) == 2 and max(sizes) <= 1 << 15
