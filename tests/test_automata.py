@@ -179,3 +179,14 @@ def test_coalescing_holds_pages(spark, passes):
     assert got == {(i // 1001 + 1, f"d{i // 10}/f{i}" if i % 10 else f"d{i // 10}") for i in alone}
     sizes = page_sizes(passes)
     assert len(sizes) == 2 and max(sizes) <= 1 << 15
+
+
+def test_directing_holds_pages(spark, passes):
+    """What batches ask for takes three passes, and none holds a range; a rescan in the first batch makes it a full scan."""
+    asked = events.directed(many(spark).withColumn("control", F.when(F.col("event_id") == 5, "rescan")), "k")
+    got = {(r["batch"], r["path"], r["scope"]) for r in asked.select("batch", "path", "scope").collect()}
+    alone = [i for i in range(1001, 160_000) if i % 10 == 0 or i // 1001 != (i - i % 10) // 1001]
+    want = {(i // 1001 + 1, f"d{i // 10}/f{i}" if i % 10 else f"d{i // 10}", "Entry" if i % 10 else "Tree") for i in alone}
+    assert got == want | {(1, "", "Rescan"), (1, "", "Full")}
+    sizes = page_sizes(passes)
+    assert len(sizes) == 3 and max(sizes) <= 1 << 15
