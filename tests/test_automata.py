@@ -190,3 +190,11 @@ def test_directing_holds_pages(spark, passes):
     assert got == want | {(1, "", "Rescan"), (1, "", "Full")}
     sizes = page_sizes(passes)
     assert len(sizes) == 3 and max(sizes) <= 1 << 15
+
+
+def test_suppression_holds_pages(spark, passes):
+    """One key says the same without end, in one pass that holds no range."""
+    said = spark.range(160_000).select(F.col("id").alias("event_id"), F.lit("u").alias("k"), F.col("id").alias("at"), F.lit("error").alias("kind"), F.lit("same").alias("detail"))
+    assert {r["event_id"] for r in report.suppressed(said, "k").select("event_id").collect()} == set(range(0, 160_000, 30))
+    sizes = page_sizes(passes)
+    assert len(sizes) == 1 and max(sizes) <= 1 << 15
